@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftgraph.llm.common import table
 from siftgraph.llm.exact_dedup import exact_dedup
+from siftgraph.llm.secret_scan import scan
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_exact_dedup": op9_exact_dedup}
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+_ALL = [op9_exact_dedup, op10_secret_scans]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
