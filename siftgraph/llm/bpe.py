@@ -18,13 +18,14 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks whose results a Python worker keeps; the table starts anew beyond it.
-KEPT_CHUNKS = 250_000
+#: Chunks or words in a generation of what a Python worker keeps.
+KEPT_CHUNKS = 200_000
 
 # What the tokenizer's word pattern counts as white space, and Python's split does besides.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -57,6 +58,7 @@ class Encoder:
         self.words = regex.compile(pattern.replace(r"\s", _WHITE)).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda s: [s]
         self.marks = tuple(self.special)
+        self.merged = Kept(self.merge)
 
     def split_words(self, chunk: str) -> Iterator[tuple[str, int | None]]:
         """(word, None) or (special token, its id)."""
@@ -104,7 +106,7 @@ class Encoder:
         ids: list[int] = []
         for word, special in self.split_words(chunk):
             if special is None:
-                ids += self.merge(word)
+                ids += self.merged[word]
             else:
                 ids.append(special)
         return ids
@@ -123,23 +125,32 @@ def chunks(text: str | None) -> list[str]:
 
 
 class Kept(dict):
-    """Results by chunk, made on first use."""
+    """Results by key, made on first use. Two generations of at most `most` entries: what is asked for again outlives a full table."""
 
     def __init__(self, make, most: int = KEPT_CHUNKS) -> None:  # noqa: ANN001
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, chunk: str):  # noqa: ANN204
+    def __missing__(self, key: str):  # noqa: ANN204
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        found = self[chunk] = self.make(chunk)
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
 @lru_cache(maxsize=2)
 def _kept(path: str) -> Kept:
     """One for each worker process and tokenizer file: chunk -> (ids as text, decoded text, count)."""
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
 
     def make(chunk: str) -> tuple[str, str, int]:
         ids = encoder.encode_chunk(chunk)
@@ -148,6 +159,13 @@ def _kept(path: str) -> Kept:
     return Kept(make)
 
 
+@lru_cache(maxsize=2)
+def packed_ids(path: str) -> Kept:
+    """chunk -> its ids as little-endian unsigned 32-bit numbers."""
+    encoder = encoder_of(path)
+    return Kept(lambda chunk: np.array(encoder.encode_chunk(chunk), "<u4").tobytes())
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgraph.llm import bpe
+from siftgraph.llm import bpe, packing
 from siftgraph.llm.common import table, tokenizer_path
 from siftgraph.llm.exact_dedup import exact_dedup
 from siftgraph.llm.secret_scan import scan
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -24,7 +28,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op7_bpe, op9_exact_dedup, op10_secret_scans]
+_ALL = [op3_packing, op7_bpe, op9_exact_dedup, op10_secret_scans]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
