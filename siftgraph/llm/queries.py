@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgraph.llm import bpe, packing
+from siftgraph.llm import bpe, packing, url_filter
 from siftgraph.llm.common import table, tokenizer_path
 from siftgraph.llm.exact_dedup import exact_dedup
 from siftgraph.llm.secret_scan import scan
@@ -16,6 +16,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.entries_of(pages, url_filter.RULES), url_filter.entries_of(pages, url_filter.BLOCKED))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,11 +33,23 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op3_packing, op7_bpe, op9_exact_dedup, op10_secret_scans]
+_ALL = [op3_packing, op6_url_filters, op7_bpe, op9_exact_dedup, op10_secret_scans]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
+_values = lambda rows: ", ".join(str(r) for r in rows)
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": f"""
+        WITH rules AS (SELECT * FROM (VALUES {_values(url_filter.RULES)}) AS v(rhost, rpath, rverdict)),
+        listed AS (SELECT * FROM (VALUES {_values(url_filter.BLOCKED)}) AS v(lhost, lpath, lverdict)),
+        u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        m AS (SELECT page_id, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS nth
+              FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+        b AS (SELECT DISTINCT host AS bhost FROM p JOIN listed ON host = lhost OR ends_with(host, '.' || lhost))
+        SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.rverdict, CASE WHEN bhost IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.nth = 1 LEFT JOIN b ON p.host = b.bhost""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                           sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents)
