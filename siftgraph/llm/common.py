@@ -5,9 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of two or three numbers up to which a side may be broadcast (some 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -63,6 +67,23 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_made(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[list], Iterable[list]]]) -> DataFrame:
+    """df with further columns, made batch by batch from the values of one; all others pass through as they are.
+
+    make() gives, once for each task, a function from a batch's values to the new columns' values.
+    """
+    added = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    kinds = [to_arrow_type(f.dataType) for f in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            made = f(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], [*batch.schema.names, *added.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
