@@ -1,9 +1,9 @@
 """BPE encoding with a priority queue of merge ranks over a doubly linked symbol list, and decoding.
 
-A text is cut at white space into chunks; a chunk always gives the same ids, so its result is kept in a
-bounded table and only unseen chunks are merged. A chunk is cut at special tokens, normalised (NFC, lower
-case), split into words, and each word's symbols are merged: the queue holds (rank, place) of adjacent
-pairs, and an entry whose pair has changed since is skipped. Decoding joins the vocabulary's strings.
+A text is cut at special tokens, normalised (NFC, lower case) and split into words. A word always gives the
+same ids, so its result is kept in a bounded table and only unseen words are merged: the queue holds rank and
+place of adjacent pairs, and an entry whose pair has changed since is skipped. Decoding joins the vocabulary's
+strings.
 
 Defined results: null and empty texts give no ids and an empty decoded text; repeated rows encode alike;
 an empty table gives no rows; extra columns are ignored.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,13 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks or words in a generation of what a Python worker keeps.
-KEPT_CHUNKS = 200_000
+#: Words in a generation of what a Python worker keeps.
+KEPT_WORDS = 300_000
 
-# What the tokenizer's word pattern counts as white space, and Python's split does besides.
-_WHITE = "\t-\r \x85\xa0  -     　"
-_ODD = regex.compile("[\x1c-\x1f]")
-_CHUNKS = regex.compile(f"[^{_WHITE}]+")
+# White space as the tokenizer's word pattern counts it; of Latin-1, white space, letters and numbers.
+_WHITE = r"\t-\r\x20\x85\xa0  -     　"
+_WHITE_LATIN = r"\t-\r\x20\x85\xa0"
+_LETTERS_LATIN = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_NUMBERS_LATIN = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
 
 def byte_alphabet() -> list[str]:
@@ -41,93 +43,84 @@ def byte_alphabet() -> list[str]:
 
 
 class Encoder:
-    """The ids of a chunk without white space, from a tokenizer file of the word-end kind."""
+    """Words and ids of texts, from a tokenizer file of the word-end kind."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.vocabulary: dict[str, int] = model["vocab"]
-        self.end: str = model.get("end_of_word_suffix") or ""
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: n for n, pair in enumerate(pairs)}
+        vocabulary: dict[str, int] = model["vocab"]
+        end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocabulary.items()} | {i: s for s, i in self.special.items()}
-        self.alphabet = byte_alphabet()
+        self.strings = {i: s for s, i in vocabulary.items()} | {i: s for s, i in self.special.items()}
+        alphabet = byte_alphabet()
+        self.inner, self.last = [vocabulary[c] for c in alphabet], [vocabulary[c + end] for c in alphabet]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.ranks = {(vocabulary[left], vocabulary[right]): n for n, (left, right) in enumerate(pairs)}
+        self.joined = [vocabulary[left + right] for left, right in pairs]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", _WHITE)).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda s: [s]
+        self.find = regex.compile(pattern.replace(r"\s", _WHITE)).findall
+        #: The same for texts within Latin-1, by the standard library's faster engine.
+        self.find_latin = re.compile(pattern.replace(r"\s", _WHITE_LATIN).replace(r"\p{L}", _LETTERS_LATIN).replace(r"\p{N}", _NUMBERS_LATIN)).findall
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.marks = tuple(self.special)
-        self.merged = Kept(self.merge)
-
-    def split_words(self, chunk: str) -> Iterator[tuple[str, int | None]]:
-        """(word, None) or (special token, its id)."""
-        for piece in self.cut(chunk) if any(m in chunk for m in self.marks) else (chunk,):
-            if piece in self.special:
-                yield piece, self.special[piece]
-            elif piece:
-                low = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                for word in self.words(low):
-                    yield word, None
+
+    def words(self, text: str | None) -> list[str]:
+        """The normalised words in order; special tokens stand as they are."""
+        if not text:
+            return []
+        if any(m in text for m in self.marks):
+            return [w for piece in self.cut(text) for w in ([piece] if piece in self.special else self._words(piece))]
+        return self._words(text)
+
+    def _words(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.find(text)
+            return self.find_latin(text)
+        return self.find_latin(text.lower())
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word: merges by rank, leftmost first among equals."""
-        symbols: list[str | None] = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.end
-        n = len(symbols)
+        """Ids of one word. The queue holds rank and place of mergeable neighbours in one number; the least rank, then the leftmost, is merged first."""
+        if word in self.special:
+            return [self.special[word]]
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        n, rank_of = len(ids), self.ranks.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks, queue = self.ranks, []
-        for k in range(n - 1):
-            rank = ranks.get((symbols[k], symbols[k + 1]))
-            if rank is not None:
-                queue.append((rank, k, symbols[k], symbols[k + 1]))
+        queue = [rank * n + k for k in range(n - 1) if (rank := rank_of((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            _, k, left, right = heapq.heappop(queue)
+            rank, k = divmod(heapq.heappop(queue), n)
             j = after[k]
-            if j < 0 or symbols[k] != left or symbols[j] != right:
-                continue  # stale
-            symbols[k] = joined = left + right
-            symbols[j] = None
+            if j < 0 or ids[k] < 0 or rank_of((ids[k], ids[j])) != rank:
+                continue  # stale: one of the two has been merged since
+            ids[k], ids[j] = self.joined[rank], -1
             after[k] = m = after[j]
             if m >= 0:
                 before[m] = k
-                rank = ranks.get((joined, symbols[m]))
-                if rank is not None:
-                    heapq.heappush(queue, (rank, k, joined, symbols[m]))
+                if (new := rank_of((ids[k], ids[m]))) is not None:
+                    heapq.heappush(queue, new * n + k)
             h = before[k]
-            if h >= 0:
-                rank = ranks.get((symbols[h], joined))
-                if rank is not None:
-                    heapq.heappush(queue, (rank, h, symbols[h], joined))
-        return [self.vocabulary[s] for s in symbols if s is not None]
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for word, special in self.split_words(chunk):
-            if special is None:
-                ids += self.merged[word]
-            else:
-                ids.append(special)
-        return ids
+            if h >= 0 and (new := rank_of((ids[h], ids[k]))) is not None:
+                heapq.heappush(queue, new * n + h)
+        return [i for i in ids if i >= 0]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for chunk in chunks(text) for i in self.encode_chunk(chunk)]
+        return [i for word in self.words(text) for i in self.merge(word)]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids)
-
-
-def chunks(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return _CHUNKS.findall(text) if _ODD.search(text) else text.split()
+        return " ".join([self.strings[i] for i in ids])
 
 
 class Kept(dict):
     """Results by key, made on first use. Two generations of at most `most` entries: what is asked for again outlives a full table."""
 
-    def __init__(self, make, most: int = KEPT_CHUNKS) -> None:  # noqa: ANN001
+    def __init__(self, make, most: int = KEPT_WORDS) -> None:  # noqa: ANN001
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
@@ -149,11 +142,11 @@ def encoder_of(path: str) -> Encoder:
 
 @lru_cache(maxsize=2)
 def _kept(path: str) -> Kept:
-    """One for each worker process and tokenizer file: chunk -> (ids as text, decoded text, count)."""
+    """One for each worker process and tokenizer file: word -> (ids as text, decoded text, count)."""
     encoder = encoder_of(path)
 
-    def make(chunk: str) -> tuple[str, str, int]:
-        ids = encoder.encode_chunk(chunk)
+    def make(word: str) -> tuple[str, str, int]:
+        ids = encoder.merge(word)
         return " ".join(map(str, ids)), encoder.decode(ids), len(ids)
 
     return Kept(make)
@@ -161,9 +154,9 @@ def _kept(path: str) -> Kept:
 
 @lru_cache(maxsize=2)
 def packed_ids(path: str) -> Kept:
-    """chunk -> its ids as little-endian unsigned 32-bit numbers."""
+    """word -> its ids as little-endian unsigned 32-bit numbers."""
     encoder = encoder_of(path)
-    return Kept(lambda chunk: np.array(encoder.encode_chunk(chunk), "<u4").tobytes())
+    return Kept(lambda word: np.array(encoder.merge(word), "<u4").tobytes())
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -171,11 +164,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = _kept(path).__getitem__
+        get, words = _kept(path).__getitem__, encoder_of(path).words
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
-                parts = list(map(get, chunks(text)))
+                parts = list(map(get, words(text)))
                 ids = " ".join([p[0] for p in parts])
                 decoded = " ".join([p[1] for p in parts])
                 row = (doc_id, sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())

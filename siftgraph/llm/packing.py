@@ -74,7 +74,7 @@ class Windows:
 
 def _pieces(path: str, size: int, most: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = bpe.packed_ids(path).__getitem__
+        get, words = bpe.packed_ids(path).__getitem__, bpe.encoder_of(path).words
         windows, base, out = Windows(size, most), TaskContext.get().partitionId() * _STRIDE, []
         row = lambda window, offset, item, left: (*item, base + window, offset, left)
         columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "filled"]
@@ -82,7 +82,7 @@ def _pieces(path: str, size: int, most: int):  # noqa: ANN202
         for pdf in batches:
             for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)  # noqa: PLW2901
-                data = b"".join([*map(get, bpe.chunks(text)), b"\1\0\0\0"])
+                data = b"".join([*map(get, words(text)), b"\1\0\0\0"])
                 total = len(data) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
