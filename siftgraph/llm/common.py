@@ -133,3 +133,43 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         short = place < _DEPTH
         terms[short] = _TABLE[place[short], letters[short]]
     return mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64)), starts
+
+
+# Shingles -------------------------------------------------------------------------------------
+
+#: Words of a shingle.
+SHINGLE = 5
+
+
+def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's runs of `words` words; a shorter text with words is one shingle of them all."""
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
+    if not len(h):
+        return h
+    n = min(words, len(h))
+    with np.errstate(over="ignore"):
+        made = h[: len(h) - n + 1].copy()
+        for k in range(1, n):
+            made = mix(made) + h[k : len(h) - n + 1 + k]
+        return np.unique(mix(made))
+
+
+# Connected components -------------------------------------------------------------------------
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a, b); root is the least node of its component. Large-star and small-star, until nothing changes."""
+    from pyspark.sql import functions as F
+
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    before, after = None, state(now)
+    while before != after:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = materialise(both.join(least, "u").filter("v > u and m < v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select("m", "b")).distinct()
+        now = materialise(small)
+        before, after = after, state(now)
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgraph.llm import bpe, packing, toxicity, url_filter
+from siftgraph.llm import bpe, jaccard_join, packing, toxicity, url_filter
 from siftgraph.llm.common import table, tokenizer_path
 from siftgraph.llm.exact_dedup import exact_dedup
 from siftgraph.llm.secret_scan import scan
@@ -29,6 +29,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op3_packing, op5_toxicity, op6_url_filters, op7_bpe, op9_exact_dedup, op10_secret_scans]
+_ALL = [op3_packing, op5_toxicity, op6_url_filters, op7_bpe, op8_jaccard_join, op9_exact_dedup, op10_secret_scans]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
