@@ -1,19 +1,50 @@
-"""A corpus pipeline of the library's operators: each stage reads what its predecessor kept."""
+"""A corpus pipeline of the library's operators: each stage reads, as Parquet, what its predecessor kept.
+
+Toxic documents go, then exact copies, then all but one of each class of near copies; secrets in the texts
+that stay are masked (no document goes for them), and the rest is packed into sequences. All stages but the
+last return the columns of their input. Nulls, repeated rows and empty tables are handled as each operator says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftgraph.llm import exact_dedup, jaccard_join, packing, secret_scan, toxicity
+from siftgraph.llm.common import materialise, table, tokenizer_path
+
 
-from siftgraph.llm.common import materialise, table
-from siftgraph.llm.exact_dedup import keep_one
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.with_scores(docs, docs, table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("score_") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs).select(docs.columns)
+    return exact_dedup.keep_one(docs).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
+]
 
+#: Trained models and token ids are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
