@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgraph.llm import bpe, html_extract, jaccard_join, lm_scoring, packing, toxicity, url_filter
+from siftgraph.llm import bpe, html_extract, jaccard_join, lm_scoring, media, packing, toxicity, url_filter
 from siftgraph.llm.common import table, tokenizer_path
 from siftgraph.llm.exact_dedup import exact_dedup
 from siftgraph.llm.secret_scan import scan
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.pictures_of_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-_ALL = [op2_html_extraction, op3_packing, op4_lm_scoring, op5_toxicity, op6_url_filters, op7_bpe, op8_jaccard_join, op9_exact_dedup, op10_secret_scans]
+_ALL = [op1_media_columns, op2_html_extraction, op3_packing, op4_lm_scoring, op5_toxicity, op6_url_filters, op7_bpe, op8_jaccard_join, op9_exact_dedup, op10_secret_scans]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
