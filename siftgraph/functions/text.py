@@ -147,3 +147,18 @@ def lookup_arguments(arguments: Column) -> Column:
     raw = F.nullif(F.trim(arg(2)), F.lit(""))
     quoted = F.size(F.regexp_extract_all(F.coalesce(arg(2), F.lit("")), F.lit('"([^"]*)"'), F.lit(1))) > 0
     return F.struct(pick(3, 3).alias("view"), pick(4, 2).alias("ret"), pick(5, 1).alias("key"), F.coalesce(last_literal(arg(2)), F.when(~quoted, raw)).alias("database"))
+
+
+def matches(body: Column, pattern: str) -> Column:
+    """array<struct<start,end,hit>> of a pattern's matches, 0-based: ``split`` gives the gaps, their lengths the places."""
+    zipped = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
+    walked = F.aggregate(
+        F.filter(zipped, lambda x: x["hit"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), none.alias("found")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
+            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("found"),
+        ),
+    )
+    return F.when(body.rlike(pattern), walked["found"]).otherwise(none)
