@@ -85,7 +85,7 @@ def triaged(items: DataFrame, overrides: DataFrame, *keys: str) -> DataFrame:
 
 def with_verdicts(findings: DataFrame, verdicts: DataFrame, minimum: int = 75) -> DataFrame:
     """Findings under a model's verdicts (finding_id, verdict, confidence): too unsure ones only leave a note."""
-    v = verdicts.select("finding_id", F.col("verdict").alias("v"), F.greatest(F.lit(0), F.least(F.lit(100), F.try_cast("confidence", "int") if hasattr(F, "try_cast") else F.expr("try_cast(confidence as int)"))).alias("c"))
+    v = verdicts.select("finding_id", F.col("verdict").alias("v"), F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.expr("try_cast(confidence as int)"), F.lit(0)))).alias("c"))
     sure = F.col("c") >= minimum
     guarded = F.col("rule_id").isin("DOM-004", "DOM-025") | (F.col("severity") == "CRITICAL")
     fp = sure & (F.col("v") == "FALSE_POSITIVE") & ~guarded
