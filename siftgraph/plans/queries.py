@@ -527,3 +527,42 @@ def brace_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = text.split_arguments(F.lit('"":"NoCache"; "srv":"db.nsf"; "vw"; "ret"; "k1":"k2"'))
     return table(spark, sf_dir, "region").select("r_regionkey", text.lookup_arguments(args).alias("x")).select("r_regionkey", F.col("x.view"), "x.ret", "x.key", "x.database")
+
+
+# Code units by construction: the template is chosen by the order's key, so the rules that must hit are known.
+TEMPLATES = [
+    ("java", "static Database cache; // {k}", "DOM-006"), ("java", 'Stream st{k} = session.createStream();', "DOM-010,DOM-021"), ("ssjs", "session.recycle(); // {k}", "DOM-020"), ("java", "dominoNAF.recycle(); // {k}", "DOM-024"),
+    ("formula", '@DbLookup("";"";"v{k}";"k";1) + @DbColumn("";"";"v";1)', "FORM-001"), ("formula", 'password := "hunter{k}"', "FORM-003"), ("lotusscript", "Dim js{k} As JavaSession", "LS-EXT-001"), ("csjs", "static Database cache; // {k}", ""),
+]
+
+
+@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r}')" for k, (_, _, rules_) in enumerate(TEMPLATES) for r in rules_.split(",") if r) + ") AS v(n, rule_id)) SELECT o_orderkey, rule_id FROM orders JOIN t ON o_orderkey % 8 = n")
+def detector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftgraph.operators.rules import findings
+
+    pick = lambda n: F.element_at(F.array(*(F.lit(t[n]) for t in TEMPLATES)), (F.col("o_orderkey") % len(TEMPLATES) + 1).cast("int"))
+    key = F.col("o_orderkey").cast("string")
+    units = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("orders").alias("source_file"), key.alias("element_name"), F.lit("scriptlibrary").alias("element_type"), pick(0).alias("language"), F.lit(None).cast("string").alias("event"), F.replace(pick(1), F.lit("{k}"), key).alias("body"), F.lit(1).alias("start_line"))
+    return findings(units).select("o_orderkey", "rule_id")
+
+
+@query("SELECT o_orderkey, 'f' || o_orderkey AS name, CASE o_orderkey % 4 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'UNPROTECTED' WHEN 2 THEN 'PROTECTED' ELSE 'PARTIAL' END AS status FROM orders")
+def function_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftgraph.operators.inventory import inventory
+
+    bodies = ["return 1;", 'var d = db.getView("x"); use(d);', 'var d = db.getView("x"); d.recycle();', 'var a = db.getView("x"); var b = db.getDatabase("y"); a.recycle();']
+    key = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit("function f"), key, F.lit("() { "), F.element_at(F.array(*map(F.lit, bodies)), (F.col("o_orderkey") % 4 + 1).cast("int")), F.lit(" }"))
+    units = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("orders").alias("source_file"), key.alias("element_name"), F.lit("scriptlibrary").alias("element_type"), F.lit("ssjs").alias("language"), F.lit(None).cast("string").alias("event"), body.alias("body"), F.lit(1).alias("start_line"))
+    return inventory(units).select("o_orderkey", "name", "status")
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 20")
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftgraph.sources.store import shared_dir
+    from siftgraph.streaming import ingest
+
+    events, top = table(spark, sf_dir, "events"), shared_dir(spark)
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    ingest.append_signals(stream, f"{top}/signals", f"{top}/checkpoint")
+    return ingest.last_signals(spark.read.parquet(f"{top}/signals"), ["user_id"], 20, "ts", "event_id").select("event_id", "user_id")
