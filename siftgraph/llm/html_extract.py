@@ -47,6 +47,8 @@ DROPPED_WORDS = set(
     " related recommended newsletter subscribe subscription signup login search popup modal overlay toolbar pagination pager widget widgets copyright legal contentinfo skip".split()
 )
 MAIN_WORDS = set("article content main post entry story body text maincontent articlebody postbody".split())
+#: Headings of regions that aren't the article's.
+DROPPED_HEADINGS = re.compile(r"(\d+\s+)?(reader |user |leave a |post a |add a )?(comments?|repl(y|ies)|responses?|discussion)( \(?\d+\)?)?:?|related( articles| posts| stories)?|share( this)?.{0,20}|advertisements?|sponsored|newsletter|subscribe.{0,30}|most (read|popular)|tags|menu|navigation", re.I)
 LEAF_TAGS = set("p li h1 h2 h3 h4 h5 h6 td th tr dt dd blockquote pre #".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=/?[A-Za-z])[^>]*(?:>|$)", re.S)
@@ -288,7 +290,24 @@ def dropped(node: Node, in_article: bool) -> bool:
         return not in_article
     if node.tag in ("article", "main", "body", "html") and not node.words & {"comment", "comments", "ad", "ads", "advert", "reply", "related", "sponsored", "promo"}:
         return False
-    return bool(node.words & DROPPED_WORDS) and not (in_article and node.words & {"header"} and not node.words & (DROPPED_WORDS - {"header"}))
+    if node.words & DROPPED_WORDS:
+        if in_article and "header" in node.words and not node.words & (DROPPED_WORDS - {"header"}):
+            return False  # an article's own header
+        return not holds_article(node)
+    return node.tag in ("section", "div") and heads_away(node)
+
+
+def holds_article(node: Node) -> bool:
+    """Whether an article or main region is below: then class words like "with-sidebar" are about layout."""
+    return any(c.tag in ("article", "main") and not c.words & {"comment", "comments", "reply", "related", "teaser", "card"} or holds_article(c) for c in node.children)
+
+
+def heads_away(node: Node) -> bool:
+    """Whether the block starts with a heading of comments, related articles and the like."""
+    first = next((c for c in node.children if c.sig != "#"), None)
+    if first is None or first.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return False
+    return any(c.sig == "#" and c.text is not None and DROPPED_HEADINGS.fullmatch(c.text) for c in first.children)
 
 
 def label(root: Node) -> Node:

@@ -30,6 +30,9 @@ ALL = " ".join(PLAIN)
     f"<article>{PARAGRAPHS}<section class='comments'><article class='comment'><p>I disagree with all of this, at length.</p></article></section></article>",
     f"<article><!-- <p>hidden</p> -->{PARAGRAPHS}<div style='display: none'>secret</div><aside>See also</aside><div class='share-buttons'>Share</div></article>",
     f"<article>{PARAGRAPHS.replace('</p>', '')}",
+    f"<div class='layout with-sidebar'><article>{PARAGRAPHS}</article><div class='sidebar'><p>Other things of the site</p></div></div>",
+    f"<article>{PARAGRAPHS}<section><h3>3 Comments</h3><ul><li>First of all, I think so</li><li>And I do not</li></ul></section></article><section><h2>Related articles</h2><p>One</p></section>",
+    f"<div role='navigation'><p>Go on here or there and see what is there</p></div><main><h6 class='banner'>Breaking</h6>{PARAGRAPHS}<ul class='pagination'><li>1</li></ul></main><div role='contentinfo'>x</div>",
     f"<article>{PARAGRAPHS}<noscript>Enable it</noscript><textarea>type</textarea></article><div id='comments'><p>First!</p></div><foot",
 ])
 def test_templates(body):
