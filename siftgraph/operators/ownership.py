@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from siftgraph.functions import text
+
+#: Characters after a call in which its result would be released.
+WINDOW = 400
+_CALL = r"(?:\b(\w+)\s*=\s*)?\b(?:\w+\s*\.\s*)*(\w+)\s*\("
+_HANDLE = r"(?i)\breturn\s+\w*(?:doc|document|view|db|database|entry|nav|coll|collection|item|stream)\w*\b"
+_USES = r"""(?im)^\s*Use\s+"([^"]+)\""""
 
 
 def gaps(calls: DataFrame, defs: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -12,3 +21,28 @@ def gaps(calls: DataFrame, defs: DataFrame, scopes: DataFrame) -> DataFrame:
     """
     own = calls.join(scopes, "scope", "left_semi")
     return own.join(defs, ["name", "scope"]).filter("caller <> callee").select("caller", "callee", "name").distinct()
+
+
+def unassigned(records: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """Findings DOM-OWN-001 over analysed functions (source_file, element_name, name, function_body, allocated, n_cleanups, status).
+
+    A callee hands over if it returns a handle variable. A call counts if the callee is in the caller's element, or in a library
+    that the element uses (uses: element_name, library; without it, by Use lines in the caller), and nothing is released within 400 characters after it.
+    """
+    defs = records.filter(F.col("function_body").rlike(_HANDLE) & (F.size("allocated") > 0)).select(F.lower("name").alias("low"), F.col("name").alias("callee"), F.col("element_name").alias("callee_element"), (F.col("n_cleanups") > 0).alias("callee_cleans"))
+    hits = text.matches(F.col("function_body"), _CALL)
+    calls = records.select("source_file", "element_name", F.col("name").alias("caller"), "function_body", F.explode(hits).alias("m")).select(
+        "source_file", "element_name", "caller", F.lower(F.regexp_extract("m.hit", _CALL, 2)).alias("low"), F.regexp_extract("m.hit", _CALL, 1).alias("result"), F.substring("function_body", F.col("m.end") + 1, F.lit(WINDOW)).alias("after"),
+        F.regexp_extract_all("function_body", F.lit(_USES), F.lit(1)).alias("used"),
+    )
+    met = calls.join(defs, "low").filter(F.col("low") != F.lower("caller"))
+    same: Column = F.col("callee_element") == F.col("element_name")
+    if uses is not None:
+        linked = uses.select("element_name", F.col("library").alias("callee_element")).distinct().withColumn("linked", F.lit(True))
+        met = met.join(linked, ["element_name", "callee_element"], "left")
+        scope = same | F.coalesce(F.col("linked"), F.lit(False))
+    else:
+        scope = same | F.array_contains("used", F.col("callee_element"))
+    released = F.col("after").rlike(r"(?i)\.\s*recycle\s*\(") | (F.col("result") == "") & F.col("callee_cleans")
+    found = met.filter(scope & ~released)
+    return found.groupBy("source_file", "element_name", "caller", "callee").agg(F.max(F.when(same, 82).otherwise(72)).alias("confidence")).withColumn("rule_id", F.lit("DOM-OWN-001"))
