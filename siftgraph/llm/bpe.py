@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftgraph.llm.common import held
+
 #: Words in a generation of what a Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 # White space as the tokenizer's word pattern counts it; of Latin-1, white space, letters and numbers.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -135,12 +137,11 @@ class Kept(dict):
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-@lru_cache(maxsize=2)
 def _kept(path: str) -> Kept:
     """One for each worker process and tokenizer file: word -> (ids as text, decoded text, count)."""
     encoder = encoder_of(path)
@@ -149,14 +150,13 @@ def _kept(path: str) -> Kept:
         ids = encoder.merge(word)
         return " ".join(map(str, ids)), encoder.decode(ids), len(ids)
 
-    return Kept(make)
+    return held(("ids", path), lambda: Kept(make))
 
 
-@lru_cache(maxsize=2)
 def packed_ids(path: str) -> Kept:
     """word -> its ids as little-endian unsigned 32-bit numbers."""
     encoder = encoder_of(path)
-    return Kept(lambda word: np.array(encoder.merge(word), "<u4").tobytes())
+    return held(("packed ids", path), lambda: Kept(lambda word: np.array(encoder.merge(word), "<u4").tobytes()))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

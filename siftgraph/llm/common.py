@@ -84,6 +84,17 @@ def with_made(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, kept for the worker process until another key is asked for: a worker that goes on to another operator doesn't keep two large tables."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

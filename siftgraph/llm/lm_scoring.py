@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siftgraph.llm.common import materialise, mix, shuffle_partitions, word_hashes
 
 #: Tokens at which a block ends.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 FOLDS, ROUNDS = 10, 60
 #: Steps of the EM histogram in an octave of probability.
 STEPS = 8
