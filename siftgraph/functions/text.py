@@ -39,7 +39,7 @@ def humanise(name: Column) -> Column:
 
 def failure_messages(formula: Column) -> Column:
     """The literals of failure calls in a validation formula."""
-    return F.transform(F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit('(?i)@failure\\(\\s*"((?:[^"\\\\\\\\]|\\\\\\\\.)*)"'), F.lit(1)), lambda m: F.replace(m, F.lit('\\"'), F.lit('"')))
+    return F.transform(F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit(r'(?i)@failure\(\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda m: F.replace(m, F.lit('\\"'), F.lit('"')))
 
 
 def slug(c: Column) -> Column:

@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, so that it is computed once however often it is used."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def store_graph(path: str, graph_id: str, nsf_path: str, title: str, parsed_at: str, tables: dict[str, DataFrame]) -> None:
     """Writes edges, elements and blocks, then the manifest."""
     spark = next(iter(tables.values())).sparkSession

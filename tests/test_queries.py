@@ -5,8 +5,7 @@ import math
 import duckdb
 import pytest
 
-from siftgraph.plans import catalog
-from siftgraph.plans import queries as _registered  # noqa: F401
+from siftgraph.plans import catalog, exports_queries, queries  # noqa: F401  the last two register theirs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
