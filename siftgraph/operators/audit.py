@@ -127,3 +127,26 @@ def quality_gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(gate, n_failures) of each check, which is true for a row that fails it. One pass."""
     one = df.agg(*(F.count_if(c).alias(k) for k, c in checks.items()))
     return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("gate"), F.col(k).alias("n_failures")) for k in checks))).alias("x")).select("x.gate", "x.n_failures")
+
+
+def discrepancies(findings: DataFrame, *by: str) -> DataFrame:
+    """What a model's review changed: counts of verified, lifted, unsure, guarded and new findings."""
+    ai = F.coalesce(F.col("ai_status"), F.lit(""))
+    kinds = {"verified": "VERIFIED", "false_positives": "FALSE_POSITIVE", "low_confidence": "LOW_CONFIDENCE", "guarded": "GUARDED", "blind_spots": "BLIND_SPOT"}
+    return findings.groupBy(*by).agg(*(F.count_if(ai == v).alias(k) for k, v in kinds.items()))
+
+
+def escalated(records: DataFrame, proposals: DataFrame, *keys: str, minimum: int = 60) -> DataFrame:
+    """Records with a proposed severity (keys, proposed, confidence) where it is graver than their own and sure enough; severities only rise."""
+    p = proposals.filter(F.col("confidence") >= minimum).groupBy(*keys).agg(F.min_by("proposed", severity_rank(F.col("proposed"))).alias("proposed_"))
+    out = records.join(p, list(keys), "left")
+    graver = severity_rank(F.col("proposed_")) < severity_rank(F.col("severity"))
+    return out.withColumn("severity", F.when(graver, F.col("proposed_")).otherwise(F.col("severity"))).drop("proposed_")
+
+
+def blind_spots(findings: DataFrame, proposed: DataFrame, minimum: int = 75, critical: int = 60) -> DataFrame:
+    """findings with the proposed ones that are sure enough; a gap in ownership goes where the engine has found one in the same element."""
+    sure = proposed.filter(F.col("confidence") >= F.when(F.col("severity") == "CRITICAL", critical).otherwise(minimum)).withColumn("ai_status", F.lit("BLIND_SPOT"))
+    known = findings.filter(F.col("rule_id") == "DOM-OWN-001").select(F.lower("element_name").alias("low_")).distinct()
+    gaps = sure.filter("rule_id = 'DOM-BS-002'").withColumn("low_", F.lower("element_name")).join(known, "low_", "left_anti").drop("low_")
+    return findings.unionByName(sure.filter("rule_id <> 'DOM-BS-002'"), allowMissingColumns=True).unionByName(gaps, allowMissingColumns=True)

@@ -28,6 +28,27 @@ def rules_catalog(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumns({"messages": F.array_join(text.failure_messages(F.col("validation")), "; "), "n_lookups": F.regexp_count(all_, F.lit(r"(?i)@db(?:lookup|column)\s*\(")).cast("int")}).drop("embedded")
 
 
+def catalog_lookups(fields: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source_file, owner_name, field, view, source): the lookup edges of a form (by its name) at the fields whose formulas name the view, and at the form where its own code looks up."""
+    targets = edges.filter("type = 'LOOKUP_VIA_VIEW'").select(F.col("source_name").alias("owner_name"), F.col("target_name").alias("view")).distinct()
+    formulas = fields.select("source_file", "owner_name", F.col("name").alias("field"), F.concat_ws("\n", "default_value", "input_validation", "input_translation", "hidewhen", F.array_join("embedded", "\n")).alias("all_"))
+    at_fields = formulas.join(targets, "owner_name").filter(F.contains(F.col("all_"), F.col("view"))).select("source_file", "owner_name", "field", "view", F.lit("field").alias("source"))
+    own = blocks.filter("not contains(context, '/field:')").select("source_file", "owner_name", "body").join(targets, "owner_name").filter(F.contains(F.col("body"), F.col("view")))
+    return at_fields.union(own.select("source_file", "owner_name", F.lit(None).cast("string").alias("field"), "view", F.lit("form").alias("source")).distinct())
+
+
+def catalog_totals(rows: DataFrame) -> DataFrame:
+    """One row of counts over the rules catalog."""
+    has = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+    return rows.agg(F.count_distinct("source_file", "owner_name").alias("n_forms"), F.count(F.lit(1)).alias("n_fields"), has("default").alias("n_defaults"), has("validation").alias("n_validations"), has("translation").alias("n_translations"), has("hide_when").alias("n_hide_when"), F.sum("n_lookups").alias("n_lookups"))
+
+
+def field_sentence(name: Column, validation: Column, hide_when: Column, default: Column) -> Column:
+    """What a field does in one line."""
+    parts = [F.when(F.coalesce(default, F.lit("")) != "", F.concat(F.lit("Starts as a computed value. "), describe(default))), F.when(F.coalesce(validation, F.lit("")) != "", F.concat(F.lit("Is checked on save. "), describe(validation))), F.when(F.coalesce(hide_when, F.lit("")) != "", F.concat(F.lit("Is hidden by a rule. "), describe(hide_when)))]
+    return F.concat(text.humanise(name), F.lit(": "), F.trim(F.concat_ws(" ", *parts)))
+
+
 def describe(formula: Column) -> Column:
     """A sentence or two on what a formula does, from what occurs in it."""
     low = F.lower(F.coalesce(formula, F.lit("")))

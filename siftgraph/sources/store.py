@@ -80,3 +80,13 @@ def kept_signals(signals: DataFrame) -> DataFrame:
 def latest_marks(marks: DataFrame) -> DataFrame:
     """The newest triage mark of each item."""
     return first_per_key(marks, ["kind", "item_id"], F.desc("at"))
+
+
+def stale(rows: DataFrame, version: int, force: bool = False) -> DataFrame:
+    """Stored results (schema_version, ...) to compute anew: of another version, or all."""
+    return rows if force else rows.filter(F.coalesce("schema_version", F.lit(-1)) != version)
+
+
+def overwrite_partition(df: DataFrame, path: str, key: str, value: str) -> None:
+    """Replaces one key's rows of a table; running it again changes nothing."""
+    df.drop(key).write.mode("overwrite").parquet(f"{path}/{key}={value}")

@@ -47,6 +47,25 @@ def test_triage_and_verdicts(spark):
     assert out["1"] == ("LOW", True, "FALSE_POSITIVE", 40) and out["2"][:3] == ("CRITICAL", False, "GUARDED") and out["3"][1] is False
 
 
+def test_review_results(spark):
+    f = spark.createDataFrame([("1", "DOM-OWN-001", "HIGH", "Lib", 80, None), ("2", "DOM-013", "LOW", "a", 90, "VERIFIED")], "finding_id string, rule_id string, severity string, element_name string, confidence int, ai_status string")
+    proposed = spark.createDataFrame([("DOM-BS-002", "HIGH", "lib", 99), ("DOM-BS-002", "HIGH", "other", 99), ("DOM-BS-001", "CRITICAL", "x", 65), ("DOM-BS-001", "HIGH", "x", 65)], "rule_id string, severity string, element_name string, confidence int")
+    both = audit.blind_spots(f, proposed)
+    assert sorted((r["rule_id"], r["element_name"]) for r in both.filter("ai_status = 'BLIND_SPOT'").collect()) == [("DOM-BS-001", "x"), ("DOM-BS-002", "other")]
+    one = audit.discrepancies(both).first()
+    assert (one["verified"], one["blind_spots"], one["guarded"]) == (1, 2, 0)
+    up = spark.createDataFrame([("1", "LOW", 99), ("2", "CRITICAL", 99), ("2", "HIGH", 99)], "finding_id string, proposed string, confidence int")
+    assert {r["finding_id"]: r["severity"] for r in audit.escalated(f, up, "finding_id").collect()} == {"1": "HIGH", "2": "CRITICAL"}
+
+
+def test_stored_versions(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 3), ("b", 2), ("c", None)], "graph_id string, schema_version int")
+    assert [r["graph_id"] for r in store.stale(rows, 3).orderBy("graph_id").collect()] == ["b", "c"] and store.stale(rows, 3, True).count() == 3
+    for _ in range(2):
+        store.overwrite_partition(rows.filter("graph_id = 'a'"), str(tmp_path / "t"), "graph_id", "a")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
 def test_prefilter_falls_back(spark):
     units = spark.createDataFrame([("java", "x"), ("xpages", "y")], "language string, body string")
     assert [r["language"] for r in audit.prefilter_or_all(units).collect()] == ["java"]
@@ -80,6 +99,12 @@ def test_reports(spark):
     files = exports.parsed(spark.createDataFrame([("sales.dxl", ONE)], "source_file string, text string")).cache()
     catalog = {r["field"]: r for r in reports.rules_catalog(exports.fields(files), exports.blocks(files)).collect()}
     assert catalog["Status"]["n_lookups"] == 1 and catalog["Status"]["hide_when"] == "!@IsNewDoc" and catalog["Logo"]["default"] is None
+    totals = reports.catalog_totals(reports.rules_catalog(exports.fields(files), exports.blocks(files))).first()
+    assert (totals["n_forms"], totals["n_fields"], totals["n_validations"], totals["n_lookups"]) == (2, 3, 1, 1)
+    at = {(r["field"], r["view"], r["source"]) for r in reports.catalog_lookups(exports.fields(files), exports.blocks(files), edges.from_exports(files)).collect()}
+    assert at == {("Status", "vwStatus", "field"), (None, "vwAll", "form")}
+    said = spark.range(1).select(reports.field_sentence(F.lit("dtShipDate"), F.lit("@Failure(x)"), F.lit(None), F.lit("@Today")).alias("x")).first()["x"]
+    assert said == "Ship Date: Starts as a computed value. Uses the current date. Is checked on save. Rejects values with a message."
     found = rules.findings(exports.code_units(exports.blocks(files)))
     assert "# Code audit" in reports.markdown(found) and reports.snapshot(found, "now").first()["risk"] == "LOW"
     nodes = {r["id"]: r["declared"] for r in reports.viz_nodes(exports.elements(files), edges.from_exports(files)).collect()}
