@@ -202,11 +202,11 @@ def alike(a: Node, b: Node) -> float:
     return 0.0 if shared < 0.34 and a.tag not in LEAF_TAGS and a.shape and b.shape else 1 + shared
 
 
-def _blend(a: Node, b: Node, same_page: bool) -> Node:
+def _blend(a: Node, b: Node, same_page: bool, top: bool = True) -> Node:
     """One block for two; same_page: they are repetitions in one page, and the texts' chars add up but the pages do not."""
     out = Node(a.sig, a.words | b.words)
     out.links, out.chars = a.links + b.links, a.chars + b.chars
-    out.repeated, out.optional = a.repeated or b.repeated or same_page, a.optional or b.optional
+    out.repeated, out.optional = a.repeated or b.repeated or same_page and top, a.optional or b.optional
     out.n = max(a.n, b.n) if same_page else a.n + b.n
     out.text = a.text if a.text == b.text else None
     out.children = merged(a.children, b.children, same_page)
@@ -258,7 +258,7 @@ def merged(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
     out = []
     for i, j in align(a, b):
         if i is not None and j is not None:
-            out.append(_blend(a[i], b[j], same_page) if a[i].sig != "#" or not same_page else _blend(a[i], b[j], True))
+            out.append(_blend(a[i], b[j], same_page, False))
         else:
             node = a[i] if j is None else b[j]
             node.optional = True
@@ -280,6 +280,15 @@ def add(known: Node | None, new: Node) -> Node:
     return new if known is None else _blend(known, new, False)
 
 
+def expression(node: Node) -> str:
+    """The wrapper as a union-free regular expression: (...)+ repeats, (...)? is optional, # is a text slot, quoted texts never differ."""
+    if node.sig == "#":
+        body = "#" if node.text is None else json.dumps(node.text, ensure_ascii=False)
+    else:
+        body = f"<{node.sig}>" + " ".join(expression(c) for c in node.children) + f"</{node.tag}>"
+    return f"({body}){'+' * node.repeated}{'?' * node.optional}" if node.repeated or node.optional else body
+
+
 # Labels ---------------------------------------------------------------------------------------
 
 
@@ -337,15 +346,16 @@ def label(root: Node) -> Node:
         best = max(d for d, _ in density)
         chosen = [next(x for d, x in density if d == best)] if best > 0 else []
 
-    def mark(node: Node, varies: bool) -> None:
+    def mark(node: Node, varies: bool, repeated: bool = False) -> None:
+        repeated |= node.repeated
         if node.sig == "#":
-            node.label = "" if varies and node.text is not None and node.n >= 3 and not node.repeated else "m"
+            node.label = "" if varies and node.text is not None and node.n >= 3 and not repeated else "m"
             return
         node.label = "m"
         for c in node.children:
             if c.sig != "#" and (dropped(c, True) or c.tag not in ("p", "h1", "h2", "h3", "h4") and c.chars and c.links > 0.6 * c.chars):
                 continue
-            mark(c, varies)
+            mark(c, varies, repeated)
 
     for node in chosen:
         mark(node, _varies(node))

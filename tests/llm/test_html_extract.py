@@ -63,6 +63,11 @@ def test_wrapper_has_groups_options_and_slots():
     assert find("h1>#").text is None and find("nav>ul>li>#").text is None and find("h2>#").text == "q" and find("article").n == 3
 
 
+def test_expression():
+    a, b = (h.wrapper(h.parse(x)) for x in ("<ul><li>a<li>b</ul><p>x</p>", "<ul><li>c</ul><p>x</p><hr><i>y</i>"))
+    assert h.expression(h.add(a, b)) == '<html><ul>(<li>#</li>)+</ul> <p>"x"</p> ("y")?</html>'
+
+
 def test_merging_does_not_depend_on_how_pages_are_dealt():
     pages = [h.wrapper(h.parse(page(f"{NAV}<div class=x><p>t{k}</p></div>{'<div class=y>z</div>' * (k % 2)}<footer>f</footer>"))) for k in range(6)]
     left = None
