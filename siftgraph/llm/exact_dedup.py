@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftgraph.llm.common import materialise
+from siftgraph.llm.common import materialise, small_or_shuffled
 
 #: A digest with more than this share of the rows is a heavy hitter; 1/SUPPORT bounds the broadcast table (128 KB).
 SUPPORT = 0.001
@@ -69,10 +69,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return of_hot.union(of_rest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Losers of hot groups go map-side; other rows shuffle once."""
+    """The rows of docs that stay, with all their columns. Where ids are unique and known, texts never shuffle unless losers are too many to send."""
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("d")).first()
+    if ids["n"] == ids["d"]:
+        losers = materialise(exact_dedup(docs, id_col, text_col, support).filter(~F.col("kept")).select(id_col))
+        return docs.join(small_or_shuffled(losers), id_col, "left_anti").select(docs.columns)
     whole = docs.select(
         F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("len"), digest(F.col(text_col)).alias("digest")
     )
