@@ -8,8 +8,8 @@ next sampled shingle, twice at most; a small one is brute-forced. What is still
 then compared with the whole bucket, in blocks. Of such a bucket only links that join something are kept: a spanning forest, not its pairs.
 Links are verified on the whole sets, so each is exact; RUNS is what the target recall asks for.
 
-Links make classes (connected components). A document's n_links counts documents with the same set, and those of sets linked to its own;
-in large buckets the kept links count.
+Links make classes (connected components). A document's n_links counts documents with the same set, and those of sets linked to its own.
+A link never leaves its class, so a class with a large bucket is counted by comparing all of its sets, in pairs of chunks that give sums instead of pairs.
 
 Defined results: null, empty and wordless texts have the empty set, and are linked with nothing (each its own class, named by its own id, n_links 0);
 a text of fewer words than a shingle is one shingle; repeated rows are copies of each other; null ids are kept and never name a
@@ -36,6 +36,8 @@ TARGET_RECALL = 0.995
 BRANCHES = 2.0
 #: Sets in a bucket that is brute-forced, and in a chunk of a larger one.
 SMALL, CHUNK = 24, 256
+#: Sets in a chunk of a class whose links are counted whole.
+WHOLE = 1024
 
 
 def runs_for(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, branches: float = BRANCHES) -> int:
@@ -113,11 +115,10 @@ def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return materialise(both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"))
 
 
-def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of the links between the sets of a chunk, those of a spanning forest. With a column "asks", only links of a row that asks to one that doesn't."""
-    pdf = pdf.drop_duplicates([c for c in ("set", "asks") if c in pdf.columns])
-    sets, tokens = pdf["set"].tolist(), [np.unique(np.frombuffer(t, np.uint32)) for t in pdf["tokens"]]
-    n, sizes = len(sets), np.array([len(t) for t in tokens])
+def _linked(tokens: pd.Series) -> np.ndarray:
+    """Which sets are linked, as a matrix."""
+    tokens = [np.unique(np.frombuffer(t, np.uint32)) for t in tokens]
+    n, sizes = len(tokens), np.array([len(t) for t in tokens])
     flat, owner = np.concatenate(tokens), np.repeat(np.arange(n), sizes)
     known, place, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = np.zeros((n, n), np.float32)
@@ -130,7 +131,22 @@ def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
         block = np.zeros((n, min(4096, len(often) - k)), np.float32)
         block[owner[own], place[own] - k] = 1
         shared += block @ block.T
-    linked = shared >= THRESHOLD * (sizes[:, None] + sizes[None, :] - shared) - 1e-4
+    return shared >= THRESHOLD * (sizes[:, None] + sizes[None, :] - shared) - 1e-4
+
+
+def _degrees(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(set, n_near): documents of the sets linked to each, between the two chunks of a task or within its only one; pdf: set, n_copies, tokens, own, x, y."""
+    linked, own = _linked(pdf["tokens"]), pdf["own"].to_numpy()
+    linked &= (own[:, None] != own[None, :]) | (pdf["x"].iloc[0] == pdf["y"].iloc[0])
+    np.fill_diagonal(linked, False)
+    return pd.DataFrame({"set": pdf["set"], "n_near": linked @ pdf["n_copies"].to_numpy(np.int64)})
+
+
+def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the links between the sets of a chunk, those of a spanning forest. With a column "asks", only links of a row that asks to one that doesn't."""
+    pdf = pdf.drop_duplicates([c for c in ("set", "asks") if c in pdf.columns])
+    sets, linked = pdf["set"].tolist(), _linked(pdf["tokens"])
+    n = len(sets)
     same = np.array([{s: i for i, s in enumerate(sets)}[s] for s in sets])
     if "asks" in pdf.columns:
         asks = pdf["asks"].to_numpy(bool)
@@ -169,8 +185,25 @@ def _links_of_large(large: DataFrame, tokens: DataFrame, good: DataFrame) -> Dat
     return first.union(materialise(second.distinct()))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with id_, set and text_key; the links (a, b) between different sets)."""
+def _near(good: DataFrame, roots: DataFrame, copies: DataFrame, tokens: DataFrame, large: DataFrame) -> DataFrame:
+    """(set, n_near): documents of the sets linked to each set that has any."""
+    ends = good.union(good.select("b", "a"))
+    near = ends.join(copies.select(F.col("set").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("n_copies").alias("n_near"))
+    if large.isEmpty():
+        return near
+    rooted = roots.withColumnRenamed("node", "set")
+    hot = materialise(rooted.join(large.select("set").distinct(), "set").select("root").distinct())
+    members = materialise(rooted.join(small_or_shuffled(hot), "root"))
+    chunks = materialise(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("chunks")))
+    own = members.join(small_or_shuffled(chunks), "root").withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks")))
+    dealt = own.join(copies.select("set", "n_copies"), "set").join(tokens, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set", "n_copies", "tokens")
+    counted = dealt.groupBy("root", "x", "y").applyInPandas(_degrees, "set binary, n_near long").groupBy("set").agg(F.sum("n_near").alias("n_near"))
+    return materialise(near.join(members.select("set"), "set", "left_anti").union(counted))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents with id_, set and text_key; links (a, b) between different sets, of large buckets a forest; (set, tokens) of the sets compared; the large buckets)."""
     runs = runs_for()
     texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text", F.length("text")))
     made = with_made(texts, "text", "set binary, size long, p1 array<long>, p2 array<long>, p3 array<long>", _sketch(runs)).drop("text")
@@ -189,16 +222,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     good = _verify(pairs, tokens)
     if not large.isEmpty():
         good = materialise(good.union(_links_of_large(large, tokens, good)).distinct())
-    return rows.select("id_", "set"), good
+    return rows.select("id_", "set"), good, tokens, large
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (the least id of its class), n_links, n_copies."""
-    members, good = links(docs, id_col, text_col)
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """One row per document: id, class_id (the least id of its class), n_links, n_copies. Where links needn't be counted, n_links has only copies."""
+    members, good, tokens, large = links(docs, id_col, text_col)
     roots = components(good)
     copies = members.groupBy("set").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id_").alias("least_id"))
-    ends = good.union(good.select("b", "a"))
-    degree = ends.join(copies.select(F.col("set").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("n_copies").alias("n_near"))
+    degree = _near(good, roots, copies, tokens, large) if counted else members.select("set", F.lit(None).cast("long").alias("n_near")).limit(0)
     known = materialise(copies.filter("set is not null").join(roots.withColumnRenamed("node", "set"), "set", "left").join(degree, "set", "left").withColumn("root", F.coalesce("root", "set")))
     classes = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
     per_set = materialise(known.join(classes, "root").select("set", "class_id", (F.col("n_copies") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_links"), "n_copies"))
@@ -217,6 +249,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         out, key = docs, id_col
     else:
         out, key = materialise(docs.withColumn("row__", F.monotonically_increasing_id())), "row__"
-    found = join(out, key, text_col)
+    found = join(out, key, text_col, counted=False)
     losers = materialise(found.filter(F.col(key) != F.col("class_id")).select(key))
     return out.join(small_or_shuffled(losers), key, "left_anti").select(docs.columns)

@@ -57,6 +57,22 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, small, chunk):
     assert got == dict(enumerate(roots))
 
 
+@pytest.mark.parametrize("whole", [20, 1024])
+def test_links_of_a_large_group_are_all_counted(spark, monkeypatch, whole):
+    monkeypatch.setattr(j, "WHOLE", whole, raising=False)
+    rng = random.Random(7)
+    texts = []
+    for k in range(100):  # near copies of one text, most of them linked with each other
+        words = [f"w{i}" for i in range(300)]
+        for at in rng.sample(range(300), 1 + k % 4):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    texts += [texts[5]] * 3 + [" ".join(f"z{i + k // 2}" for i in range(200)) for k in range(4)]
+    _, degree = brute(texts)
+    got = {r["doc_id"]: r["n_links"] for r in j.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(degree))
+
+
 def test_odd_rows(spark, documents):
     rows = [(r["doc_id"], r["class_id"], r["n_links"]) for r in j.join(documents).collect()]
     assert len(rows) == documents.count()
