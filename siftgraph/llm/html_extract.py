@@ -1,14 +1,20 @@
 """Main text of web pages by wrapper inference with union-free regular expressions.
 
-A page is a stream of tags and texts, read as a tree of blocks. The pages of a host are aligned one after
-another into a wrapper: runs of like siblings and tandem repeats become repeated groups, blocks that only some pages have become optional,
-and texts that differ become slots. Aligning is also how two wrappers merge, so each task folds its own pages and only wrappers travel:
-partial wrappers of a host meet in groups of bounded size, twice.
-
-The wrapper is then labelled once for the host: regions that menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are known by (tag, role, class or id) go; the main region is the article, else the main or content region, else the block whose
-paragraphs hold most text in all pages; inside it, lists of links and texts that never differ between pages whose other texts do
-go too. A page's blocks take the labels of the wrapper's blocks that they align with.
+A page is a stream of tokens: block tags and the texts between them. The stream folds in place while it is read: like neighbours and tandem
+repeats become repeated groups. Streams of one host are then aligned, token by token: equal tags go on, texts that differ become slots,
+and a mismatch of tags skips to the nearest place where both streams agree again, which makes what was skipped optional. The result is the
+host's wrapper, a union-free regular expression; a wrapper is itself such a stream, so wrappers merge by the same alignment, each task folds
+its own pages, and only wrappers travel: partial wrappers of a host meet in groups of bounded size, twice.
+
+The wrapper is labelled once for the host. A slot is the template's if at least nine of ten pages have the same texts in it, else content.
+The main region is the article or main element if the markup has one that holds content, else the block with most varying text outside links.
+In it, everything is main text but regions whose elements say otherwise (nav, aside, form and the like), regions that never differ while the
+rest does, and, as markup gives no other sign between two regions that both vary, those that class, id, role or heading call comments,
+adverts, menus, sidebars, notices and the like. A page is aligned with its host's wrapper, and its texts take the labels of the slots that they meet; a
+block that meets nothing takes the label of the block around it.
+
+Nothing recurs: nesting of any depth is read by loops. A wrapper of more than MOST_TOKENS tokens forgets its rarest optional blocks
+(pages that have them label them by the block around); no page's text is cut by that.
 
 Defined results: null and empty html give an empty text; cut or unclosed markup ends where the page ends; pages without a host share one wrapper; a page that
 its host's labels leave without any text is labelled by itself; repeated rows give the same text; an empty table gives no rows; extra columns are ignored.
@@ -19,396 +25,607 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgraph.llm.common import materialise, with_made
 
-#: Wrappers up to which they are sent to every machine (a few KB each); beyond it pages meet theirs in a shuffled join.
-MOST_WRAPPERS = 5_000
+#: Wrappers up to which they are sent to every machine (a few KB each); beyond it pages meet theirs in a shuffled join, a host dealt over SALTS.
+MOST_WRAPPERS, SALTS = 5_000, 16
 #: Hosts whose wrappers a task holds before it sends them on, and ways that a host's partial wrappers are first dealt.
 HELD_HOSTS, WAYS = 2_000, 64
+#: Tokens of a wrapper beyond which its rarest optional blocks are forgotten, and blocks that a mismatch looks ahead.
+MOST_TOKENS, LOOK = 20_000, 128
 #: Longest tandem repeat that becomes a group.
 PERIOD = 6
+#: Pages, and share of the host's pages, that a template's text needs; share of the region's text that must vary for it to count.
+LEAST_PAGES, LEAST_SHARE, LEAST_VARYING = 3, 0.25, 0.1
 
 # Kinds of elements, and words in class, id or role that tell what a region is.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 RAW = set("script style noscript template iframe noframes textarea title svg xmp object math canvas audio video select".split())
 CLOSED_BY = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+SEMANTIC = set("article main nav footer aside header form".split())
 DROPPED_TAGS = set("head nav footer aside form button dialog menu fieldset".split()) | RAW
-DROPPED_WORDS = set(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary footer header masthead banner topbar cookie cookies consent gdpr notice notices alert alertdialog"
-    " warning disclaimer ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion share sharing social comment comments commentlist disqus reply replies respond responses discussion"
-    " related recommended newsletter subscribe subscription signup login search popup modal overlay toolbar pagination pager widget widgets copyright legal contentinfo skip".split()
+LEAF_TAGS = set("p li h1 h2 h3 h4 h5 h6 td th tr dt dd blockquote pre #".split())
+#: Names of regions that are never an article's, whatever they hold.
+STRONG = set(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar complementary footer masthead topbar contentinfo banner cookie cookies consent gdpr notice notices"
+    " ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored comment comments commentlist disqus share sharing social newsletter subscribe subscription pagination pager".split()
 )
+#: Names of regions that may be an article's: they decide only outside the main region, or where the region's text never differs or is links.
+WEAK = set("aside header alert alertdialog warning disclaimer promo promotion reply replies respond responses discussion related recommended signup login search popup modal overlay toolbar widget widgets copyright legal skip".split())
+#: Parts of names that say only where or how.
+FILLER = set("box block area section sections wrap wrapper container list item items bar inner outer top bottom left right buttons button links slot panel row col column unit region holder group content".split())
 MAIN_WORDS = set("article content main post entry story body text maincontent articlebody postbody".split())
 #: Headings of regions that aren't the article's.
-DROPPED_HEADINGS = re.compile(r"(\d+\s+)?(reader |user |leave a |post a |add a )?(comments?|repl(y|ies)|responses?|discussion)( \(?\d+\)?)?:?|related( articles| posts| stories)?|share( this)?.{0,20}|advertisements?|sponsored|newsletter|subscribe.{0,30}|most (read|popular)|tags|menu|navigation", re.I)
-LEAF_TAGS = set("p li h1 h2 h3 h4 h5 h6 td th tr dt dd blockquote pre #".split())
+AWAY = re.compile(r"(\d+\s+)?(reader |user |leave a |post a |add a )?(comments?|repl(y|ies))( \(?\d+\)?)?:?|related( articles| posts| stories)|share( this)?|advertisements?|sponsored|newsletter|subscribe.{0,30}|most (read|popular)|menu|navigation", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=/?[A-Za-z])[^>]*(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(?=/?[A-Za-z])[^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_WHITE = re.compile(r"\s+")
+_NUMBERS = re.compile(r"(?<=[-_])\d+|\d{3,}")
+_UNCLOSED = {tag: re.compile(f"</{tag}\\b[^>]*(?:>|$)", re.I) for tag in RAW}
 
 
-class Node:
-    """A block, or with sig "#" a text; also a wrapper's block, with counts over the pages that it stands for."""
+class Token:
+    """The start of a block ("<"), a text or slot ("#"), the start of a group ("(") or the end of either (">").
 
-    __slots__ = ("sig", "children", "text", "links", "words", "repeated", "optional", "n", "chars", "label", "shape_")
-
-    def __init__(self, sig: str, words: frozenset = frozenset()) -> None:
-        self.sig, self.words = sig, words
-        self.children: list[Node] = []
-        self.text: str | None = None
-        self.links = self.chars = 0
-        self.repeated = self.optional = False
-        self.n, self.label, self.shape_ = 1, "", None
+    value holds a slot's texts in most pages (a digest where it has several in a page) and votes how far these lead; at holds, in a page, where its texts are.
+    """
 
-    @property
-    def tag(self) -> str:
-        return self.sig.split(".", 1)[0]
+    __slots__ = ("kind", "sym", "tag", "hint", "shape", "repeated", "optional", "n", "chars", "links", "value", "votes", "label", "at")
 
-    @property
-    def shape(self) -> frozenset:
-        if self.shape_ is None:
-            self.shape_ = frozenset(x for c in self.children for x in (c.sig, *(c.sig + ">" + g.sig for g in c.children)) if c.sig != "#")
-        return self.shape_
+    def __init__(self, kind: str, sym: str = "", hint: str = "", shape: frozenset = frozenset(), n: int = 1, chars: int = 0, links: int = 0, value: str = "", votes: int = 1) -> None:
+        self.kind, self.sym, self.hint, self.shape = kind, sym, hint, shape
+        self.tag = "(" if kind == "(" else sym.split(".", 1)[0]
+        self.repeated = self.optional = False
+        self.n, self.chars, self.links, self.value, self.votes = n, chars, links, value, votes
+        self.label, self.at = "", []
 
     def pack(self) -> list:
-        return [self.sig, sorted(self.words), [c.pack() for c in self.children], self.text, self.links, self.chars, int(self.repeated), int(self.optional), self.n, self.label]
+        return [self.kind, self.sym, self.hint, sorted(self.shape), int(self.repeated), int(self.optional), self.n, self.chars, self.links, self.value, self.votes, self.label]
 
     @staticmethod
-    def unpack(x: list) -> Node:
-        node = Node(x[0], frozenset(x[1]))
-        node.children = [Node.unpack(c) for c in x[2]]
-        _, _, _, node.text, node.links, node.chars, r, o, node.n, node.label = x
-        node.repeated, node.optional = bool(r), bool(o)
-        return node
+    def unpack(x: list) -> Token:
+        if x[0] == ">":
+            return END
+        t = Token(x[0], x[1], x[2], frozenset(x[3]), *x[6:11])
+        t.repeated, t.optional, t.label = bool(x[4]), bool(x[5]), x[11]
+        return t
+
+
+END = Token(">")
+
 
+def pack(tokens: list[Token]) -> str:
+    return json.dumps([t.pack() if t.kind != ">" else [">"] for t in tokens], ensure_ascii=False)
 
-# Pages as trees -------------------------------------------------------------------------------
 
+def unpack(packed: str) -> list[Token]:
+    return [Token.unpack(x) for x in json.loads(packed)]
 
-def _described(tag: str, attributes: str) -> tuple[str, frozenset]:
-    """A block's signature (its tag with class and id, without numbers), and the words in them."""
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return tag, frozenset()
-    names, words = [], set()
+
+def ends(tokens: list[Token]) -> list[int]:
+    """For each token the last token of what it starts."""
+    out, open_ = list(range(len(tokens))), []
+    for k, t in enumerate(tokens):
+        if t.kind in "<(":
+            open_.append(k)
+        elif t.kind == ">":
+            out[open_.pop()] = k
+    return out
+
+
+# Pages as token streams -----------------------------------------------------------------------
+
+
+@lru_cache(maxsize=20_000)
+def described(tag: str, attributes: str) -> tuple[str, str]:
+    """A block's symbol (its tag, with class and id but for numbers) and what its names say: strong, weak, main, hidden or nothing."""
+    if tag in ("html", "body") or not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+        return tag, ""
+    names, heads, main = [], set(), False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")  # noqa: PLW2901
         if key in ("class", "id", "role"):
-            names += re.sub(r"\d+", "", value).lower().split()
-            words.update(w.lower() for w in _PARTS.findall(value))
-            words.update(value.lower().split())
+            if key == "class" or not re.search(r"\d", value):
+                names += _NUMBERS.sub("", value).lower().split()
+            for name in value.split():
+                parts = [p.lower() for p in _PARTS.findall(name)]
+                main |= bool(MAIN_WORDS & {*parts, name.lower()})
+                while len(parts) > 1 and parts[-1] in FILLER:
+                    parts.pop()
+                heads.update(parts[-1:], (name.lower(),))  # the noun that the other parts describe
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            words.add("hidden!")
-    return ".".join([tag, *sorted(set(names))]), frozenset(words)
+            return f"{tag}.hidden", "hidden"
+    hint = "strong" if heads & STRONG else "weak" if heads & WEAK else "main" if main else ""
+    if tag in SEMANTIC:  # what it is counts, whatever names it has
+        return f"{tag}.{hint}" if hint == "strong" else tag, hint
+    return ".".join([tag, *sorted(set(names))]), hint
 
 
-def parse(source: str | None) -> Node:
-    """The page's tree of blocks; texts of inline elements belong to the block around them."""
-    root = Node("html")
+def events(source: str | None) -> Iterator[tuple]:
+    """("<", symbol, hint), ("#", text, characters in links) and (">",): balanced; texts of inline elements belong to the block around them."""
     if not source:
-        return root
-    stack, texts, links, anchors = [root], [], 0, 0
-
-    def flush() -> None:
+        return
+    stack: list[str] = []
+    open_: Counter[str] = Counter()
+    texts: list[str] = []
+    links = anchors = at = 0
+    end = len(source)
+
+    def text() -> tuple | None:
         nonlocal links
-        if texts:
-            text = "".join(texts)
-            if "&" in text:
-                text = entities.unescape(text)
-            text = _WHITE.sub(" ", text).strip()
-            if text:
-                leaf = Node("#")
-                leaf.text, leaf.chars, leaf.links = text, len(text), min(links, len(text))
-                stack[-1].children.append(leaf)
-            texts.clear()
+        joined = "".join(texts)
+        if "&" in joined:
+            joined = entities.unescape(joined)
+        joined = " ".join(joined.split())
+        found = ("#", joined, min(links, len(joined))) if joined else None
+        texts.clear()
         links = 0
+        return found
+
+    def closing(k: int) -> Iterator[tuple]:
+        while len(stack) > k:
+            open_[stack.pop()] -= 1
+            yield (">",)
 
-    at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None or m.start() > at:
-            text = source[at : m.start() if m else end]
-            texts.append(text)
-            links += len(text) * (anchors > 0)
+            piece = source[at : m.start() if m else end]
+            texts.append(piece)
+            links += len(piece) * anchors
             if m is None:
                 break
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[1])
+        tag, closes = tag.lower(), bool(m[1])
         if tag == "a":
-            anchors = 0 if closing else 1
-        if tag in INLINE:
+            anchors = 0 if closes else 1
+        if tag in INLINE or tag in ("img", "wbr"):
             continue
         if tag == "br":
             texts.append(" ")
             continue
-        if tag in ("img", "wbr"):
-            continue
-        flush()
+        if texts and (found := text()):
+            yield found
         anchors = 0
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if closes:
+            if open_[tag]:
+                yield from closing(next(k for k in range(len(stack) - 1, -1, -1) if stack[k] == tag))
             continue
         if tag in VOID or m[3].endswith("/") and tag in RAW:
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\b[^>]*(?:>|$)", re.I).search(source, at)
+            close = _UNCLOSED[tag].search(source, at)
             at = close.end() if close else end
             continue
-        if tag in ("html", "body") and len(stack) == 1:
+        if tag in ("html", "body") and not stack:
             continue
-        if tag not in ("html", "body") and stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSED_BY[tag]:
+        if stack and stack[-1] in ("p", *HEADINGS) and tag not in ("html", "body"):
+            yield from closing(len(stack) - 1)
+        same = {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}
+        if tag in CLOSED_BY and any(open_[x] for x in same):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] in CLOSED_BY[tag]:
                     break
-                if stack[k].tag == tag or {stack[k].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    del stack[k:]
+                if stack[k] in same:
+                    yield from closing(k)
                     break
-        if stack[-1].tag == "head" and tag not in DROPPED_TAGS:
-            stack.pop()
-        node = Node(*_described(tag, m[3]))
-        stack[-1].children.append(node)
-        stack.append(node)
-    flush()
-    return root
-
-
-# Wrappers -------------------------------------------------------------------------------------
-
-
-def alike(a: Node, b: Node) -> float:
-    """0 if the blocks can't be the same part of the template, else 1 and how much their shapes share."""
-    if a.sig != b.sig:
-        return 0.0
-    if a.shape == b.shape:
-        return 2.0
-    shared = len(a.shape & b.shape) / len(a.shape | b.shape)
-    return 0.0 if shared < 0.34 and a.tag not in LEAF_TAGS and a.shape and b.shape else 1 + shared
-
-
-def _blend(a: Node, b: Node, same_page: bool, top: bool = True) -> Node:
-    """One block for two; same_page: they are repetitions in one page, and the texts' chars add up but the pages do not."""
-    out = Node(a.sig, a.words | b.words)
-    out.links, out.chars = a.links + b.links, a.chars + b.chars
-    out.repeated, out.optional = a.repeated or b.repeated or same_page and top, a.optional or b.optional
-    out.n = max(a.n, b.n) if same_page else a.n + b.n
-    out.text = a.text if a.text == b.text else None
-    out.children = merged(a.children, b.children, same_page)
-    return out
+        if stack and stack[-1] == "head" and tag not in DROPPED_TAGS:
+            yield from closing(len(stack) - 1)
+        sym, hint = described(tag, m[3])
+        stack.append(tag)
+        open_[tag] += 1
+        yield "<", sym, hint
+    if texts and (found := text()):
+        yield found
+    yield from closing(0)
+
+
+def stream(source: str | None) -> tuple[list[Token], list[str]]:
+    """The page's folded token stream, which is its own wrapper, and its texts in order."""
+    out: list[Token] = []
+    texts: list[str] = []
+    levels: list[list[int]] = [[]]  # where the blocks of each open level start
+    starts: list[int] = []
+    for e in events(source):
+        if e[0] == "<":
+            starts.append(len(out))
+            levels.append([])
+            out.append(Token("<", e[1], e[2]))
+            continue
+        if e[0] == "#":
+            t = Token("#", "#", "", chars=len(e[1]), links=e[2], value=e[1] if len(e[1]) <= 80 else "\2" + _digest(e[1]))
+            t.at.append(len(texts))
+            texts.append(e[1])
+            if starts and out[starts[-1]].tag in HEADINGS and len(e[1]) < 60 and AWAY.fullmatch(e[1]):
+                out[starts[-1]].hint = "away"
+            levels[-1].append(len(out))
+            out.append(t)
+        else:
+            start = starts.pop()
+            out[start].shape = frozenset(out[k].sym for k in levels.pop() if out[k].kind == "<")
+            out.append(END)
+            levels[-1].append(start)
+        _fold(out, levels[-1])
+    return out, texts
 
 
-def fold(children: list[Node]) -> list[Node]:
-    """Runs of like siblings and tandem repeats as repeated groups."""
-    out: list[Node] = []
-    for c in children:
-        if out and out[-1].sig == c.sig and (c.tag in LEAF_TAGS or alike(out[-1], c) >= 1.5):
-            out[-1] = _blend(out[-1], c, True)
-        else:
-            out.append(c)
-    for period in range(2, PERIOD + 1):
-        k = 0
-        while k + 2 * period <= len(out):
-            if all(alike(out[k + i], out[k + period + i]) for i in range(period)):
-                out[k : k + 2 * period] = [_blend(out[k + i], out[k + period + i], True) for i in range(period)]
-            else:
-                k += 1
+def _digest(text: str) -> str:
+    return "\0" + xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+# Alignment ------------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=20_000)
+def _near_names(a: str, b: str) -> bool:
+    x, y = set(a.split(".")), set(b.split("."))
+    shared = len((x & y) - {a.split(".", 1)[0]})
+    return shared > 0 and 2 * shared >= len(x | y) - 1
+
+
+def alike(a: Token, b: Token) -> bool:
+    """Whether what the tokens start may be the same part of a template."""
+    if a.kind != b.kind or a.tag != b.tag or a.sym != b.sym and (a.kind == "(" or not _near_names(a.sym, b.sym)):
+        return False
+    return a.kind != "<" or a.tag in LEAF_TAGS or not a.shape or not b.shape or 2 * len(a.shape & b.shape) >= min(len(a.shape), len(b.shape))
+
+
+def _again(a: Token, b: Token) -> None:
+    """Slot a also stands for b, which comes after it in the same page."""
+    a.value, a.votes, a.chars, a.links = _digest(a.value + "\1" + b.value), 1, a.chars + b.chars, a.links + b.links
+    a.at.extend(b.at)
+
+
+def _blend(a: Token, b: Token, same_page: bool) -> Token:
+    """One token for two of as many pages, or for two occurrences in one page."""
+    out = Token(a.kind, a.sym, a.hint if a.hint == b.hint else "strong" if "strong" in (a.hint, b.hint) and a.sym == b.sym else "", a.shape | b.shape, max(a.n, b.n) if same_page else a.n + b.n, a.chars + b.chars, a.links + b.links)
+    out.repeated, out.optional, out.label = a.repeated or b.repeated, a.optional or b.optional, a.label
+    out.at = a.at or b.at
+    if a.at and b.at:
+        a.at.extend(b.at)
+    if a.kind == "#":
+        if same_page:
+            out.value, out.votes = _digest(a.value + "\1" + b.value), 1
+        elif a.value == b.value:
+            out.value, out.votes = a.value, a.votes + b.votes
+        else:  # the leading value, by as much as it leads
+            lead = max(a, b, key=lambda t: (t.votes, t.value))
+            out.value, out.votes = lead.value, abs(a.votes - b.votes)
     return out
 
 
-def align(a: list[Node], b: list[Node]) -> list[tuple[int | None, int | None]]:
-    """Pairs of places that match best in order; None where one side has no counterpart."""
-    if len(a) == len(b) and all(x.sig == y.sig and alike(x, y) for x, y in zip(a, b, strict=True)):
-        return [(k, k) for k in range(len(a))]
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            s = alike(a[i], b[j])
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + s if s else 0.0)
-    out, i, j = [], 0, 0
+def aligned(a: list[Token], b: list[Token], same_page: bool = False, met: Callable[[Token | None, Token, Token | None], None] | None = None) -> list[Token]:
+    """One stream for two. With met(of a or None, of b, the block of a around it) none is made, but told what each block of b meets; one that meets nothing is told whole."""
+    out: list[Token] = []
+    to_a, to_b = ends(a), ends(b)
+    around: list[Token | None] = []
+    lone: list[str] = []  # which side of each open group has no group of its own
+    i = j = 0
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and (s := alike(a[i], b[j])) and best[i][j] == best[i + 1][j + 1] + s:
-            out.append((i, j))
+        x, y = a[i] if i < len(a) else END, b[j] if j < len(b) else END
+        if x is END and lone and lone[-1] == "b" or y is END and lone and lone[-1] == "a":
+            out.append(END)
+            i, j = i + (lone[-1] == "b"), j + (lone[-1] == "a")
+            around.pop()
+            lone.pop()
+        elif x is END and y is END:
+            out.append(END)
+            i, j = i + 1, j + 1
+            around.pop()
+            lone.pop()
+        elif x is not END and y is not END and alike(x, y):
+            if met:
+                met(x, y, around[-1] if around else None)
+            else:
+                out.append(_blend(x, y, same_page))
+            if x.kind != "#":
+                around.append(x)
+                lone.append("")
             i, j = i + 1, j + 1
-        elif j >= len(b) or i < len(a) and best[i][j] == best[i + 1][j]:
-            out.append((i, None))
+        elif x.kind == "(" != y.kind and y is not END and _holds(a, i, to_a, b, j, to_b):  # a group on one side meets one turn of it
+            out.append(x)
+            around.append(x)
+            lone.append("b")
             i += 1
-        else:
-            out.append((None, j))
+        elif y.kind == "(" != x.kind and x is not END and _holds(b, j, to_b, a, i, to_a):
+            out.append(y)
+            around.append(around[-1] if around else None)
+            lone.append("a")
             j += 1
-    return out
-
-
-def merged(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
-    out = []
-    for i, j in align(a, b):
-        if i is not None and j is not None:
-            out.append(_blend(a[i], b[j], same_page, False))
         else:
-            node = a[i] if j is None else b[j]
-            node.optional = True
-            out.append(node)
+            skip_a, skip_b = _agree(a, i, to_a, b, j, to_b)
+            for tokens, first, last in ((a, i, skip_a), (b, j, skip_b)):
+                k, to = first, to_a if tokens is a else to_b
+                while k < last:
+                    if not met:
+                        tokens[k].optional = True
+                        out += tokens[k : to[k] + 1]
+                    elif tokens is b:
+                        met(None, b[k], around[-1] if around else None)
+                    k = to[k] + 1
+            i, j = skip_a, skip_b
     return out
 
 
-def wrapper(page: Node) -> Node:
-    """The page's own wrapper: its tree with repeats folded from the leaves up."""
-    out = Node(page.sig, page.words)
-    out.text, out.links, out.chars = page.text, page.links, page.chars
-    out.children = fold([wrapper(c) for c in page.children])
-    if out.children:
-        out.chars, out.links = sum(c.chars for c in out.children), sum(c.links for c in out.children)
-    return out
+def _holds(a: list[Token], i: int, to_a: list[int], b: list[Token], j: int, to_b: list[int]) -> bool:
+    """Whether the parts of the group at a[i] are alike, one by one, to the blocks from b[j] on."""
+    k, end = i + 1, to_a[i]
+    while k < end:
+        if j >= len(b) or not alike(a[k], b[j]):
+            return False
+        k, j = to_a[k] + 1, to_b[j] + 1
+    return True
+
+
+def _agree(a: list[Token], i: int, to_a: list[int], b: list[Token], j: int, to_b: list[int]) -> tuple[int, int]:
+    """The nearest later places on this level where the streams agree, or the level's ends."""
+
+    def blocks(tokens: list[Token], k: int, to: list[int]) -> list[int]:
+        found = []
+        while k < len(tokens) and tokens[k] is not END and len(found) < LOOK:
+            found.append(k)
+            k = to[k] + 1
+        return [*found, k]
+
+    left, right = blocks(a, i, to_a), blocks(b, j, to_b)
+    places: dict[tuple[str, str], list[int]] = {}
+    for m, k in enumerate(right[:-1]):
+        places.setdefault((b[k].kind, b[k].tag), []).append(m)
+    best = len(left) + len(right)
+    found = left[-1], right[-1]
+    for n, k in enumerate(left[:-1]):
+        if n >= best:
+            break
+        for m in places.get((a[k].kind, a[k].tag), ()):
+            if n + m >= best:
+                break
+            if alike(a[k], b[right[m]]):
+                best, found = n + m, (k, right[m])
+                break
+    return found
+
+
+def _fold(out: list[Token], blocks: list[int]) -> None:
+    """The last block of a level joins what it repeats: its neighbour, the end of a group, a turn of a group, or a new group."""
+    if len(blocks) < 2:
+        return
+    last, new = blocks[-2:]
+    if alike(out[last], out[new]):
+        if new - last == 3 == len(out) - new and out[last + 1].kind == out[new + 1].kind == "#" or out[new].kind == "#":  # as most are: one text each
+            _again(*(out[last], out[new]) if out[new].kind == "#" else (out[last + 1], out[new + 1]))
+            out[last].repeated = True
+            del out[new:]
+            blocks.pop()
+            return
+        made = aligned(out[last:new], out[new:], True)
+        made[0].repeated = True
+        out[last:] = made
+        blocks.pop()
+        return
+    if out[last].kind == "(":
+        part = last + 1
+        to = ends(out[last:new])
+        while last + to[part - last] + 2 < new:
+            part = last + to[part - last] + 1
+        if alike(out[part], out[new]):
+            made = aligned(out[part : new - 1], out[new:], True)
+            made[0].repeated = True
+            out[part:] = [*made, END]
+            blocks.pop()
+            return
+    syms = [out[k].sym for k in blocks[-PERIOD - 1 :]]
+    for p in range(2, min(PERIOD, len(blocks) - 1) + 1):
+        group = blocks[-p - 1]
+        if out[group].kind == "(" and out[group].sym == " ".join(syms[-p:]):
+            turn = blocks[-p]
+            head = out[group]
+            made = aligned(out[group + 1 : turn - 1], out[turn:], True)
+            out[group:] = [head, *made, END]
+            del blocks[-p:]
+            return
+    for p in range(2, min(PERIOD, len(blocks) // 2) + 1):
+        one, two = blocks[-2 * p], blocks[-p]
+        if all(out[x].kind != "(" and alike(out[x], out[y]) for x, y in zip(blocks[-2 * p : -p], blocks[-p:], strict=True)):
+            head = Token("(", " ".join(out[k].sym for k in blocks[-2 * p : -p]))
+            head.repeated = True
+            out[one:] = [head, *aligned(out[one:two], out[two:], True), END]
+            del blocks[-2 * p + 1 :]
+            return
 
 
-def add(known: Node | None, new: Node) -> Node:
-    return new if known is None else _blend(known, new, False)
+def add(known: list[Token] | None, new: list[Token]) -> list[Token]:
+    """The wrapper of all pages of both; its first token counts them."""
+    if known is None:
+        return new
+    made = aligned(known, new)
+    if len(made) > MOST_TOKENS:
+        to, rare = ends(made), sorted(t.n for t in made if t.optional)
+        least, kept, k = rare[len(rare) // 2] if rare else 0, [], 0
+        while k < len(made):
+            if made[k].optional and made[k].n <= least:
+                k = to[k] + 1
+                continue
+            kept.append(made[k])
+            k += 1
+        made = kept
+    return made
+
+
+def wrapper(source: str | None) -> list[Token]:
+    """A page's own wrapper, under one block that counts pages."""
+    own = stream(source)[0]
+    for t in own:
+        if t.at:
+            t.at = []
+    return [Token("<", "page"), *own, END]
+
+
+def expression(tokens: list[Token]) -> str:
+    """The wrapper as a union-free regular expression: (...)+ repeats, (...)? is optional, # is a text slot, quoted texts never differ (long ones as "...")."""
+    out, open_, space = [], [], ""
+    for t in tokens:
+        if t.kind == ">":
+            out.append(open_.pop())
+            space = " "
+            continue
+        marks = "+" * t.repeated + "?" * t.optional
+        before, after = (space + "(", f"){marks}") if marks else (space, "")
+        if t.kind == "#":
+            body = "#" if t.votes < t.n or t.value[:1] == "\0" else '"..."' if t.value[:1] == "\2" else json.dumps(t.value, ensure_ascii=False)
+            out.append(before + body + after)
+            space = " "
+        else:
+            out.append(before + (f"<{t.sym}>" if t.kind == "<" else ""))
+            open_.append((f"</{t.tag}>" if t.kind == "<" else "") + after)
+            space = ""
+    return "".join(out)
 
 
-def expression(node: Node) -> str:
-    """The wrapper as a union-free regular expression: (...)+ repeats, (...)? is optional, # is a text slot, quoted texts never differ."""
-    if node.sig == "#":
-        body = "#" if node.text is None else json.dumps(node.text, ensure_ascii=False)
-    else:
-        body = f"<{node.sig}>" + " ".join(expression(c) for c in node.children) + f"</{node.tag}>"
-    return f"({body}){'+' * node.repeated}{'?' * node.optional}" if node.repeated or node.optional else body
+# Labels ---------------------------------------------------------------------------------------
 
 
-# Labels ---------------------------------------------------------------------------------------
+def by_element(t: Token, in_main: bool) -> bool:
+    """Whether the element itself says that it is no part of an article."""
+    return t.tag in DROPPED_TAGS or t.hint == "hidden" or t.tag == "header" and not in_main
 
 
-def dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED_TAGS or "hidden!" in node.words:
-        return True
-    if node.tag == "header":
-        return not in_article
-    if node.tag in ("article", "main", "body", "html") and not node.words & {"comment", "comments", "ad", "ads", "advert", "reply", "related", "sponsored", "promo"}:
-        return False
-    if node.words & DROPPED_WORDS:
-        if in_article and "header" in node.words and not node.words & (DROPPED_WORDS - {"header"}):
-            return False  # an article's own header
-        return not holds_article(node)
-    return node.tag in ("section", "div") and heads_away(node)
+def by_name(t: Token, in_main: bool) -> bool:
+    """Whether its names say so; they break the tie between regions that vary alike."""
+    return t.tag not in ("main", "page") and (t.hint == "strong" or t.hint == "weak" and not in_main and t.tag != "article")
 
 
-def holds_article(node: Node) -> bool:
-    """Whether an article or main region is below: then class words like "with-sidebar" are about layout."""
-    return any(c.tag in ("article", "main") and not c.words & {"comment", "comments", "reply", "related", "teaser", "card"} or holds_article(c) for c in node.children)
+def _headed_away(tokens: list[Token], k: int) -> bool:
+    return tokens[k].tag in ("section", "div") and k + 1 < len(tokens) and tokens[k + 1].hint == "away"
 
 
-def heads_away(node: Node) -> bool:
-    """Whether the block starts with a heading of comments, related articles and the like."""
-    first = next((c for c in node.children if c.sig != "#"), None)
-    if first is None or first.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
-    return any(c.sig == "#" and c.text is not None and DROPPED_HEADINGS.fullmatch(c.text) for c in first.children)
+def label(tokens: list[Token]) -> list[Token]:
+    """Sets label on every token: m where the main text is, else empty."""
+    to, n = ends(tokens), len(tokens)
+    least = max(LEAST_PAGES, LEAST_SHARE * tokens[0].n) if tokens else 0
+    same = [t.kind == "#" and t.n >= least and t.votes >= 0.8 * t.n for t in tokens]
 
+    def over(value: Callable[[int, Token], int]) -> Callable[[int], int]:
+        """The sum of a value over the texts of what a token starts."""
+        sums = [0] * (n + 1)
+        for k, t in enumerate(tokens):
+            sums[k + 1] = sums[k] + (value(k, t) if t.kind == "#" else 0)
+        return lambda k: sums[to[k] + 1] - sums[k]
 
-def label(root: Node) -> Node:
-    """Sets label on every block and text: m where the main text is, else empty."""
-    areas: dict[str, list[Node]] = {"article": [], "main": [], "word": []}
-    density: list[tuple[float, Node]] = []
+    chars, links, varying = over(lambda k, t: t.chars), over(lambda k, t: t.links), over(lambda k, t: 0 if same[k] else t.chars)
+    content = over(lambda k, t: 0 if same[k] else t.chars - t.links)
+    holds = [0] * (n + 1)  # articles and main regions before a token
+    for k, t in enumerate(tokens):
+        holds[k + 1] = holds[k] + (t.kind == "<" and t.tag in ("article", "main") and t.hint != "strong")
 
-    def look(node: Node, in_article: bool) -> None:
-        if node is not root and dropped(node, in_article):
-            return
-        kind = "article" if node.tag == "article" else "main" if node.tag == "main" or "main" in node.words and "." in node.sig else "word" if node.words & MAIN_WORDS else ""
-        if kind and (kind != "article" or not in_article):
-            areas[kind].append(node)
-        own = [c for c in node.children if c.tag in LEAF_TAGS and not dropped(c, in_article)]
-        density.append((sum(c.chars - 2 * c.links for c in own), node))
-        for c in node.children:
-            look(c, in_article or node.tag == "article")
-
-    look(root, False)
-    total = sum(max(d, 0) for d, _ in density)
-    chosen: list[Node] = []
-    for kind in ("article", "main", "word"):
-        own = [x for x in areas[kind] if x.chars - x.links > 0.2 * total]
-        if own and not chosen:
-            chosen = own if kind == "article" else [max(own, key=lambda x: x.chars - 2 * x.links)]
-    if not chosen and density:
-        best = max(d for d, _ in density)
-        chosen = [next(x for d, x in density if d == best)] if best > 0 else []
-
-    def mark(node: Node, varies: bool, repeated: bool = False) -> None:
-        repeated |= node.repeated
-        if node.sig == "#":
-            node.label = "" if varies and node.text is not None and node.n >= 3 and not repeated else "m"
-            return
-        node.label = "m"
-        for c in node.children:
-            if c.sig != "#" and (dropped(c, True) or c.tag not in ("p", "h1", "h2", "h3", "h4") and c.chars and c.links > 0.6 * c.chars):
+    articles, mains, named = [], [], set()
+    own: dict[int, int] = {}  # content of a block's own leaves, less that of links
+    path, in_article, k = [], 0, 0
+    while k < n:
+        t = tokens[k]
+        if t.kind == ">":
+            in_article -= tokens[path.pop()].tag == "article"
+            k += 1
+            continue
+        if t.kind == "<" and (by_element(t, in_article > 0) or (by_name(t, in_article > 0) or _headed_away(tokens, k)) and holds[to[k]] == holds[k + 1]):
+            k = to[k] + 1
+            continue
+        holder = next((p for p in reversed(path) if tokens[p].kind == "<"), 0)
+        if t.kind == "<" and t.tag in LEAF_TAGS or t.kind == "#" and tokens[holder].tag not in LEAF_TAGS:
+            own[holder] = own.get(holder, 0) + content(k) - links(k)
+        if t.kind != "#":
+            if t.tag == "article" and not in_article:
+                articles.append(k)
+            elif t.tag == "main" or "main" in t.sym.split(".")[1:]:
+                mains.append(k)
+            if t.hint == "main":
+                named.add(k)
+            path.append(k)
+            in_article += t.tag == "article"
+        k += 1
+    total = sum(max(v, 0) for v in own.values())
+    chosen = [k for k in articles if content(k) > 0.2 * total] or [k for k in mains if content(k) > 0.2 * total][:1]
+    marked_up = bool(chosen)
+    if not chosen and own and max(own.values()) > 0:
+        best = max(own.values())
+        close = [k for k, v in own.items() if v >= 0.8 * best]
+        chosen = [next((k for k in close if k in named), next(k for k in close if own[k] == best))]
+        chosen = [max((k for k in named if k < chosen[0] <= to[k]), default=chosen[0])]  # the innermost block around it whose name says content and the like
+    for first in chosen:
+        varies = varying(first) >= LEAST_VARYING * max(1, chars(first))
+        k = first
+        while k <= to[first]:
+            t = tokens[k]
+            if t.kind == ">":
+                k += 1
                 continue
-            mark(c, varies, repeated)
-
-    for node in chosen:
-        mark(node, _varies(node))
-    return root
+            never = varies and chars(k) and not varying(k)  # the template's, but for a heading of what varies
+            if never and t.tag in HEADINGS and to[k] + 1 < n and varying(to[k] + 1):
+                for m in range(k, to[k]):
+                    tokens[m].label = "m"
+                k = to[k] + 1
+                continue
+            if k != first and t.kind == "<":
+                linked = t.tag not in ("p", *HEADINGS) and links(k) > 0.6 * chars(k)
+                if never or by_element(t, True) or by_name(t, True) or _headed_away(tokens, k) or linked and (t.hint == "weak" or not marked_up):
+                    k = to[k] + 1
+                    continue
+            t.label = "" if never else "m"
+            k += 1
+    return tokens
+
+
+def main_text(page: list[Token], texts: list[str], known: list[Token]) -> str:
+    """The page's texts that meet main slots of a labelled wrapper, in page order."""
+    to, places = ends(page), {id(t): k for k, t in enumerate(page)}
+    kept: list[int] = []
+
+    def met(like: Token | None, own: Token, around: Token | None) -> None:
+        if like is not None:
+            if own.kind == "#" and like.label:
+                kept.extend(own.at)
+        elif around is not None and around.label:
+            k = places[id(own)]
+            end = to[k]
+            while k <= end:
+                t = page[k]
+                if t.kind == "<" and (by_element(t, True) or by_name(t, True) or _headed_away(page, k)):
+                    k = to[k] + 1
+                    continue
+                if t.kind == "#":
+                    kept.extend(t.at)
+                k += 1
 
+    aligned(known, page, met=met)
+    return " ".join(texts[k] for k in sorted(kept))
 
-def _varies(node: Node) -> bool:
-    return node.text is None and node.sig == "#" or any(_varies(c) for c in node.children)
 
+def extract(source: str | None, known: list[Token] | None) -> str:
+    own, texts = stream(source)
+    if not texts:
+        return ""
+    page = [Token("<", "page"), *own, END]
+    text = main_text(page, texts, known) if known is not None else ""
+    return text or _alone(page, texts)
 
-def main_text(page: Node, known: Node) -> str:
-    """The texts of the page's blocks that align with main blocks of a labelled wrapper."""
-    out: list[str] = []
 
-    def visit(node: Node, like: Node) -> None:
-        if node.sig == "#":
-            if like.label:
-                out.append(node.text)
-            return
-        groups: list[list[Node]] = []
-        for c in node.children:  # runs of like siblings meet the wrapper as one
-            if groups and groups[-1][0].sig == c.sig and (c.tag in LEAF_TAGS or alike(groups[-1][0], c) >= 1.5):
-                groups[-1].append(c)
-            else:
-                groups.append([c])
-        found: dict[int, Node] = {}
-        for i, j in align(like.children, [g[0] for g in groups]):
-            if i is not None and j is not None:
-                found[j] = like.children[i]
-        for j, group in enumerate(groups):
-            to = found.get(j) or next((x for x in like.children if alike(x, group[0])), None)  # a further turn of a repeated group
-            if to is not None:
-                for c in group:
-                    visit(c, to)
-            elif like.label and not dropped(group[0], True):
-                for c in group:
-                    everything(c)
-
-    def everything(node: Node) -> None:
-        if node.sig == "#":
-            out.append(node.text)
-        for c in node.children:
-            if not dropped(c, True):
-                everything(c)
-
-    visit(page, known)
-    return " ".join(out)
-
-
-def extract(source: str | None, known: Node | None) -> str:
-    page = parse(source)
-    text = main_text(page, known) if known is not None else ""
-    return text or main_text(page, label(wrapper(page)))
+def _alone(page: list[Token], texts: list[str]) -> str:
+    return " ".join(texts[k] for k in sorted(k for t in label(page) if t.kind == "#" and t.label for k in t.at))
 
 
 # Over tables ----------------------------------------------------------------------------------
@@ -419,16 +636,16 @@ def host_of(url: Column) -> Column:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Node] = {}
+    held: dict[str, list[Token]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = [(h, json.dumps(w.pack())) for h, w in held.items()]
+        rows = [(h, pack(w)) for h, w in held.items()]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["host", "wrapper"])
 
     for batch in batches:
-        for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            held[host] = add(held.get(host), wrapper(parse(source)))
+        for host, source in zip(batch["host"], batch["html"], strict=True):
+            held[host.as_py()] = add(held.get(host.as_py()), wrapper(source.as_py()))
         if len(held) > HELD_HOSTS:
             yield out()
     yield out()
@@ -438,8 +655,8 @@ def _joined(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known = None
         for x in sorted(pdf["wrapper"]):  # in an order of its own, so that a second run gives the same wrapper
-            known = add(known, Node.unpack(json.loads(x)))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps((label(known) if last else known).pack())]})
+            known = add(known, unpack(x))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [pack(label(known) if last else known)]})
 
     return run
 
@@ -458,30 +675,21 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if known.limit(most + 1).count() <= most:
         sent = {r["host"]: r["wrapper"] for r in known.toLocalIterator()}
         shared = pages.sparkSession.sparkContext.broadcast(sent)
-
-        def make() -> Callable:
-            read: dict[str, Node] = {}
-
-            def of(values: list) -> list:
-                texts = []
-                for v in values:
-                    host = v["host"]
-                    if host not in read and host in shared.value:
-                        read[host] = Node.unpack(json.loads(shared.value[host]))
-                    texts.append(extract(v["html"], read.get(host)))
-                return [texts]
-
-            return of
-
+        wrapper_of = lambda v: shared.value.get(v["host"])
         paired = rows.select("id_", "url_", F.struct("host", "html").alias("page"))
     else:
+        wrapper_of = lambda v: v["wrapper"]
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id_", "url_"), F.lit(SALTS)).cast("int"))
+        paired = dealt.join(salted, ["host", "salt"], "left").select("id_", "url_", F.struct("host", "html", "wrapper").alias("page"))
+
+    def make() -> Callable:
+        read = lru_cache(maxsize=256)(unpack)
 
-        def make() -> Callable:
-            def of(values: list) -> list:
-                return [[extract(v["html"], Node.unpack(json.loads(v["wrapper"])) if v["wrapper"] else None) for v in values]]
+        def of(values: list) -> list:
+            return [[extract(v["html"], read(w) if (w := wrapper_of(v)) else None) for v in values]]
 
-            return of
+        return of
 
-        paired = rows.join(known, "host", "left").select("id_", "url_", F.struct("html", "wrapper").alias("page"))
     made = with_made(paired, "page", "text string", make)
     return made.select(F.col("id_").alias(id_col), F.col("url_").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
