@@ -1,10 +1,11 @@
 """Secret scans: fixed rules, and character Markov models of random strings against ordinary identifiers.
 
 Everything is built from DataFrame functions. A pattern's spans come from the pieces between its matches:
-``split`` gives the gaps, ``regexp_extract_all`` the matches, and running sums of their lengths the offsets.
-The Markov models are first-order over character classes of a fixed alphabet, counted from labelled samples
-with a groupBy, and applied as one map lookup for each pair of characters. A token whose mean
-log-likelihood ratio passes a threshold is a further secret unless it touches a span of the rules.
+``split`` gives the gaps, ``regexp_extract_all`` the matches, and running sums of their lengths, made in chunks, the offsets.
+The Markov models are first-order over characters, counted from labelled samples with a groupBy, and applied as one array lookup for
+each pair of characters of a token: a run of token characters with a digit and a letter, or a longer one with letters of both cases. A token whose
+log-likelihood ratio passes MARGIN for each character and LEAST_LLR in all is a further secret unless it touches a span of the rules: these are
+blanked, by a mark that tokens may hold, before tokens are looked for.
 
 Defined results: null text counts as empty and gives no spans; repeated rows are scanned alike; an empty
 table gives no rows; extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,18 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # the maximal runs that are long enough
-#: What the models judge: runs of token characters with a digit, so that prose never gets there.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9A-Z+/_=-]*[a-z]|[0-9a-z+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,}"
+#: Where rule spans have been blanked; part of a token there, so that what touches one is known.
+BLANK = "\x01"
+#: What the models judge: whole runs of token characters, of 8 or more with a digit and a letter, or of 16 or more with letters of both cases.
+TOKEN = (
+    r"(?<![A-Za-z0-9+/_=\x01-])(?:(?=[A-Za-z+/_=\x01-]*[0-9])(?=[0-9+/_=\x01-]*[A-Za-z])[A-Za-z0-9+/_=\x01-]{8,}"
+    r"|(?=[A-Z+/_=\x01-]*[a-z])(?=[a-z+/_=\x01-]*[A-Z])[A-Za-z+/_=\x01-]{16,})"
+)
 KINDS = ("assign", "access", "hex", "markov")
 #: Nats a character by which the random model must lead.
-MARGIN = 0.35
+MARGIN, LEAST_LLR = 0.35, 9.0
+#: Spans of a chunk, within which running sums are made one by one.
+CHUNK = 64
 MOST_SAMPLES = 20_000
 
 _ALPHABET = "".join(map(chr, range(97, 123))) + "".join(map(chr, range(65, 91))) + "0123456789+/_=-"
@@ -61,21 +70,67 @@ def llr_table(samples: DataFrame) -> dict[str, float]:
     return {a + b: round(p(True, a + b) - p(False, a + b), 4) for a in _ALPHABET for b in _ALPHABET}
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use, or a function of it for each element, reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _chunks(size: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))
+
+
+def _within(c: Column, size: Column) -> Column:
+    """The places of a chunk's elements. Elements are read by place, as a slice would copy the whole array each time."""
+    return F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, size) - 1)
+
+
+def _running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of step over an array of int. An array grows by an element only within chunks, so that the work isn't quadratic."""
+    grow = lambda places, of, first: F.aggregate(
+        places, F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, i: F.struct(step(acc["at"], of(i)).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], of(i)))).alias("out")), lambda acc: acc["out"],
+    )
+
+    def made(v: Column) -> Column:
+        totals = F.transform(_chunks(F.size(v)), lambda c: F.aggregate(_within(c, F.size(v)), start, lambda acc, i: step(acc, F.get(v, i))))
+        parts = lambda ends: F.transform(_chunks(F.size(v)), lambda c: grow(_within(c, F.size(v)), lambda i: F.get(v, i), F.when(c == 0, start).otherwise(F.get(ends, c - 1))))
+        return _let(grow(totals, lambda x: x, start), lambda ends: F.flatten(parts(ends)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, made(v)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<start,end,rank,kind,token>> of the pattern's matches, by code points."""
     zipped = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    hits = F.filter(zipped, lambda x: x["hit"].isNotNull())
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,rank:int,kind:string,token:string>>)")
-    rank = KINDS.index(kind)
-    walked = F.aggregate(
-        hits,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["hit"].alias("token")))).alias("found"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked["found"]).otherwise(empty)
+    span = lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["hit"].alias("token"))
+    ends = lambda hits: _running(F.transform(hits, lambda x: x["gap"] + F.length(x["hit"])), F.lit(0), lambda at, x: at + x)
+    made = _let(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda hits: F.zip_with(hits, ends(hits), span))
+    return F.when(text.rlike(pattern), made).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,rank:int,kind:string,token:string>>)"))
+
+
+def _filled(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """text with fill(its code points, whether it overlaps those before) in place of each of the sorted spans, or of what it adds to those before. Only for texts with spans.
+
+    Texts are cut once for each chunk of spans, and again within it, as a substring is found by a walk from the start.
+    """
+
+    def cut(text: Column, starts: Column, stops: Column, ends: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+
+        def chunk(c: Column) -> Column:
+            first, last = c * CHUNK, F.least((c + 1) * CHUNK, F.size(starts)) - 1
+            part = F.substring(text, before(first) + 1, F.get(ends, last) - before(first))
+
+            def piece(part: Column, i: Column) -> Column:
+                start, at = F.get(starts, i), before(i)
+                return F.concat(F.substring(part, at - before(first) + 1, F.greatest(F.lit(0), start - at)), fill(F.greatest(F.lit(0), F.get(stops, i) - F.greatest(at, start)), start < at))
+
+            return _let(part, lambda p: F.array_join(F.transform(_within(c, F.size(starts)), lambda i: piece(p, i)), ""))
+
+        return F.concat(F.array_join(F.transform(_chunks(F.size(starts)), chunk), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+    of = lambda name: F.transform(spans, lambda s: s[name])
+    return _let(of("start"), lambda starts: _let(of("end"), lambda stops: _let(_running(stops, F.lit(0), lambda at, x: F.greatest(at, x)), lambda ends: _let(text, lambda t: cut(t, starts, stops, ends)))))
 
 
 def _joined(spans: Column) -> Column:
@@ -86,40 +141,39 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_markov and all (the spans as an array)."""
-    return _scanned(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_")), docs.sparkSession, margin).select(
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
+    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans (all, joined) and n_markov. samples: (sample, random), else those of labelled_samples."""
+    return _scanned(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_")), margin, samples).select(
         id_col, *(_count(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), F.size("more").cast("long").alias("n_markov"),
     )
 
 
-def _scanned(docs: DataFrame, spark: SparkSession, margin: float) -> DataFrame:
+def _scanned(docs: DataFrame, margin: float, samples: DataFrame | None) -> DataFrame:
     """docs, which have text_, with the arrays base, more and all."""
-    table = F.from_json(F.lit(json.dumps(llr_table(labelled_samples(spark)))), "map<string,double>")
+    ratios = [0.0] * 128 * 128  # by the codes of both characters
+    for pair, value in llr_table(labelled_samples(docs.sparkSession) if samples is None else samples).items():
+        ratios[ord(pair[0]) * 128 + ord(pair[1])] = value
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     value = lambda s: F.regexp_extract(s["token"], ASSIGN, 1)
     assign = F.filter(_spans(F.col("text_"), "assign", ASSIGN), lambda s: F.length(value(s)) >= 8)
     access = F.filter(_spans(F.col("text_"), "access", ACCESS), lambda s: F.length(s["token"]) >= 16)
-    llr = lambda token: F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.element_at(table, F.substring(token, i, F.lit(2))), F.lit(0.0))) / (F.length(token) - 1)
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    step = lambda acc, c: F.struct(F.ascii(c).alias("before"), (acc["llr"] + F.when(acc["before"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["before"] * 128 + F.ascii(c)))).alias("llr"))
+    llr = lambda token: F.aggregate(F.split(token, ""), F.struct(F.lit(-1).alias("before"), F.lit(0.0).alias("llr")), step, lambda acc: acc["llr"])
+    judged = lambda s: ~F.contains(s["token"], F.lit(BLANK)) & (llr(s["token"]) >= F.greatest(F.lit(LEAST_LLR), margin * (F.length(s["token"]) - 1)))
+    plain = F.translate("text_", BLANK, " ")
     return (
         docs.withColumn("base", F.array_sort(F.concat(assign, access, _spans(F.col("text_"), "hex", HEX))))
-        .withColumn("more", F.filter(_spans(F.col("text_"), "markov", TOKEN), lambda s: apart(s) & (llr(s["token"]) >= margin)))
+        .withColumn("open_", F.when(F.size("base") > 0, _filled(plain, F.col("base"), lambda n, _: F.repeat(F.lit(BLANK), n))).otherwise(plain))
+        .withColumn("more", F.filter(_spans(F.col("open_"), "markov", TOKEN), judged))
         .withColumn("all", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")))
+        .drop("open_")
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", margin: float = MARGIN) -> DataFrame:
-    """docs with every span of the text masked; rows without spans are left as they are, and all columns stay."""
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
+    """docs with every span of the text masked, overlapping ones as one; rows without spans are left as they are, and all columns stay."""
     columns = docs.columns
-    found = _scanned(docs.select(F.struct(*columns).alias("doc_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")), docs.sparkSession, margin)
-    cut = F.aggregate(
-        "all",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text_"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text_"), acc["at"] + 1, F.length("text_"))),
-    )
+    found = _scanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc_"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text_")), margin, samples)
+    cut = _filled(F.col("text_"), F.col("all"), lambda _, within: F.when(within, F.lit("")).otherwise(F.lit(mask)))
     return found.select(*(F.when(F.size("all") > 0, cut).otherwise(F.col(f"doc_.`{c}`")).alias(c) if c == text_col else F.col(f"doc_.`{c}`").alias(c) for c in columns))
