@@ -29,6 +29,8 @@ from siftgraph.llm.common import held
 
 #: Words in a generation of what a Python worker keeps.
 KEPT_WORDS = 200_000
+#: Characters of the longest word whose result is kept.
+LONGEST = 64
 
 # White space as the tokenizer's word pattern counts it; of Latin-1, white space, letters and numbers.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
@@ -120,13 +122,18 @@ class Encoder:
 
 
 class Kept(dict):
-    """Results by key, made on first use. Two generations of at most `most` entries: what is asked for again outlives a full table."""
+    """Results by key, made on first use. Two generations of at most `most` entries: what is asked for again outlives a full table.
+
+    Keys longer than LONGEST are made each time, so that texts without white space can't fill the table.
+    """
 
     def __init__(self, make, most: int = KEPT_WORDS) -> None:  # noqa: ANN001
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str):  # noqa: ANN204
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

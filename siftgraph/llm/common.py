@@ -31,9 +31,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a local one only where the session names none, as in tests."""
+    """The folder that every executor sees; a local one only where the session names none and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -95,6 +97,14 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores as it takes to be no column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,7 @@
 
 Misra-Gries (Spark's ``freqItems``) proposes frequent digests; a counting pass verifies them and finds
 the row of each that stays. There are at most 1/support of them, so their table is broadcast: rows of
-hot groups never shuffle. All other rows meet in an ordinary window over the digest.
+hot groups never shuffle. All other rows are aggregated by digest, in part before they shuffle, and join the winner of theirs.
 
 Defined results: null text counts as empty, and all texts without letters form one group; null doc_ids
 sort last, and of rows that tie in length and doc_id exactly one stays; an empty table gives no rows;
@@ -31,13 +31,18 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+def _best() -> Column:
+    """The row that stays: the longest text, then the smallest id; what is smallest is largest among complements."""
+    return F.max(F.struct("len", F.bitwise_not("id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best")
+
+
 def heavy_hitters(keys: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(digest, hot_size, hot_len, hot_id, hot_row) of each frequent digest: verified counts and winners, 1/support rows at most."""
     proposed = keys.select("digest").freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
     counted = (
         keys.join(F.broadcast(proposed), "digest")
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("hot_size"), F.max(F.struct("len", F.bitwise_not("id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best"))
+        .agg(F.count(F.lit(1)).alias("hot_size"), _best())
     )
     return counted.filter("hot_size > 1").select("digest", "hot_size", F.col("best.len").alias("hot_len"), F.bitwise_not("best.id").alias("hot_id"), F.bitwise_not("best.row").alias("hot_row"))
 
@@ -58,14 +63,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"), (F.col("row") == F.col("hot_row")).alias("kept"), "digest"
     )
     rest = keys.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    best = group.orderBy(F.desc("len"), F.asc_nulls_last("id"), "row")
-    of_rest = (
-        rest.withColumn("nth", F.row_number().over(best))
-        .withColumn("keep_id", F.first("id").over(best))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-        .select("id", "keep_id", "group_size", (F.col("nth") == 1).alias("kept"), "digest")
-    )
+    found = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), _best())  # before any shuffle, in part
+    of_rest = rest.join(found, "digest").select("id", F.bitwise_not("best.id").alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.row")).alias("kept"), "digest")
     return of_hot.union(of_rest).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgraph.llm.common import components, materialise, mix, shingles, small_or_shuffled, with_made
+from siftgraph.llm.common import components, fresh, materialise, mix, shingles, small_or_shuffled, with_made
 
 THRESHOLD = 0.8
 TARGET_RECALL = 0.995
@@ -36,6 +36,8 @@ TARGET_RECALL = 0.995
 BRANCHES = 2.0
 #: Sets in a bucket that is brute-forced, and in a chunk of a larger one.
 SMALL, CHUNK = 24, 256
+#: Sets of a bucket that counts as hot: its rows meet its size in a broadcast, not in one task.
+HOT = 512
 #: Sets in a chunk of a class whose links are counted whole.
 WHOLE = 1024
 
@@ -93,9 +95,9 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
 
 
 def _wanted_tokens(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, tokens) of the sets in wanted; sets (set, text_key) names a text of each, docs (text_key, text) has the texts."""
-    named = materialise(wanted.distinct().join(sets.select("set", "text_key"), "set"))
-    texts = docs.join(small_or_shuffled(named), "text_key").select("set", "text")
+    """(set, tokens) of the sets in wanted; sets (set, row) names a row of each, docs (text_key, key, text) has the texts: copies of a row's text don't come along."""
+    named = materialise(wanted.distinct().join(sets.select("set", "row.text_key", "row.key"), "set"))
+    texts = docs.join(small_or_shuffled(named), ["text_key", "key"]).select("set", "text")
     return materialise(with_made(texts, "text", "tokens binary", lambda: lambda values: [[shingles(t).astype(np.uint32).tobytes() for t in values]]).select("set", "tokens").dropDuplicates(["set"]))
 
 
@@ -205,20 +207,23 @@ def _near(good: DataFrame, roots: DataFrame, copies: DataFrame, tokens: DataFram
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents with id_, set and text_key; links (a, b) between different sets, of large buckets a forest; (set, tokens) of the sets compared; the large buckets)."""
     runs = runs_for()
-    texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text", F.length("text")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text", F.length("text"))).withColumn("key", F.coalesce("id_", F.lit(-1)))
     made = with_made(texts, "text", "set binary, size long, p1 array<long>, p2 array<long>, p3 array<long>", _sketch(runs)).drop("text")
     rows = materialise(made)
     names = ["p1", "p2", "p3"]
-    sets = materialise(rows.filter("set is not null").groupBy("set").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), *(F.first(p).alias(p) for p in names)))
+    sets = materialise(rows.filter("set is not null").groupBy("set").agg(F.min(F.struct("text_key", "key")).alias("row"), F.first("size").alias("size"), *(F.first(p).alias(p) for p in names)))
     large = sets.select("set", "size", F.explode(F.arrays_zip(*names)).alias("p")).select("set", "size", *(f"p.{p}" for p in names))
     found = []
     for p in names:  # the shallowest level at which a bucket is small
         counts = large.groupBy(p).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = materialise(large.join(counts, p).withColumnRenamed(p, "path"))
+        counts = materialise(counts)
+        hot = small_or_shuffled(counts.filter(F.col("n") > HOT))  # a share of 1 / HOT of the rows at most
+        cool = large.join(hot, p, "left_anti").join(counts.filter(F.col("n") <= HOT), p)
+        sized = materialise(cool.union(large.join(hot, p).select(cool.columns)).withColumnRenamed(p, "path"))
         found.append(_pairs_of_small(sized.filter(F.col("n") <= SMALL)))
         large = sized.filter(F.col("n") > SMALL).drop("n", "path") if p != names[-1] else sized.filter(F.col("n") > SMALL).select("path", "set", "n")
     pairs = materialise(found[0].union(found[1]).union(found[2]).distinct())
-    tokens = _wanted_tokens(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(large.select("set")), sets, texts.select("text_key", "text"))
+    tokens = _wanted_tokens(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(large.select("set")), sets, texts.select("text_key", "key", "text"))
     good = _verify(pairs, tokens)
     if not large.isEmpty():
         good = materialise(good.union(_links_of_large(large, tokens, good)).distinct())
@@ -248,7 +253,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if ids["n"] == ids["d"]:
         out, key = docs, id_col
     else:
-        out, key = materialise(docs.withColumn("row__", F.monotonically_increasing_id())), "row__"
+        key = fresh(docs.columns, "row_")
+        out = materialise(docs.withColumn(key, F.monotonically_increasing_id()))
     found = join(out, key, text_col, counted=False)
     losers = materialise(found.filter(F.col(key) != F.col("class_id")).select(key))
-    return out.join(small_or_shuffled(losers), key, "left_anti").select(docs.columns)
+    return out.join(small_or_shuffled(losers), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ documents is deleted from the counts while the weights are learned, and counted
 Documents are read once into blocks of a few million tokens at most: the block's distinct words and, for each token, which of
 them it is. Each block sends its distinct words and pairs (64-bit digests, as compressed differences of sorted
 numbers, with its counts) to the ranges they fall in; a range adds up what all blocks sent and replies
-with totals. Neither the vocabulary nor the pairs ever meet in one place, and a frequent word or pair
+with totals. Ranges are as many as the counted tokens ask for. Neither the vocabulary nor the pairs ever meet in one place, and a frequent word or pair
 costs one entry a block. The weights are learned from a histogram of bounded size.
 
 Defined results: null and empty texts are the end token alone; repeated rows count and score as often as they occur; null ids
@@ -32,6 +32,8 @@ from siftgraph.llm.common import materialise, mix, shuffle_partitions, word_hash
 
 #: Tokens at which a block ends.
 BLOCK_TOKENS = 1_000_000
+#: Tokens of the table for each range of digests: what one group of counts holds, some 100 MB at most, doesn't grow with the table.
+RANGE_TOKENS = 2_000_000
 FOLDS, ROUNDS = 10, 60
 #: Steps of the EM histogram in an octave of probability.
 STEPS = 8
@@ -219,6 +221,7 @@ def mixture(cells: pd.DataFrame, v: int, rounds: int = ROUNDS) -> np.ndarray:
             share /= share.sum(1, keepdims=True)
             w = (n @ share + start) / (n.sum() + 1)
         weights[int(bucket)] = w
+    weights[0] = [0, *weights[0, 1:] / weights[0, 1:].sum()]  # a context never seen has no bigrams
     return weights
 
 
@@ -237,21 +240,24 @@ def _scores(weights: np.ndarray, n: int, v: int):  # noqa: ANN202
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    ranges = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), remainder(F.col(id_col)).alias("rem"), F.col(text_col).alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks(block_tokens), "block long, deleted boolean, ids array<long>, nulls array<boolean>, rems array<int>, lengths array<int>, words binary, places binary"))
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens")).first()
+    ranges = max(1, math.ceil(size["tokens"] / range_tokens))  # so that a range's part of all blocks stays of one size, however many there are
+    least = shuffle_partitions(docs.sparkSession)
+    tasks, turns = max(least, 2 * ranges), max(least, size["blocks"])
     sent = blocks.mapInArrow(_sent(ranges), "range int, block long, deleted boolean, keys binary, counts binary")
-    replies = materialise(sent.groupBy("range").applyInPandas(_totals, "range int, block long, main binary, more binary, n long, v long, n_main long, v_main long"))
+    replies = materialise(sent.repartition(tasks, "range").groupBy("range").applyInPandas(_totals, "range int, block long, main binary, more binary, n long, v long, n_main long, v_main long"))
     sums = replies.filter("block = -1 and range % 2 = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_main", "v_main"))).first()
-    replies = replies.filter("block >= 0").select("range", "block", "main", "more")
-    deleted = blocks.filter("deleted")
+    replies = replies.filter("block >= 0").select("range", "block", "main", "more").repartition(turns, "block")
+    deleted = blocks.filter("deleted").repartition(turns, "block")
     own = replies.join(F.broadcast(deleted.select("block")), "block", "left_semi")  # a number for each block
     cells = deleted.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(_histogram(sums["n_main"], sums["v_main"]), "bucket long, bigram long, unigram long, n long")
     cells = cells.groupBy("bucket", "bigram", "unigram").agg(F.sum("n").alias("n")).toPandas()  # as many as the steps allow
     weights = mixture(cells, sums["v_main"])
-    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scores(weights, sums["n"], sums["v"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = blocks.repartition(turns, "block").groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_scores(weights, sums["n"], sums["v"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("doc_id", id_col)
 
 

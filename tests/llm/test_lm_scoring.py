@@ -85,3 +85,20 @@ def test_empty_and_untrained(spark):
     only = next(k for k in range(100) if rem(k) == 0)
     row = lm.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_probabilities_of_the_next_word_sum_to_one():
+    cells = pd.DataFrame({"bucket": [0, 0, 1, 1, 3], "bigram": [1, 1, -8, 1, -4], "unigram": [-8, 1, -16, -8, 1], "n": [5, 2, 9, 3, 4]})
+    one = collections.Counter(a=6, b=3, c=2, end=4)
+    two = {"a": collections.Counter(a=1, b=3, end=2), "never": collections.Counter()}
+    n, v = sum(one.values()), len(one)
+    weights = lm.mixture(cells, v)
+    for before, pairs in two.items():
+        w = weights[math.frexp(one[before])[1] if one[before] else 0]
+        total = sum(w[0] * pairs[x] / max(one[before], 1) + w[1] * one[x] / n + w[2] / (v + 1) for x in [*one, "unknown"])
+        assert total == pytest.approx(1, abs=1e-12)
+
+
+def test_clashing_columns(spark, documents):
+    docs = documents.selectExpr("*", "1 as rem", "2 as block", "3 as score", "4 as n_tokens")
+    same(lm.score(docs, range_tokens=20).collect(), brute([(r["doc_id"], r["text"]) for r in docs.collect()]))

@@ -41,3 +41,13 @@ def test_each_stage_against_brute_force(spark):
 def test_run(spark):
     assert tokenizer_path()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows(spark, documents):
+    """Nulls, repeated rows and ids, empty and long texts, columns whose names the stages use themselves, and an empty table."""
+    docs = documents.selectExpr("*", "1 as score_", "2 as row_", "3 as doc_", "4 as text_", "5 as set", "6 as path", "7 as base", "8 as n_chars")
+    for rows in (docs, docs.filter("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, SF)
+            assert rows.columns == docs.columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() >= rows.count()
