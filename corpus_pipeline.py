@@ -15,8 +15,7 @@ from siftgraph.llm.common import materialise, table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.with_scores(docs, docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score_") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
