@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Business domains and the substrings that tell them, first match wins.
 DOMAINS = [
-    ("Order Management", "order|line item|shipment|invoice"),
+    ("Order Management", "order|line\\s*item|shipment|invoice"),
     ("Quoting", "quote|quotation|bid"),
     ("Customer", "cust|customer|client|account"),
     ("Product / Catalog", "product|catalog|item|sku|prefix"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ def humanise(name: Column) -> Column:
 
 def failure_messages(formula: Column) -> Column:
     """The literals of failure calls in a validation formula."""
-    return F.transform(F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit(r'(?i)@failure\(\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda m: F.replace(m, F.lit('\\"'), F.lit('"')))
+    return F.transform(F.regexp_extract_all(F.coalesce(formula, F.lit("")), F.lit(r'(?i)@failure\(\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'), F.lit(1)), lambda m: F.replace(m, F.lit('\\"'), F.lit('"')))
 
 
 def slug(c: Column) -> Column:
@@ -149,16 +151,44 @@ def lookup_arguments(arguments: Column) -> Column:
     return F.struct(pick(3, 3).alias("view"), pick(4, 2).alias("ret"), pick(5, 1).alias("key"), F.coalesce(last_literal(arg(2)), F.when(~quoted, raw)).alias("database"))
 
 
-def matches(body: Column, pattern: str) -> Column:
-    """array<struct<start,end,hit>> of a pattern's matches, 0-based: ``split`` gives the gaps, their lengths the places."""
-    zipped = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
-    walked = F.aggregate(
-        F.filter(zipped, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["hit"])).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("found"),
-        ),
-    )
-    return F.when(body.rlike(pattern), walked["found"]).otherwise(none)
+#: Elements of a chunk, within which running sums are made one by one.
+CHUNK = 64
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use, or a function of it for each element, reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def chunks(size: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))
+
+
+def within(c: Column, size: Column) -> Column:
+    """The places of a chunk's elements. Elements are read by place, as a slice would copy the whole array each time."""
+    return F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, size) - 1)
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of step over an array of int. An array grows by an element only within chunks, so that the work isn't quadratic."""
+    grow = lambda places, of, first: F.aggregate(
+        places, F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, i: F.struct(step(acc["at"], of(i)).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], of(i)))).alias("out")), lambda acc: acc["out"],
+    )
+
+    def made(v: Column) -> Column:
+        totals = F.transform(chunks(F.size(v)), lambda c: F.aggregate(within(c, F.size(v)), start, lambda acc, i: step(acc, F.get(v, i))))
+        parts = lambda ends: F.transform(chunks(F.size(v)), lambda c: grow(within(c, F.size(v)), lambda i: F.get(v, i), F.when(c == 0, start).otherwise(F.get(ends, c - 1))))
+        return let(grow(totals, lambda x: x, start), lambda ends: F.flatten(parts(ends)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, made(v)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def matches(body: Column, pattern: Column | str) -> Column:
+    """array<struct<start,end,hit>> of a pattern's matches, 0-based: ``split`` gives the gaps, running sums of lengths the places."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    zipped = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, pattern, F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    span = lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), x["hit"].alias("hit"))
+    ends = lambda hits: running(F.transform(hits, lambda x: x["gap"] + F.length(x["hit"])), F.lit(0), lambda at, x: at + x)
+    made = let(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda hits: F.zip_with(hits, ends(hits), span))
+    return F.when(F.rlike(body, pattern), made).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)"))

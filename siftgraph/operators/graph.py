@@ -64,10 +64,8 @@ def top_coupled(edges: DataFrame, n: int = 8) -> DataFrame:
 
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: max_degree, max_node (the first by name), n_nodes, coupling."""
-    most = degrees(edges).agg(F.max("degree").alias("max_degree"), F.max_by("node", F.struct(F.col("degree"), -F.xxhash64(F.lit(0)))).alias("any"))
-    first = degrees(edges).orderBy(F.desc("degree"), "node").limit(1).select(F.col("node").alias("max_node"))
-    n = all_nodes(nodes, edges).agg(F.count(F.lit(1)).alias("n_nodes"))
-    one = most.select("max_degree").join(n).join(first, how="left")
+    best = degrees(edges).agg(F.max("degree").alias("max_degree"), F.min_by("node", F.struct(-F.col("degree"), "node")).alias("max_node"))
+    one = best.join(all_nodes(nodes, edges).agg(F.count(F.lit(1)).alias("n_nodes")))
     return one.select(F.coalesce("max_degree", F.lit(0)).alias("max_degree"), "max_node", "n_nodes", clamped(F.coalesce("max_degree", F.lit(0)) / F.greatest("n_nodes", F.lit(1))).alias("coupling"))
 
 
@@ -99,11 +97,8 @@ def matrix_cells(edges: DataFrame) -> DataFrame:
 
 def hardcoded(texts: DataFrame, group: str, text: str = "text") -> DataFrame:
     """(group, kind, value) distinct: drive and UNC paths, addresses, hierarchical names, database files."""
-    found = [texts.select(group, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias("value")) for kind, p in HARDCODED.items()]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.distinct()
+    of = lambda kind, p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    return texts.select(group, F.explode(F.concat(*(of(*x) for x in HARDCODED.items()))).alias("x")).select(group, "x.kind", "x.value").distinct()
 
 
 def hardcoded_counts(texts: DataFrame, group: str, text: str = "text") -> DataFrame:

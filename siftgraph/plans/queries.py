@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgraph.functions import classify, text
-from siftgraph.operators import audit, graph, windows
+from siftgraph.operators import audit, graph, rules, windows
 from siftgraph.plans.catalog import query, table
+from siftgraph.sources import store
 
 LINK = 'href="([^"]*)"'
 IP = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
@@ -55,10 +56,10 @@ def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.type_counts(links(spark, sf_dir))
 
 
-@query(f"WITH {LINKS_SQL} SELECT page_id, pos, dst FROM links WHERE type = 'relative' AND dst ILIKE '%the%' ORDER BY dst, page_id, pos LIMIT 500")
+@query(f"WITH {LINKS_SQL} SELECT page_id, pos, dst FROM links WHERE type = 'relative' AND dst ILIKE '%the%' ORDER BY dst, src, pos LIMIT 500")
 def edge_query_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(spark, sf_dir).filter((F.col("type") == "relative") & F.col("dst").ilike("%the%")).orderBy("dst", "page_id", "pos").limit(500).select("page_id", "pos", "dst")
-
+    edges = links(spark, sf_dir).select("page_id", "pos", "type", F.col("dst").alias("source_name"), F.col("src").alias("target_name"), F.lpad(F.col("pos").cast("string"), 9, "0").alias("evidence"))
+    return store.query_edges(edges, "relative", "the", 500).select("page_id", "pos", F.col("source_name").alias("dst"))
 
 @query(f"WITH {SUPPLY_SQL} SELECT src, dst, type, count(*) AS n_edges FROM supply GROUP BY src, dst, type")
 def edge_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +101,9 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(key("s:", "s_suppkey")).union(table(spark, sf_dir, "part").select(key("p:", "p_partkey")))
 
 
-@query(f"WITH {SUPPLY_SQL} SELECT 'p:' || p_partkey AS node FROM part WHERE 'p:' || p_partkey NOT IN (SELECT dst FROM supply WHERE dst LIKE 'p:1%') UNION SELECT 's:' || s_suppkey FROM supplier WHERE 's:' || s_suppkey NOT IN (SELECT src FROM supply WHERE dst LIKE 'p:1%')")
+@query(f"WITH {SUPPLY_SQL} SELECT 'p:' || p_partkey AS node FROM part WHERE 'p:' || p_partkey NOT IN (SELECT dst FROM supply WHERE type = 'R') UNION SELECT 's:' || s_suppkey FROM supplier WHERE 's:' || s_suppkey NOT IN (SELECT src FROM supply WHERE type = 'R')")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.orphans(_nodes(spark, sf_dir), supply(spark, sf_dir).filter("dst like 'p:1%'"))
+    return graph.orphans(_nodes(spark, sf_dir), supply(spark, sf_dir).filter("type = 'R'"))
 
 
 @query(f"WITH {SUPPLY_SQL}, {DEGREE_SQL} SELECT node, degree FROM degree ORDER BY degree DESC, node LIMIT 8")
@@ -186,18 +187,23 @@ def secrets_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i){SECRET}') AND regexp_matches(text, '{IP}')")
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("(?i)" + SECRET) & F.col("text").rlike(IP)).select("doc_id")
+    return _ruled(spark, sf_dir, rules.Rule("OWN-001", "HIGH", 80, ("text",), "(?i)" + SECRET, needs=(IP,), once=True)).select("doc_id")
+
+
+def _ruled(spark: SparkSession, sf_dir: str, *own: rules.Rule) -> DataFrame:
+    """Findings of a user's own rules over the documents."""
+    units = table(spark, sf_dir, "documents").select("doc_id", F.lit("documents").alias("source_file"), F.col("doc_id").cast("string").alias("element_name"), F.lit("text").alias("element_type"), F.lit("text").alias("language"), F.lit(None).cast("string").alias("event"), F.col("text").alias("body"), F.lit(1).alias("start_line"))
+    return rules.findings(units.withColumn("n", F.regexp_count("body", F.lit("the")).cast("long")), list(own))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, 'the', 0)) AS n FROM documents WHERE len(regexp_extract_all(text, 'the', 0)) >= 2")
 def repeat_count_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("n")).filter("n >= 2")
+    return _ruled(spark, sf_dir, rules.Rule("OWN-002", "LOW", 60, ("text",), "the", once=True, least=2, words=("the",))).select("doc_id", "n")
 
 
 @query("SELECT doc_id FROM documents WHERE strpos(text, ' of ') > 0 AND strpos(substr(text, strpos(text, ' of ') + 1), ' with ') > 0")
 def position_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.instr("text", " of ")
-    return table(spark, sf_dir, "documents").filter((first > 0) & (F.locate(" with ", F.expr("substring(text, instr(text, ' of ') + 1)")) > 0)).select("doc_id")
+    return _ruled(spark, sf_dir, rules.Rule("OWN-003", "LOW", 60, ("text",), r"(?s) of(?: .*)? with ", once=True, words=(" of ",))).select("doc_id")
 
 
 @query("SELECT l_orderkey, count(*) AS n_fields FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey HAVING count(*) >= 6")
@@ -236,12 +242,12 @@ def _name(k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, NAMES)), (k % 10 + 1).cast("int"))
 
 
-@query(f"""WITH e AS (SELECT name, {_case('name', classify.DOMAINS, 'General')} AS domain FROM (SELECT {_NAME_SQL.replace('k %', 'p_partkey %')} AS name FROM part WHERE p_size > 10)),
+@query(f"""WITH e AS (SELECT name, {_case('name', classify.DOMAINS, 'General')} AS domain FROM (SELECT {_NAME_SQL.replace('k %', 'p_partkey %')} AS name FROM part)),
     b AS (SELECT name, count(*) AS n FROM (SELECT {_NAME_SQL.replace('k %', 'o_orderkey %')} AS name FROM orders) GROUP BY name),
     r AS (SELECT domain, sum(n) AS n_rules FROM (SELECT DISTINCT domain, name FROM e) JOIN b USING (name) GROUP BY domain)
     SELECT domain, count(*) AS n_elements, count(DISTINCT name) AS n_names, CAST(coalesce(max(n_rules), 0) AS BIGINT) AS n_rules FROM e LEFT JOIN r USING (domain) GROUP BY domain""")
 def domain_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    elements = table(spark, sf_dir, "part").filter("p_size > 10").select(_name(F.col("p_partkey")).alias("name"))
+    elements = table(spark, sf_dir, "part").select(_name(F.col("p_partkey")).alias("name"))
     return graph.capability_map(elements, table(spark, sf_dir, "orders").select(_name(F.col("o_orderkey")).alias("owner_name")))
 
 
@@ -285,12 +291,12 @@ def lifecycle_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BLOCKS_SQL}, p AS (SELECT o_orderkey, owner_name, CASE {_CATEGORY_SQL} {' '.join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(classify.PRIORITIES))} ELSE 9 END AS priority FROM b),
-    head AS (SELECT * FROM p WHERE priority <= 6 AND o_orderkey % 97 = 3), n AS (SELECT count(*) AS n_head FROM head),
-    band AS (SELECT o_orderkey, owner_name, priority, row_number() OVER (ORDER BY priority, owner_name, o_orderkey) AS nth FROM p WHERE priority BETWEEN 7 AND 8 AND o_orderkey % 97 = 3), tail AS (SELECT * FROM p WHERE priority = 9 AND o_orderkey % 97 = 3),
+    head AS (SELECT * FROM p WHERE priority <= 6), n AS (SELECT count(*) AS n_head FROM head),
+    band AS (SELECT o_orderkey, owner_name, priority, row_number() OVER (ORDER BY priority, owner_name, o_orderkey) AS nth FROM p WHERE priority BETWEEN 7 AND 8), tail AS (SELECT * FROM p WHERE priority = 9),
     u AS (SELECT * FROM head UNION ALL SELECT o_orderkey, owner_name, priority FROM band, n WHERE nth <= greatest(0, 101 - n_head) UNION ALL SELECT * FROM tail)
     SELECT 'BR-' || lpad(CAST(row_number() OVER (ORDER BY priority, owner_name, o_orderkey) AS VARCHAR), 3, '0') AS id, o_orderkey, priority FROM u ORDER BY priority, owner_name, o_orderkey LIMIT 200""")
 def rules_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _blocks(spark, sf_dir).filter("o_orderkey % 97 = 3").withColumn("priority", classify.rule_priority(F.col("category")))
+    rows = _blocks(spark, sf_dir).withColumn("priority", classify.rule_priority(F.col("category")))
     kept = windows.budgeted(rows, "priority", 200, 7, 8, "owner_name", "o_orderkey")
     return kept.select(windows.sequential_id("BR", [], "priority", "owner_name", "o_orderkey").alias("id"), "o_orderkey", "priority")  # 200 rows at most
 
@@ -505,45 +511,89 @@ def humanise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.humanise(name).alias("label"))
 
 
-@query("SELECT r_regionkey, n, argument FROM region, (VALUES (0, '\"\":\"NoCache\"'), (1, '\"srv\":\"db.nsf\"'), (2, '\"v;w\"'), (3, 'f(a;b)'), (4, '2')) AS v(n, argument)")
+@query('''SELECT p_partkey, n, CASE n WHEN 0 THEN '"":"NoCache"' WHEN 1 THEN '"srv' || p_partkey || '":"db.nsf"' WHEN 2 THEN '"v;' || p_size || '"' WHEN 3 THEN 'f(a;b' || p_partkey || ')' ELSE CAST(p_size AS VARCHAR) END AS argument
+    FROM part, (VALUES (0), (1), (2), (3), (4)) AS v(n) WHERE n < 4 OR p_size % 2 = 0''')
 def arg_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    call = F.lit('"":"NoCache"; "srv":"db.nsf"; "v;w"; f(a;b); 2')
-    return table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(text.split_arguments(call)).alias("n", "argument"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    call = F.concat(F.lit('"":"NoCache"; "srv'), key, F.lit('":"db.nsf"; "v;'), size, F.lit('"; f(a;b'), key, F.lit(")"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("; "), size)).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(text.split_arguments(call)).alias("n", "argument"))
 
 
-@query("SELECT r_regionkey, n, body FROM region, (VALUES (0, 'a;(b);\")\"'), (1, 'c')) AS v(n, body)")
+@query('''SELECT p_partkey, n, CASE n WHEN 0 THEN 'a' || p_partkey || ';(b);")"' ELSE CAST(p_size AS VARCHAR) END AS body FROM part, (VALUES (0), (1)) AS v(n) WHERE n = 0 OR p_size % 3 > 0''')
 def balanced_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.lit('x := @DbLookup(a;(b);")"); y := @dblookup (c) + @DbColumn(d); @DbLookup(open')
-    return table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(text.call_bodies(source, F.lit("@DbLookup"))).alias("n", "body"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    open_ = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("; y := @dblookup ("), size, F.lit(")")))
+    source = F.concat(F.lit("x := @DbLookup(a"), key, F.lit(';(b);")")'), open_, F.lit(" + @DbColumn(d); @DbLookup(open"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(text.call_bodies(source, F.lit("@DbLookup"))).alias("n", "body"))
 
 
-@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN ' if (a) { s = \"}\"; } ' END AS block FROM region")
+@query('''SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ' if (a' || p_partkey || ') { s = "}"; } ' END AS block FROM part''')
 def brace_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.when(F.col("r_regionkey") % 2 == 0, 'function f() { if (a) { s = "}"; } } tail').otherwise("function g() { open")
-    return table(spark, sf_dir, "region").select("r_regionkey", text.brace_block(source).alias("block"))
+    key = F.col("p_partkey").cast("string")
+    source = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("function f() { if (a"), key, F.lit(') { s = "}"; } } tail'))).otherwise(F.concat(F.lit("function g() { open"), key))
+    return table(spark, sf_dir, "part").select("p_partkey", text.brace_block(source).alias("block"))
 
 
-@query("SELECT r_regionkey, 'vw' AS \"view\", 'ret' AS ret, 'k2' AS \"key\", 'db.nsf' AS database FROM region")
+@query('''SELECT p_partkey, 'vw' || p_size AS "view", 'ret' AS ret, 'k' || p_partkey AS "key", CASE WHEN p_size % 2 = 0 THEN 'db' || p_partkey || '.nsf' END AS database FROM part''')
 def lookup_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = text.split_arguments(F.lit('"":"NoCache"; "srv":"db.nsf"; "vw"; "ret"; "k1":"k2"'))
-    return table(spark, sf_dir, "region").select("r_regionkey", text.lookup_arguments(args).alias("x")).select("r_regionkey", F.col("x.view"), "x.ret", "x.key", "x.database")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    where = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('"srv":"db'), key, F.lit('.nsf"'))).otherwise('""')
+    args = text.split_arguments(F.concat(F.lit('"":"NoCache"; '), where, F.lit('; "vw'), size, F.lit('"; "ret"; "k1":"k'), key, F.lit('"')))
+    return table(spark, sf_dir, "part").select("p_partkey", text.lookup_arguments(args).alias("x")).select("p_partkey", F.col("x.view"), "x.ret", "x.key", "x.database")
 
 
-# Code units by construction: the template is chosen by the order's key, so the rules that must hit are known.
+# Code units by construction, with and without what a rule looks for: the template is chosen by the order's key, so where its rule must hit is known.
 TEMPLATES = [
-    ("java", "static Database cache; // {k}", "DOM-006"), ("java", 'Stream st{k} = session.createStream();', "DOM-010,DOM-021"), ("ssjs", "session.recycle(); // {k}", "DOM-020"), ("java", "dominoNAF.recycle(); // {k}", "DOM-024"),
-    ("formula", '@DbLookup("";"";"v{k}";"k";1) + @DbColumn("";"";"v";1)', "FORM-001"), ("formula", 'password := "hunter{k}"', "FORM-003"), ("lotusscript", "Dim js{k} As JavaSession", "LS-EXT-001"), ("csjs", "static Database cache; // {k}", ""),
+    ("DOM-001", "java", 'x{k} = session.createDateTime("x").getLocalTime();', 'd{k} = session.createDateTime("x"); d{k}.recycle();'),
+    ("DOM-002", "java", "while (d{k} != null) { n = c.getNextDocument(d{k}); d{k} = n; }", "while (d{k} != null) { n = c.getNextDocument(d{k}); d{k}.recycle(); d{k} = n; }"),
+    ("DOM-003", "java", 'use{k}(s.getDatabase("a", "b"));', 'try { use{k}(s.getDatabase("a", "b")); } finally { x.recycle(); }'),
+    ("DOM-004", "java", "org.openntf.domino.Document d{k}; d{k}.recycle();", "lotus.domino.Document d{k}; d{k}.recycle();"),
+    ("DOM-005", "java", "org.openntf.domino.Session s{k}; lotus.domino.Base b;", "org.openntf.domino.Session s{k};"),
+    ("DOM-006", "java", "static Database cache{k};", "Database cache{k};"),
+    ("DOM-007", "ssjs", 'sessionScope["d{k}"] = getDatabase("NotesDatabase");', 'sessionScope["d{k}"] = "text";'),
+    ("DOM-008", "java", "for (int i = 0; i < {k}; i++) { v = e.getColumnValues(); }", "v{k} = e.getColumnValues();"),
+    ("DOM-009", "java", "for (int i = 0; i < {k}; i++) { t = s.createDateTime(x); }", "t{k} = s.createDateTime(x);"),
+    ("DOM-010", "java", "Document d{k} = db.createDocument();", "Document d{k} = db.createDocument(); try { d{k}.save(); } finally { d{k}.recycle(); }"),
+    ("DOM-011", "java", "view.recycle(); x{k} = 1; y = doc.getUniversalID();", "y{k} = doc.getUniversalID(); view.recycle();"),
+    ("DOM-012", "java", "while (d{k} != null) { if (ok()) { d{k}.recycle(); } }", "while (d{k} != null) { if (d{k} != null) { d{k}.recycle(); } }"),
+    ("DOM-013", "java", "n{k} = c.getNextDocument(d); use(); d = n{k};", "n{k} = c.getNextDocument(d); d.recycle(); d = n{k};"),
+    ("DOM-014", "java", 'i{k} = doc.getFirstItem("a"); i{k}.getText();', 'i{k} = doc.getFirstItem("a"); i{k}.recycle();'),
+    ("DOM-015", "java", "ViewNavigator n{k} = view.createViewNav();", "ViewNavigator n{k} = view.createViewNav(); n{k}.recycle();"),
+    ("DOM-016", "java", 'for (;;) { c{k} = db.search("x"); }', 'c{k} = db.search("x");'),
+    ("DOM-017", "java", 'EmbeddedObject e{k} = item.getEmbeddedObject("f");', 'EmbeddedObject e{k} = item.getEmbeddedObject("f"); e{k}.recycle();'),
+    ("DOM-018", "java", "d{k} = entry.getDocument();", "d{k} = entry.getDocument(); d{k}.recycle();"),
+    ("DOM-019", "java", "c{k} = view.getAllDocumentsByKey(x);", "c{k} = view.getAllDocumentsByKey(x); c{k}.recycle();"),
+    ("DOM-020", "ssjs", "session.recycle(); // {k}", "doc{k}.recycle();"),
+    ("DOM-021", "java", "Stream s{k} = session.createStream();", "Stream s{k} = session.createStream(); s{k}.recycle();"),
+    ("DOM-022", "java", "c{k} = db.search(q); d = c.getFirstDocument(); d.recycle();", "c{k} = db.search(q); d = c.getFirstDocument(); d.recycle(); c{k}.recycle();"),
+    ("DOM-023", "java", 'viewScope.put("d{k}", doc);', 'viewScope.put("d{k}", 1);'),
+    ("DOM-024", "java", "dominoNAF.recycle(); // {k}", "use(dominoNAF); // {k}"),
+    ("DOM-025", "java", "org.openntf.domino.View v{k}; for (Object o : v{k}.getAllEntries()) { o.recycle(); }", "org.openntf.domino.View v{k}; for (Object o : v{k}.getAllEntries()) { toLotus(o).recycle(); }"),
+    ("PERF-001", "ssjs", "var v{k} = db.getView(x); while (d != null) { d.replaceItemValue(a, b); }", "var v{k} = db.getView(x); v{k}.setAutoUpdate(false); while (d != null) { d.replaceItemValue(a, b); }"),
+    ("PERF-002", "java", "for (int i = 0; i < {k}; i++) { v = db.getView(x); }", "v{k} = db.getView(x); for (;;) { go(); }"),
+    ("PERF-003", "ssjs", "while (d{k} != null) { d{k}.save(); d{k} = c.getNextDocument(d{k}); }", "d{k}.save();"),
+    ("PERF-004", "ssjs", "for (var i = 1; i < {k}; i++) { d = c.getNthDocument(i); }", "d{k} = c.getNthDocument(1);"),
+    ("SEC-001", "java", 'String password = "hunter{k}"; String u = "http://a.b/c";', 'String password = "hunter{k}"; String u = "https://a.b/c";'),
+    ("SEC-002", "ssjs", 'var u{k} = context.getUrlParameter("id"); var d = database.getDocumentByUNID(u{k});', "var d{k} = database.getDocumentByUNID(own);"),
+    ("FORM-001", "formula", '@DbLookup("";"";"v{k}";"k";1) + @DbColumn("";"";"v";1)', '@DbLookup("";"";"v{k}";"k";1)'),
+    ("FORM-002", "formula", '@For(n:=1;n<{k};n:=n+1; @DbLookup("";"";"v";n;1))', '@DbLookup("";"";"v{k}";"k";1)'),
+    ("FORM-003", "formula", 'password := "hunter{k}"', 'word := "hunter{k}"'),
+    ("FORM-004", "lotusscript", "item{k}.IsSummary = True", "item{k}.IsSummary = False"),
+    ("EXT-001", "java", "Connection c{k} = ds.getConnection();", "Connection c{k} = ds.getConnection(); c{k}.close();"),
+    ("EXT-002", "java", "HttpURLConnection c{k} = (HttpURLConnection) u.openConnection();", "HttpURLConnection c{k} = (HttpURLConnection) u.openConnection(); c{k}.disconnect();"),
+    ("LS-EXT-001", "lotusscript", "Dim js{k} As JavaSession", "Dim js{k} As JavaSession\nSet js{k} = Nothing"),
+    ("LS-EXT-002", "lotusscript", "Call con{k}.OpenConnection(a)", "Call con{k}.OpenConnection(a)\nCall con{k}.Disconnect()"),
 ]
 
 
-@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r}')" for k, (_, _, rules_) in enumerate(TEMPLATES) for r in rules_.split(",") if r) + ") AS v(n, rule_id)) SELECT o_orderkey, rule_id FROM orders JOIN t ON o_orderkey % 8 = n")
+@query("WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({2 * k}, '{t[0]}')" for k, t in enumerate(TEMPLATES)) + f") AS v(n, rule_id)) SELECT o_orderkey, rule_id FROM orders JOIN t ON o_orderkey % {2 * len(TEMPLATES)} = n")
 def detector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftgraph.operators.rules import findings
-
-    pick = lambda n: F.element_at(F.array(*(F.lit(t[n]) for t in TEMPLATES)), (F.col("o_orderkey") % len(TEMPLATES) + 1).cast("int"))
+    """Of each unit the findings of its template's rule: units of even templates have one, those of odd ones have none."""
+    flat = [(t[1], t[2 + odd], t[0]) for t in TEMPLATES for odd in (0, 1)]
+    pick = lambda n: F.element_at(F.array(*(F.lit(t[n]) for t in flat)), (F.col("o_orderkey") % len(flat) + 1).cast("int"))
     key = F.col("o_orderkey").cast("string")
-    units = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("orders").alias("source_file"), key.alias("element_name"), F.lit("scriptlibrary").alias("element_type"), pick(0).alias("language"), F.lit(None).cast("string").alias("event"), F.replace(pick(1), F.lit("{k}"), key).alias("body"), F.lit(1).alias("start_line"))
-    return findings(units).select("o_orderkey", "rule_id")
+    units = table(spark, sf_dir, "orders").select("o_orderkey", pick(2).alias("own_rule"), F.lit("orders").alias("source_file"), key.alias("element_name"), F.lit("scriptlibrary").alias("element_type"), pick(0).alias("language"), F.lit(None).cast("string").alias("event"), F.replace(pick(1), F.lit("{k}"), key).alias("body"), F.lit(1).alias("start_line"))
+    return rules.findings(units).filter("rule_id = own_rule").select("o_orderkey", "rule_id")
 
 
 @query("SELECT o_orderkey, 'f' || o_orderkey AS name, CASE o_orderkey % 4 WHEN 0 THEN 'SAFE' WHEN 1 THEN 'UNPROTECTED' WHEN 2 THEN 'PROTECTED' ELSE 'PARTIAL' END AS status FROM orders")

@@ -16,8 +16,12 @@ HISTORY, SIGNALS, EDGE_LIMIT, MOST_EDGES, LIST_LIMIT, MOST_LISTED = 24, 500, 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: below spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder that every executor sees: below spark.checkpoint.dir, or a local one where that is unset and all runs in one process, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{top}/{uuid.uuid4().hex}"
 
 
@@ -29,11 +33,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def store_graph(path: str, graph_id: str, nsf_path: str, title: str, parsed_at: str, tables: dict[str, DataFrame]) -> None:
-    """Writes edges, elements and blocks, then the manifest."""
+    """Writes edges, elements and blocks, then the manifest. A second try after a failure writes the graph's partitions anew."""
     spark = next(iter(tables.values())).sparkSession
     counts = {}
     for name, df in tables.items():
-        df.withColumn("graph_id", F.lit(graph_id)).write.mode("append").partitionBy("graph_id").parquet(f"{path}/{name}")
+        df.withColumn("graph_id", F.lit(graph_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{name}")
         counts[name] = spark.read.parquet(f"{path}/{name}").filter(F.col("graph_id") == graph_id).count()
     spark.createDataFrame([(graph_id, nsf_path, title, parsed_at, counts.get("edges", 0), counts.get("elements", 0), counts.get("blocks", 0))], MANIFEST).write.mode("append").parquet(f"{path}/graphs")
 
