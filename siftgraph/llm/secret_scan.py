@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftgraph.functions.text import CHUNK, chunks, let, matches, running, within
+
 # The rules' patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -34,8 +36,6 @@ TOKEN = (
 KINDS = ("assign", "access", "hex", "markov")
 #: Nats a character by which the random model must lead.
 MARGIN, LEAST_LLR = 0.35, 9.0
-#: Spans of a chunk, within which running sums are made one by one.
-CHUNK = 64
 MOST_SAMPLES = 20_000
 
 _ALPHABET = "".join(map(chr, range(97, 123))) + "".join(map(chr, range(65, 91))) + "0123456789+/_=-"
@@ -70,42 +70,10 @@ def llr_table(samples: DataFrame) -> dict[str, float]:
     return {a + b: round(p(True, a + b) - p(False, a + b), 4) for a in _ALPHABET for b in _ALPHABET}
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use, or a function of it for each element, reads it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _chunks(size: Column) -> Column:
-    return F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int"))
-
-
-def _within(c: Column, size: Column) -> Column:
-    """The places of a chunk's elements. Elements are read by place, as a slice would copy the whole array each time."""
-    return F.sequence(c * CHUNK, F.least((c + 1) * CHUNK, size) - 1)
-
-
-def _running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Running results of step over an array of int. An array grows by an element only within chunks, so that the work isn't quadratic."""
-    grow = lambda places, of, first: F.aggregate(
-        places, F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-        lambda acc, i: F.struct(step(acc["at"], of(i)).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], of(i)))).alias("out")), lambda acc: acc["out"],
-    )
-
-    def made(v: Column) -> Column:
-        totals = F.transform(_chunks(F.size(v)), lambda c: F.aggregate(_within(c, F.size(v)), start, lambda acc, i: step(acc, F.get(v, i))))
-        parts = lambda ends: F.transform(_chunks(F.size(v)), lambda c: grow(_within(c, F.size(v)), lambda i: F.get(v, i), F.when(c == 0, start).otherwise(F.get(ends, c - 1))))
-        return _let(grow(totals, lambda x: x, start), lambda ends: F.flatten(parts(ends)))
-
-    return _let(values, lambda v: F.when(F.size(v) > 0, made(v)).otherwise(F.expr("cast(array() as array<int>)")))
-
-
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<start,end,rank,kind,token>> of the pattern's matches, by code points."""
-    zipped = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    span = lambda x, end: F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["hit"].alias("token"))
-    ends = lambda hits: _running(F.transform(hits, lambda x: x["gap"] + F.length(x["hit"])), F.lit(0), lambda at, x: at + x)
-    made = _let(F.filter(zipped, lambda x: x["hit"].isNotNull()), lambda hits: F.zip_with(hits, ends(hits), span))
-    return F.when(text.rlike(pattern), made).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,rank:int,kind:string,token:string>>)"))
+    span = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), m["hit"].alias("token"))
+    return F.transform(matches(text, pattern), span)
 
 
 def _filled(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
@@ -125,12 +93,12 @@ def _filled(text: Column, spans: Column, fill: Callable[[Column, Column], Column
                 start, at = F.get(starts, i), before(i)
                 return F.concat(F.substring(part, at - before(first) + 1, F.greatest(F.lit(0), start - at)), fill(F.greatest(F.lit(0), F.get(stops, i) - F.greatest(at, start)), start < at))
 
-            return _let(part, lambda p: F.array_join(F.transform(_within(c, F.size(starts)), lambda i: piece(p, i)), ""))
+            return let(part, lambda p: F.array_join(F.transform(within(c, F.size(starts)), lambda i: piece(p, i)), ""))
 
-        return F.concat(F.array_join(F.transform(_chunks(F.size(starts)), chunk), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+        return F.concat(F.array_join(F.transform(chunks(F.size(starts)), chunk), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
     of = lambda name: F.transform(spans, lambda s: s[name])
-    return _let(of("start"), lambda starts: _let(of("end"), lambda stops: _let(_running(stops, F.lit(0), lambda at, x: F.greatest(at, x)), lambda ends: _let(text, lambda t: cut(t, starts, stops, ends)))))
+    return let(of("start"), lambda starts: let(of("end"), lambda stops: let(running(stops, F.lit(0), lambda at, x: F.greatest(at, x)), lambda ends: let(text, lambda t: cut(t, starts, stops, ends)))))
 
 
 def _joined(spans: Column) -> Column:
