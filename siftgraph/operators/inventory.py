@@ -14,17 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftgraph.functions import classify
-from siftgraph.functions.text import _closing
+from siftgraph.functions import classify, text
 from siftgraph.operators.rules import ANY_LOOP
 from siftgraph.sources.arrow import arrow_schema
 
 # Methods that allocate a handle (case as given or with a capital first letter), and handle types.
-ALLOCATING = (
-    "getDocumentByUNID getFirstDocument getNextDocument getNthDocument getNthEntry getEntryByKey getNextEntry getAllDocumentsByKey getDocumentByKey createDocument getView getDatabase createDateTime createViewNav createViewNavFrom"
-    " getAllEntriesByKey FTSearch search createItem createMIMEEntity createRichTextItem createStream createName createHTTPRequest getItem getFirstItem getMIMEEntity getEmbeddedObject getObjects getAllUnreadDocuments"
-).split()
-HANDLE_TYPES = "NotesDocument NotesView NotesDatabase DocumentCollection ViewEntryCollection ViewNavigator MIMEEntity RichTextItem".split()
+ALLOCATING = [
+    "getDocumentByUNID", "getFirstDocument", "getNextDocument", "getNthDocument", "getNthEntry", "getEntryByKey", "getNextEntry", "getAllDocumentsByKey",
+    "getDocumentByKey", "createDocument", "getView", "getDatabase", "createDateTime", "createViewNav", "createViewNavFrom", "getAllEntriesByKey",
+    "FTSearch", "search", "createItem", "createMIMEEntity", "createRichTextItem", "createStream", "createName", "createHTTPRequest",
+    "getItem", "getFirstItem", "getMIMEEntity", "getEmbeddedObject", "getObjects", "getAllUnreadDocuments",
+]
+HANDLE_TYPES = ["NotesDocument", "NotesView", "NotesDatabase", "DocumentCollection", "ViewEntryCollection", "ViewNavigator", "MIMEEntity", "RichTextItem"]
 LOTUS = ("lotusscript", "ls", "lss", "notes")
 
 _METHODS = "|".join(ALLOCATING)
@@ -39,26 +40,47 @@ _FINALLY = r"(?i)\bfinally\b"
 _RETURN, _EXIT = r"(?i)\breturn\b|\bthrow\b", r"(?i)\bExit\s+(?:Sub|Function)\b|\bGoTo\s+\w+|\bEnd\b\s*$"
 
 _LOTUS_FUNCTION = re.compile(r"^\s*(?:Public\s+|Private\s+|Static\s+)*(Sub|Function)\s+(\w+)[^\n]*\n(.*?)^\s*End\s+\1\b", re.I | re.M | re.S)
-_HEADS = [re.compile(r"\bfunction\s+(\w+)\s*\([^)]*\)\s*\{"), re.compile(r"\b(\w+)\s*:\s*function\s*\([^)]*\)\s*\{"), re.compile(r"\b(?:public|private|protected|static)\s+[\w<>\[\], .]*?(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{")]
+#: What a scan of the brace languages meets: texts and comments, which hide all else, the three ways to begin a function, and braces.
+_SCAN = re.compile(
+    r"(?P<hidden>\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|//[^\n]*|/\*.*?(?:\*/|$))|\bfunction\s+(?P<named>\w+)\s*\([^)]*\)\s*\{|\b(?P<member>\w+)\s*:\s*function\s*\([^)]*\)\s*\{"
+    r"|\b(?:public|private|protected|static)\s+[\w<>\[\], .]*?(?P<method>\w+)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{|(?P<open>\{)|(?P<close>\})", re.S,
+)
+_HEADS, _WITH_METHODS = ("named", "member", "method"), ("java", "xpages", "source", "script")
 
 
 def functions_of(body: str, language: str, event: str | None) -> list[tuple[str, str, int]]:
-    """(name, inner body, offset) of a unit's functions; without any, an event's whole body is one."""
-    out = []
+    """(name, inner body, offset) of a unit's functions; without any, an event's whole body is one.
+
+    Of functions within each other one counts: of the kind that comes first in _HEADS, else the outer one.
+    """
     if language in LOTUS:
         out = [(m[2], m[3], m.start()) for m in _LOTUS_FUNCTION.finditer(body)]
-    else:
-        taken: list[tuple[int, int]] = []
-        for n, head in enumerate(_HEADS):
-            if n == 2 and language not in ("java", "xpages", "source", "script"):
-                continue
-            for m in head.finditer(body):
-                end = _closing(body, m.end() - 1, "{", "}")
-                end = len(body) if end is None else end
-                if all(end <= a or m.start() >= b for a, b in taken):
-                    taken.append((m.start(), end))
-                    out.append((m[1], body[m.end() : end], m.start()))
-        out.sort(key=lambda x: x[2])
+        return out or ([(event, body, 0)] if event else [])
+    met: list[list] = []  # kind, start, name, where the inner body begins and ends, the function around it
+    open_: list[int | None] = []  # the function that each open brace begins, if it begins one
+    inner: int | None = None
+    for m in _SCAN.finditer(body):
+        kind = m.lastgroup
+        if kind == "close":
+            if open_ and (done := open_.pop()) is not None:
+                met[done][4], inner = m.start(), met[done][5]
+        elif kind != "hidden":
+            begins = kind in _HEADS and (kind != "method" or language in _WITH_METHODS)
+            open_.append(len(met) if begins else None)
+            if begins:
+                met.append([_HEADS.index(kind), m.start(), m[kind], m.end(), len(body), inner])
+                inner = len(met) - 1
+    counts: set[int] = set()
+    holds: set[int] = set()  # functions around one that counts
+    for k in sorted(range(len(met)), key=lambda k: met[k][:2]):
+        around, at = [], met[k][5]
+        while at is not None:
+            around.append(at)
+            at = met[at][5]
+        if k not in holds and counts.isdisjoint(around):
+            counts.add(k)
+            holds.update(around)
+    out = [(met[k][2], body[met[k][3] : met[k][4]], met[k][1]) for k in sorted(counts)]
     return out or ([(event, body, 0)] if event else [])
 
 
@@ -96,14 +118,16 @@ def analysed(functions_: DataFrame) -> DataFrame:
         "in_loop": body.rlike(ANY_LOOP), "has_finally": body.rlike(_FINALLY),
     })
     first = lambda p: F.when(body.rlike(p), F.regexp_instr(body, F.lit(p)))
-    leave, take, clean = F.when(lotus, first(_EXIT)).otherwise(first(_RETURN)), first(_ANY), F.least(first(_RECYCLE), first(_DELETE), first(_BULK))
-    gap = F.coalesce((leave > take) & (clean.isNull() | (clean > leave)), F.lit(False)) & (lotus | ~F.col("has_finally"))
+    exits = F.when(lotus, text.matches(body, _EXIT)).otherwise(text.matches(body, _RETURN))
+    out = out.withColumns({"take_": first(_ANY), "clean_": F.least(first(_RECYCLE), first(_DELETE), first(_BULK))})
+    early = F.exists(exits, lambda m: (m["start"] + 1 > F.col("take_")) & (F.col("clean_").isNull() | (F.col("clean_") > m["start"] + 1)))  # at any exit, what came before it
+    gap = F.coalesce(early, F.lit(False)) & (lotus | ~F.col("has_finally"))
     out = out.withColumns({"allocates": (F.size("allocated") > 0) | body.rlike(_ANY), "gap": gap})
     status = classify.cleanup_status(F.col("allocated"), F.col("cleaned"), F.col("transferred"), F.col("allocates"), F.col("n_cleanups"), body.rlike(_CONDITIONAL), F.col("has_finally"), F.col("gap"))
     wrapped = body.rlike(r"org\.openntf\.domino") & ~body.rlike(r"\blotus\.domino\b|(?i)\.recycle\s*\(")
     status = F.when(wrapped & status.isin("UNPROTECTED", "PARTIAL", "CONDITIONAL"), "PROTECTED").otherwise(status)
     out = out.withColumns({"unclean": F.array_except("allocated", "cleaned"), "status": status})
-    return out.withColumns({"severity": classify.inventory_severity(F.col("status"), F.col("in_loop"), F.lower("language") == "csjs"), "is_false_positive": F.lit(False)}).drop("gap", "has_finally")
+    return out.withColumns({"severity": classify.inventory_severity(F.col("status"), F.col("in_loop"), F.lower("language") == "csjs"), "is_false_positive": F.lit(False)}).drop("gap", "has_finally", "take_", "clean_")
 
 
 def inventory(units: DataFrame) -> DataFrame:

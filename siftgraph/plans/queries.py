@@ -217,7 +217,7 @@ WORDS_ANY, WORDS_CASED = [("the", r"(^|\s)the\s"), ("von", r"(^|\s)von\s"), ("qu
 @query(f"""WITH k AS (SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{w}' END" for w, p in WORDS_ANY)}, {', '.join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{w}' END" for w, p in WORDS_CASED)}) AS labels FROM documents)
     SELECT doc_id, labels FROM k WHERE labels <> ''""")
 def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = audit.prefilter(table(spark, sf_dir, "documents"), "text", any_case=WORDS_ANY, cased=WORDS_CASED)
+    kept = audit.prefilter(table(spark, sf_dir, "documents"), "text", [(*x, True) for x in WORDS_ANY] + [(*x, False) for x in WORDS_CASED])
     return kept.select("doc_id", F.array_join("keywords_matched", ",").alias("labels"))
 
 

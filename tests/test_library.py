@@ -122,3 +122,24 @@ def test_signals_and_windows(spark, tmp_path):
     assert sorted(r["message"] for r in kept.collect()) == [f"m{k}" for k in range(25, 30)]
     counted = ingest.windowed_counts(spark.read.parquet(str(tmp_path / "out")).withColumn("at", F.col("at").cast("timestamp")), "at", "1 minute", "10 minutes", "graph_id")
     assert sorted(r["n"] for r in counted.collect()) == [10, 10, 10]
+
+
+def test_functions_within_functions():
+    body = "var m = { a: function(x) { function b() { if (1) { s = \"}\"; } } } , c: function() { // don't\n t = '{'; } };\nfunction d() { open"
+    assert [(n, at) for n, _, at in inventory.functions_of(body, "ssjs", None)] == [("b", body.index("function b")), ("c", body.index("c: function")), ("d", body.index("function d"))]
+    assert dict((n, b) for n, b, _ in inventory.functions_of(body, "ssjs", None)) == {"b": ' if (1) { s = "}"; } ', "c": " // don't\n t = '{'; ", "d": " open"}
+    java = "class X { public static int f(int a) throws E { return a; } private void g() { h(); } }"
+    assert [n for n, _, _ in inventory.functions_of(java, "java", None)] == ["f", "g"] and inventory.functions_of(java, "ssjs", None) == []
+
+
+def test_any_exit_before_a_release_is_a_gap(spark):
+    bodies = {"second": "if (!x) return; var d = db.getView(v); if (y) return; d.recycle();", "none": "if (!x) return; var d = db.getView(v); d.recycle(); return;", "throws": "var d = db.getView(v); if (y) throw e; d.recycle();"}
+    units = spark.createDataFrame([("f", k, "scriptlibrary", "ssjs", None, f"function {k}() {{ {b} }}", 1) for k, b in bodies.items()], "source_file string, element_name string, element_type string, language string, event string, body string, start_line int")
+    got = {r["name"]: r["status"] for r in inventory.inventory(units).collect()}
+    assert got["second"] == got["throws"] == "ESCAPE_PATH_GAP" and got["none"] == "PROTECTED"
+
+
+def test_whole_scripts_of_pages():
+    long = "database.getView('v'); " * 1000
+    found = exports.page_scripts(f"<xp:x><![CDATA[{long}]]></xp:x><script>var a = 1;</script>#{{javascript:go()}}<![CDATA[plain]]><script>var a = 1;</script>")
+    assert sorted(found) == sorted(["go()", "var a = 1;", long.strip()])
