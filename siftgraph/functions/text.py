@@ -151,6 +151,49 @@ def lookup_arguments(arguments: Column) -> Column:
     return F.struct(pick(3, 3).alias("view"), pick(4, 2).alias("ret"), pick(5, 1).alias("key"), F.coalesce(last_literal(arg(2)), F.when(~quoted, raw)).alias("database"))
 
 
+# Types of handles in parameters, of the script language and of the others.
+HANDLES_LOTUS = [
+    "NotesDocument", "NotesView", "NotesDatabase", "NotesViewEntry", "NotesViewNavigator", "NotesViewNav", "NotesViewEntryCollection", "NotesDocumentCollection",
+    "NotesItem", "NotesRichTextItem", "NotesMIMEEntity", "NotesStream", "NotesName", "NotesDateTime", "NotesDateRange", "NotesHTTPRequest",
+    "NotesJSONNavigator", "NotesJSONElement", "NotesEmbeddedObject", "NotesACL", "NotesACLEntry", "NotesAgent", "NotesOutline", "NotesRegistration",
+]
+HANDLES_JAVA = [
+    "Document", "View", "Database", "ViewEntry", "ViewNavigator", "ViewEntryCollection", "DocumentCollection", "Item", "RichTextItem", "MIMEEntity",
+    "Stream", "Name", "DateTime", "DateRange", "NotesDocument", "NotesView", "NotesDatabase", "lotus.domino.Document", "lotus.domino.View", "lotus.domino.Database",
+]
+LOTUS = ("lotusscript", "ls", "lss", "notes")
+
+
+def _one_of(names: list[str]) -> str:
+    """Names as one pattern, the longest first."""
+    return "|".join(n.replace(".", r"\.") for n in sorted(names, key=len, reverse=True))
+
+
+def handle_params(signature: Column, language: Column) -> Column:
+    """array<string>: names that follow a handle type in a signature, so of handle parameters, and of a function after the type it returns; none for a null signature."""
+    names = lambda p: F.regexp_extract_all(F.coalesce(signature, F.lit("")), F.lit(p), F.lit(1))
+    lotus = names(rf"(?i)\b([A-Za-z_]\w*)\s+As\s+(?:{_one_of(HANDLES_LOTUS)})\b")
+    return F.when(F.lower(language).isin(*LOTUS), lotus).otherwise(names(rf"(?i)\b(?:{_one_of(HANDLES_JAVA)})\s+([A-Za-z_]\w*)\b"))
+
+
+def returns_handle(signature: Column, language: Column) -> Column:
+    """Whether a function's signature says that it gives a handle to its caller."""
+    text = F.coalesce(signature, F.lit(""))
+    lotus = F.rlike(text, F.lit(rf"(?i)\bAs\s+(?:{_one_of(HANDLES_LOTUS)})\b"))
+    return F.when(F.lower(language).isin(*LOTUS), lotus).otherwise(F.rlike(text, F.lit(rf"(?m)^\s*(?:(?:public|private|protected|static)\s+)*(?:{_one_of(HANDLES_JAVA)})\s+[A-Za-z_]")))
+
+
+# What begins and ends a loop of the script language.
+LOOP_START, LOOP_END = r"(?i)\b(?:Do\s+While|Do\s+Until|Forall|(?<![\w.])While)\b", r"(?i)\b(?:Loop|End\s+Forall|Wend)\b"
+
+
+def loop_around(body: Column, at: Column, starts: str = LOOP_START, ends: str = LOOP_END) -> Column:
+    """struct<start,end> of the loop that a 0-based place is in: from the last start at or before it to the first end at or after it, or the body's end; null outside of loops."""
+    first = F.array_max(F.filter(matches(body, starts), lambda m: m["start"] <= at)["start"])
+    last = F.coalesce(F.array_min(F.filter(matches(body, ends), lambda m: m["start"] >= at)["end"]), F.length(body))
+    return F.when(first < last, F.struct(first.alias("start"), last.alias("end")))
+
+
 #: Elements of a chunk, within which running sums are made one by one.
 CHUNK = 64
 

@@ -126,6 +126,32 @@ def related(items: DataFrame, others: DataFrame, tokens: Column, key: str, n: in
     return top_n(met, [key], n, *order)
 
 
+#: Characters of the pieces by which names meet the texts that hold them.
+PIECE = 3
+
+
+def _pieces(c: Column, n: int) -> Column:
+    """The distinct pieces of n characters, none of a shorter text."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(c, k, F.lit(n)))
+    return F.when(F.length(c) >= n, F.array_distinct(cut)).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def containing(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str) -> DataFrame:
+    """(keys, name) for every text and distinct name that it holds, both in lower case. The keys name a row of texts and aren't null.
+
+    A name meets only the texts that hold its rarest piece of PIECE characters (a shorter name is a piece itself), and each such pair is then
+    tested whole, so that no pair is missed and all pairs are never made. Null and empty names and texts hold nothing.
+    """
+    low = texts.select(*keys, F.lower(text).alias("text_")).filter("text_ <> ''")
+    wanted = names.select(F.lower(name).alias("name_")).filter("name_ <> ''").distinct()
+    parts = wanted.select("name_", F.explode(F.when(F.length("name_") < PIECE, F.array("name_")).otherwise(_pieces(F.col("name_"), PIECE))).alias("piece_"))
+    held = low.select(*keys, F.explode(F.concat(*(_pieces(F.col("text_"), n) for n in range(1, PIECE + 1)))).alias("piece_"))
+    often = held.join(parts.select("piece_").distinct(), "piece_", "left_semi").groupBy("piece_").agg(F.count(F.lit(1)).alias("n_"))
+    rarest = parts.join(often, "piece_").groupBy("name_").agg(F.min_by("piece_", F.struct("n_", "piece_")).alias("piece_"))
+    met = held.join(rarest, "piece_").drop("piece_").join(low, keys)
+    return met.filter(F.contains(F.col("text_"), F.col("name_"))).select(*keys, F.col("name_").alias(name))
+
+
 def ci_gate(summary: DataFrame, critical: int = 0, high: int = 50, unprotected: int = 0, incomplete: int = 25) -> DataFrame:
     """summary (one row: critical, high, unprotected, incomplete) with the list of limits that it breaks."""
     limits = {"critical": critical, "high": high, "unprotected": unprotected, "incomplete": incomplete}

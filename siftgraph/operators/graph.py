@@ -95,6 +95,25 @@ def matrix_cells(edges: DataFrame) -> DataFrame:
     return cube.join(F.broadcast(most)).select("src", "dst", "n", F.when(F.col("level") == 0, F.ceil(4 * F.col("n") / F.col("most"))).otherwise(0).cast("long").alias("heat"))
 
 
+def matrix_order(edges: DataFrame, hide_empty: bool = True, ends: DataFrame | None = None) -> DataFrame:
+    """(side, node, total) of a matrix: its rows and columns, the fullest first, ties by name. ends (side, node): what else it may show, with a total of 0."""
+    totals = edges.select(F.explode(F.array(F.struct(F.lit("row").alias("side"), F.col("src").alias("node")), F.struct(F.lit("column").alias("side"), F.col("dst").alias("node")))).alias("x"))
+    counted = totals.groupBy("x.side", "x.node").agg(F.count(F.lit(1)).alias("total"))
+    if ends is not None and not hide_empty:
+        counted = counted.unionByName(ends.select("side", "node").distinct().join(counted, ["side", "node"], "left_anti").withColumn("total", F.lit(0).cast("long")))
+    return counted.orderBy("side", F.desc("total"), "node")
+
+
+def validation(edges: DataFrame, agents: DataFrame, least_forms: int = 22) -> DataFrame:
+    """(gate, n, passed): lookups to impossible view names, edges that select forms, agents, agents without a trigger."""
+    e = edges.agg(
+        F.count_if((F.col("type") == "LOOKUP_VIA_VIEW") & F.col("target_name").rlike('[":]')).alias("bad_lookup_targets"), F.count_if(F.col("type") == "SELECTS_FORM").alias("form_selections"),
+    )
+    a = agents.agg(F.count(F.lit(1)).alias("agents"), F.count_if(F.coalesce("trigger", F.lit("")) == "").alias("agents_without_trigger"))
+    gates = {"bad_lookup_targets": F.col("bad_lookup_targets") == 0, "form_selections": F.col("form_selections") >= least_forms, "agents": F.col("agents") > 0, "agents_without_trigger": F.col("agents_without_trigger") == 0}
+    return e.join(a).select(F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("n"), ok.alias("passed")) for g, ok in gates.items()))).alias("x")).select("x.*")
+
+
 def hardcoded(texts: DataFrame, group: str, text: str = "text") -> DataFrame:
     """(group, kind, value) distinct: drive and UNC paths, addresses, hierarchical names, database files."""
     of = lambda kind, p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))

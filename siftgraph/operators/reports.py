@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgraph.functions import text
+from siftgraph.operators import graph
 from siftgraph.operators.audit import risk_level, severity_counts
+from siftgraph.operators.views import OPEN
 from siftgraph.operators.windows import top_n
 from siftgraph.schemas import severity_rank
 
@@ -56,6 +60,49 @@ def describe(formula: Column) -> Column:
     return F.array_join(F.filter(F.array(*(F.when(low.rlike(p), s) for p, s in clauses)), lambda x: x.isNotNull()), " ")
 
 
+# What a formula's one-line summary says if a pattern occurs, in this order; {} is the pattern's group. The branch counts only where nothing before it does.
+CLAUSES = [
+    (r'(?i)@Failure\s*\(\s*"([^"]+)"', 'Validation error: "{}"'),
+    (r"(?i)@DbLookup\s*\(", "Resolves a value via @DbLookup from another view/database."),
+    (r"(?i)@UserRoles", "Checks current user roles for authorization."),
+    (r"(?i)@IsNewDoc", "Behavior differs for new vs existing documents."),
+    (r"(?i)runmacro", "Invokes a shared macro/agent."),
+    (r"(?i)@Command\s*\(\s*\[([^\]]+)\]", "Runs Domino @Command [{}]."),
+]
+BRANCH, PROCEDURE, NO_LOGIC, MOST_EXCERPT = "Conditional branching based on field or document state.", "LotusScript procedure.", "Empty logic block.", 120
+
+
+def formula_summary(formula: Column) -> Column:
+    """What a formula does in one line: the clauses that hold, else its beginning. Null counts as empty."""
+    bare = F.regexp_replace(F.coalesce(formula, F.lit("")), r"^\s+|\s+$", "")
+    low = F.lower(bare)
+    said = lambda p, s: F.when(bare.rlike(p), F.concat(*(F.lit(x) if k == 0 else F.concat(F.regexp_extract(bare, p, 1), F.lit(x)) for k, x in enumerate(s.split("{}")))))
+    clauses = F.concat_ws(" ", *(said(*c) for c in CLAUSES))
+    branch = F.when(low.contains("@if") & (clauses == ""), F.lit(BRANCH))
+    procedure = F.when(F.substring(low, 1, 20).contains("sub "), F.lit(PROCEDURE))
+    all_ = F.concat_ws(" ", F.nullif(clauses, F.lit("")), branch, procedure)
+    excerpt = F.concat(F.lit("Formula logic: "), F.substring(F.replace(bare, F.lit("\n"), F.lit(" ")), 1, MOST_EXCERPT), F.when(F.length(bare) > MOST_EXCERPT, "…").otherwise(""))
+    return F.when(bare == "", F.lit(NO_LOGIC)).when(all_ == "", excerpt).otherwise(all_)
+
+
+def synthesis(elements: DataFrame, blocks: DataFrame, agents: DataFrame, edges: DataFrame, rules: DataFrame, most_rules: int = 50) -> DataFrame:
+    """(section, item): the synthesis of an application as JSON items, so that nothing is gathered in one row.
+
+    Sections: databases, capabilities, business_rules (the first of rules by their id), document_lifecycles, application_flow and category_counts.
+    elements: element_type, name, database_id; blocks: category, owner_name, event; agents: trigger; edges: type; rules: id and what else they show.
+    """
+    sections = {
+        "databases": elements.groupBy("database_id").agg(F.count(F.lit(1)).alias("n_elements")),
+        "capabilities": graph.capability_map(elements, blocks),
+        "business_rules": rules.orderBy("id").limit(most_rules),
+        "document_lifecycles": graph.lifecycles(blocks, elements.filter("element_type = 'form'")),
+        "application_flow": graph.flow(agents, edges),
+        "category_counts": blocks.groupBy("category").agg(F.count(F.lit(1)).alias("n")),
+    }
+    made = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("item")) for name, df in sections.items()]
+    return reduce(DataFrame.union, made)
+
+
 def viz_nodes(elements: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label, grp, field_count, declared): declared elements once each, and what edges name besides; ids have the database where there are several."""
     several = elements.select("database_id").distinct().limit(2).agg((F.count(F.lit(1)) > 1).alias("several"))
@@ -73,6 +120,20 @@ def node_issues(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.concat_ws(":", "element_type", "element_name").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min_by("severity", severity_rank(F.col("severity"))).alias("worst"))
 
 
+def node_issues_of(findings: DataFrame, functions: DataFrame, most: int = 5) -> DataFrame:
+    """(node, n, worst, items): findings of each element and functions to act on, with the gravest of them in words.
+
+    findings: element_type, element_name, rule_id, severity, is_false_positive; functions: the same without rule_id but with name and status.
+    """
+    node = F.concat_ws(":", "element_type", "element_name").alias("node")
+    from_findings = findings.filter(~F.coalesce(F.col("is_false_positive"), F.lit(False))).select(node, severity_rank(F.col("severity")).alias("rank"), "severity", F.col("rule_id").alias("item"))
+    acted = functions.filter(~F.coalesce(F.col("is_false_positive"), F.lit(False)) & F.col("status").isin(*OPEN))
+    both = from_findings.unionByName(acted.select(node, severity_rank(F.col("severity")).alias("rank"), "severity", F.concat("name", F.lit(" "), "status").alias("item")))
+    counted = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min_by("severity", "rank").alias("worst"))
+    shown = top_n(both.select("node", "rank", "item").distinct(), ["node"], most, "rank", "item").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("x"))  # most items at most
+    return counted.join(shown, "node").select("node", "n", "worst", F.array_join(F.transform("x", lambda x: x["item"]), "; ").alias("items"))
+
+
 def snapshot(findings: DataFrame, at: str) -> DataFrame:
     """One row for the audit history."""
     c = severity_counts(findings)

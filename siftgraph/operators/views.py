@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftgraph.functions import classify, text
+from siftgraph.operators import audit
 from siftgraph.operators.windows import top_n
 from siftgraph.schemas import severity_rank, truthy
 
@@ -137,6 +138,52 @@ def findings_for_functions(records: DataFrame, findings: DataFrame, n: int = 3)
     return top_n(met.drop("low_"), ["source_file", "element_name", "name"], n, severity_rank(F.col("severity")), "rule_id", "line")
 
 
+def related_findings(functions: DataFrame, findings: DataFrame, n: int | None = None, wide: bool = False) -> DataFrame:
+    """(function_id, finding_id, nth): the gravest n findings that have to do with each function, of those that count.
+
+    functions: function_id, name, element, language; findings: finding_id, rule_id, severity, element_name, title, evidence, location, source_file, line,
+    is_false_positive. All comparisons are of lower-cased parts of texts, and an empty text is part of none.
+    A report (narrow, 3) wants the name in the finding's element or title, or in its evidence if that element has the function's; functions of the script
+    language are left out. A viewer (wide, 8) wants the name in element, title or evidence, or the finding's element in the name, or the name in
+    the location if the function's element is in the finding's element, location or source file.
+    """
+    n = n or (8 if wide else 3)
+    f = functions.select("function_id", F.trim(low("name")).alias("name"), F.trim(low("element")).alias("element"), low("language").alias("language"))
+    f = f if wide else f.filter(~F.col("language").isin(*text.LOTUS))
+    g = findings.filter(~F.coalesce(F.col("is_false_positive"), F.lit(False))).select(
+        "finding_id", "rule_id", severity_rank(F.col("severity")).alias("rank"), "line", F.col("element_name").alias("shown"), F.trim(low("element_name")).alias("owner"), low("title").alias("title"), low("evidence").alias("evidence"), low("location").alias("location"), low("source_file").alias("source"),
+    )
+    places = ["owner", "title", "evidence", *(["location"] if wide else [])]
+    whole = g.select("finding_id", F.concat_ws("\x00", *places).alias("all_"))
+    met = audit.containing(whole, ["finding_id"], "all_", f, "name").join(f, "name").join(g, "finding_id")
+    has = lambda *cs: F.greatest(*(F.contains(F.col(c), F.col("name")) for c in cs), F.lit(False))
+    part_of = lambda *cs: (F.col("element") != "") & F.greatest(*(F.contains(F.col(c), e) for c, e in cs), F.lit(False))
+    own, bare = F.col("element"), F.regexp_replace("element", "^javaclass:", "")
+    wanted = has("owner", "title", "evidence") | has("location") & part_of(("owner", own), ("location", own), ("source", bare)) if wide else has("owner", "title") | has("evidence") & part_of(("owner", own))
+    out = met.filter(wanted).select("function_id", "finding_id", "rank", "rule_id", "shown", "line")
+    if wide:
+        back = audit.containing(f.select("function_id", "name"), ["function_id"], "name", g, "owner").join(g, "owner")
+        out = out.unionByName(back.select("function_id", "finding_id", "rank", "rule_id", "shown", "line")).distinct()
+    order = ["rank", "rule_id", "finding_id"] if wide else ["rank", "rule_id", "shown", "line", "finding_id"]
+    kept = top_n(out, ["function_id"], n, *order)
+    return kept.select("function_id", "finding_id", F.row_number().over(Window.partitionBy("function_id").orderBy(*order)).alias("nth"))
+
+
+def blocks_of(blocks: DataFrame, owner: str) -> DataFrame:
+    """All code blocks of one owner."""
+    return blocks.filter(F.col("owner_name") == owner)
+
+
+#: Kinds of elements that a node's id can lead to.
+FOUND_BY_ID = ["form", "subform", "view", "agent", "scriptlibrary"]
+
+
+def element_of(elements: DataFrame, node: str) -> DataFrame:
+    """The elements that a node's id (kind, colon, name, which may have colons) stands for; none of other kinds."""
+    kind, _, name = node.partition(":")
+    return elements.filter((F.col("element_type") == kind) & (F.col("name") == name) & F.col("element_type").isin(*FOUND_BY_ID))
+
+
 def families(findings: DataFrame) -> DataFrame:
     return findings.filter(~F.coalesce(F.col("is_false_positive"), F.lit(False))).groupBy(classify.family(F.col("rule_id")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -164,6 +211,23 @@ def upgrade_counts(units: DataFrame) -> DataFrame:
     return hits.groupBy("source_file", "x.language", "x.pattern").agg(F.sum("x.n").cast("long").alias("n_hits"), F.count(F.lit(1)).alias("n_units"))
 
 
+def upgrade_samples(units: DataFrame, per_body: int = 3, per_file: int = 5) -> DataFrame:
+    """(source_file, language, pattern, nth, sample): what stands around the first calls of each body, from 20 characters before to 40 after, distinct in a file."""
+    once = units.select("source_file", "language", "body").dropDuplicates(["source_file", "language", "body"])
+    cut = lambda m: F.substring(F.replace(F.substring("body", F.greatest(m["start"] - 20, F.lit(0)) + 1, m["end"] + 40 - F.greatest(m["start"] - 20, F.lit(0))), F.lit("\n"), F.lit(" ")), F.lit(1), F.lit(120))
+    samples = lambda label, p: F.transform(F.slice(text.matches(F.col("body"), p), 1, per_body), lambda m: F.struct(F.lit(label).alias("pattern"), cut(m).alias("sample"), m["start"].alias("at")))
+    found = [F.when(F.col("language") == lang, samples(label, p)) for lang, label, p in UPGRADE]
+    each = once.select("source_file", "language", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("many")).select("source_file", "language", F.explode("many").alias("x"))
+    distinct = each.groupBy("source_file", "language", "x.pattern", "x.sample").agg(F.min("x.at").alias("at"))
+    key, order = ["source_file", "language", "pattern"], ["at", "sample"]
+    return top_n(distinct, key, per_file, *order).select(*key, F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("nth"), "sample")
+
+
+def upgrade_totals(counts: DataFrame) -> DataFrame:
+    """(language, n_hits) over the rows of upgrade_counts."""
+    return counts.groupBy("language").agg(F.sum("n_hits").alias("n_hits"))
+
+
 def lookups(blocks: DataFrame) -> DataFrame:
     """(source_file, owner_type, owner_name, context, function, target_database, target_view, lookup_key, return_field) that formulas and scripts look up."""
     keep = ["source_file", "owner_type", "owner_name", "context"]

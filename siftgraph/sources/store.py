@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgraph.operators.windows import first_per_key, last_n
@@ -32,6 +32,62 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# The shape of a graph file that readers rely on; what a file lacks is null.
+_FILE = "struct<path:string,database_id:string,database_path:string,database_title:string>"
+_END = "struct<type:string,name:string,database_id:string>"
+GRAPH = (
+    f"meta struct<parser_version:string,generated_at:string,input_directory:string,source_files:array<{_FILE}>,databases:array<struct<id:string,title:string,path:string,source_file:string>>>, "
+    f"edges array<struct<type:string,source:{_END},target:{_END},evidence:string,source_file:string,metadata:map<string,string>>>, "
+    "business_logic array<struct<category:string,owner_type:string,owner_name:string,source_file:string,database_id:string,language:string,event:string,context:string,body:string>>"
+)
+
+
+def read_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """Graph files (one JSON object each), one row a file, with the file's path. Keys that a file lacks are null; a file that is no JSON gives nulls."""
+    return spark.read.schema(GRAPH).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, lower: int = 0, upper: int = 0, tasks: int = 1, **options: str) -> DataFrame:
+    """A table of a database. With a numeric key and its bounds, tasks read ranges of it side by side; rows beyond the bounds go to the first and last task."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    return (reader.options(partitionColumn=key, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(tasks)) if key else reader).load()
+
+
+def create_tables(spark: SparkSession, path: str, database: str = "default") -> list[str]:
+    """Declares the stored tables over a folder; doing it again changes nothing. Returns their names."""
+    from siftgraph.schemas import BLOCKS, EDGES, ELEMENTS
+
+    declared = {"graphs": MANIFEST, "edges": EDGES, "elements": ELEMENTS, "blocks": BLOCKS}
+    for name, columns in declared.items():
+        by_graph = "" if name == "graphs" else " PARTITIONED BY (graph_id)"
+        columns = columns if name == "graphs" else f"{columns}, graph_id string"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet{by_graph} LOCATION '{path}/{name}'")
+    return [f"{database}.{name}" for name in declared]
+
+
+def base_name(path: Column) -> Column:
+    """A path without its upload label and folders; null where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(path), "(?i)^upload:", ""), r"[/\\]+$", "")
+    return F.nullif(F.regexp_extract(bare, r"([^/\\]*)$", 1), F.lit(""))
+
+
+def source_name(first_file: Column, database_file: Column, folder: Column) -> Column:
+    """What a graph is called by: its first source file, else its first database's file, else the folder it was read from."""
+    return F.coalesce(base_name(first_file), base_name(database_file), base_name(folder))
+
+
+def described_graphs(graphs: DataFrame) -> DataFrame:
+    """(file, source_name, nsf_path, database_title) of the rows of read_graphs."""
+    first = F.get("meta.source_files", 0)
+    path = F.coalesce(F.nullif(first["database_path"], F.lit("")), F.nullif(first["path"], F.lit("")), F.col("meta.input_directory"), F.lit("unknown"))
+    return graphs.select("file", source_name(first["path"], F.get("meta.databases", 0)["source_file"], F.col("meta.input_directory")).alias("source_name"), path.alias("nsf_path"), first["database_title"].alias("database_title"))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, as ISO 8601 text."""
+    return F.concat(F.date_format(F.convert_timezone(None, F.lit("UTC"), F.localtimestamp()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
 def store_graph(path: str, graph_id: str, nsf_path: str, title: str, parsed_at: str, tables: dict[str, DataFrame]) -> None:
     """Writes edges, elements and blocks, then the manifest. A second try after a failure writes the graph's partitions anew."""
     spark = next(iter(tables.values())).sparkSession
@@ -42,6 +98,13 @@ def store_graph(path: str, graph_id: str, nsf_path: str, title: str, parsed_at:
     spark.createDataFrame([(graph_id, nsf_path, title, parsed_at, counts.get("edges", 0), counts.get("elements", 0), counts.get("blocks", 0))], MANIFEST).write.mode("append").parquet(f"{path}/graphs")
 
 
+def listed(graphs: DataFrame, snapshots: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The newest graphs (graph_id, parsed_at, ...) with what their newest snapshot says (graph_id, at, critical, safe, total): n_critical, and safety_rate in percent, null without a snapshot."""
+    newest = first_per_key(snapshots, ["graph_id"], F.desc("at")).select("graph_id", F.col("critical").alias("n_critical"), F.when(F.col("total") == 0, 100.0).otherwise(F.round(100 * F.col("safe") / F.col("total"), 1)).alias("safety_rate"))
+    few = graphs.orderBy(F.desc("parsed_at"), "graph_id").limit(max(1, min(limit, MOST_LISTED)))
+    return few.join(newest, "graph_id", "left").orderBy(F.desc("parsed_at"), "graph_id")
+
+
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{path}/graphs")
 
