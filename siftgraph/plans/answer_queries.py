@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgraph.functions import classify, text
-from siftgraph.operators import graph, reports, views
+from siftgraph.operators import graph, remedies, reports, views
 from siftgraph.plans import queries
 from siftgraph.plans.catalog import ORACLE_SQL, query, table
 from siftgraph.sources import store
@@ -155,3 +155,13 @@ def synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     agents = table(spark, sf_dir, "events").select(F.when(F.col("event_type").isin("signup", "purchase"), "Scheduled: daily").otherwise(F.col("event_type")).alias("trigger"))
     edges = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "A", "INVOKES_AGENT").when(F.col("l_returnflag") == "R", "CROSS_DATABASE_LOOKUP").otherwise("USES").alias("type"))
     return reports.synthesis(elements, queries._blocks(spark, sf_dir), agents, edges, queries.rules_budgeted(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'walk' WHEN 1 THEN 'view' END AS topic, CASE WHEN o_orderkey % 3 = 2 THEN NULL WHEN o_orderkey % 3 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'var v' || o_orderkey || ' = db.getView(name);  // before the loop' ELSE 'Set v' || o_orderkey || ' = db.GetView(name) '' before the loop' END
+    WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'while (v' || o_orderkey || ' != null) {' ELSE 'try { use(v' || o_orderkey || '); } finally { if (v' || o_orderkey || ' != null) v' || o_orderkey || '.recycle(); }' END
+    ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'Do Until v' || o_orderkey || ' Is Nothing' ELSE 'Call use(v' || o_orderkey || ')' END END AS first_line FROM orders""")
+def remedies_of_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic and the first line of each finding's sketch, named by the variable of its evidence."""
+    k = F.col("o_orderkey")
+    findings = table(spark, sf_dir, "orders").select("o_orderkey", _pick(["DOM-002", "PERF-002", "NONE-1"], k).alias("rule_id"), _pick(["java", "LotusScript"], k).alias("language"), (k % 5 == 0).alias("in_loop"), F.lit(None).cast("string").alias("variable"), _text("x == 1; v", k, " = c.getNextDocument(v", k, ")").alias("evidence"))
+    return remedies.with_remedies(findings).select("o_orderkey", "topic", F.split_part("sketch", F.lit("\n"), F.lit(1)).alias("first_line"))

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from siftgraph.functions import text
-from siftgraph.operators import audit, graph, reports, views
+from siftgraph.operators import audit, graph, remedies, reports, rules, views
 from siftgraph.sources import store
 
 
@@ -86,3 +86,12 @@ def test_upgrade_samples_are_distinct_and_bounded(spark):
     got = views.upgrade_samples(units).collect()
     assert [r["nth"] for r in got] == list(range(1, len(got) + 1)) and 1 <= len(got) <= 3 and all("\n" not in r["sample"] and len(r["sample"]) <= 120 for r in got)
     assert [tuple(r) for r in views.upgrade_totals(views.upgrade_counts(units)).collect()] == [("java", 4)]
+
+
+def test_every_rule_has_one_remedy(spark):
+    told = [r for r, _, _ in remedies.ADVICE]
+    assert len(set(told)) == len(told) and {r.rule_id for r in rules.RULES} <= set(told)
+    rows = [("DOM-003", None, None, None, "no variable"), ("DOM-004", "java", True, "d", "d.recycle()"), (None, "java", True, "d", None)]
+    got = remedies.with_remedies(spark.createDataFrame(rows, "rule_id string, language string, in_loop boolean, variable string, evidence string")).collect()
+    by = {r["rule_id"]: r for r in got}
+    assert len(got) == 3 and "handle.recycle()" in by["DOM-003"]["sketch"] and by["DOM-004"]["sketch"] is None and by["DOM-004"]["advice"] and by[None]["topic"] is None
