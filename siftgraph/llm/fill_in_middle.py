@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,10 +103,9 @@ def restored(output: str, form: str) -> str:
     return prefix + middle + suffix
 
 
-def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [EliasFano.pack(token_ends(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, "ends"])
+@F.pandas_udf("binary")
+def _packed_ends(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: EliasFano.pack(token_ends(t)))
 
 
 def _transformed(seed: int, texts: bool):  # noqa: ANN202
@@ -114,14 +114,17 @@ def _transformed(seed: int, texts: bool):  # noqa: ANN202
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, text, ends = None, "", None
+        of, text, content, ends = None, "", "", None
         for batch in batches:
             rows = []
-            entry, lists, ids = batch.column("text"), batch.column("ends"), batch.column("id").to_pylist()
-            for k, doc_id in enumerate(ids):
+            entry, lists = batch.column("text"), batch.column("ends")
+            for k, (doc_id, wanted) in enumerate(zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True)):
                 if of is None or not entry[k].equals(of):  # documents of one text come one after another
                     of = entry[k]
                     text, ends = of.as_py(), EliasFano(lists[k].as_py())
+                    content = sha(text)
+                if content != wanted:  # another text of the same digest
+                    continue
                 form, output, prefix, middle = cut(text, ends, doc_id, seed)
                 digest = sha(output)
                 row = (doc_id, ends.n, form, prefix, middle, digest, digest if form == "plain" else sha(restored(output, form)))
@@ -133,10 +136,9 @@ def _transformed(seed: int, texts: bool):  # noqa: ANN202
 
 
 def boundary_index(keyed: DataFrame) -> DataFrame:
-    """(digest, part, text, content, ends): an entry for each distinct text of keyed (digest, part, text). Texts that only share a digest have entries of their own."""
+    """(digest, part, text, ends): an entry for each distinct text of keyed (digest, part, text). Texts that only share a digest have entries of their own."""
     whole = keyed.groupBy("digest", "part").agg(F.collect_set("text").alias("texts"))  # one text, unless digests collide
-    entries = whole.select("digest", "part", F.explode("texts").alias("text")).withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
-    return entries.mapInArrow(_with_ends, "digest long, part int, text string, content string, ends binary")
+    return whole.select("digest", "part", F.explode("texts").alias("text")).withColumn("ends", _packed_ends("text"))  # a function of a column, as it leaves the rows dealt by digest and part
 
 
 def transform(
@@ -152,6 +154,6 @@ def transform(
     index = boundary_index(named.join(hot, "digest", "left_anti").select("digest", F.lit(0).alias("part"), "text").union(dealt))
     place = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")  # every part has every text of its digest, so any will do
     asked = named.join(hot, "digest", "left").select("id", "digest", place.alias("part"), F.sha2(F.col("text").cast("binary"), 256).alias("content"))
-    joined = asked.join(index.hint("merge"), ["digest", "part", "content"]).select("id", "text", "ends")
+    joined = asked.join(index.hint("merge"), ["digest", "part"]).select("id", "content", "text", "ends")  # by what the index is dealt by; the content is compared after
     schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string" + ", output string" * texts
     return joined.mapInArrow(_transformed(seed, texts), schema).withColumnRenamed("doc_id", id_col)
