@@ -2,8 +2,9 @@
 
 Texts are cut into n tokens, a word with the white space before it or trailing white space, and each document's seed says after how many of them its prefix and
 middle end. Where tokens end depends on the text alone, so identical texts share one entry of an index: texts are grouped by digest and, within a
-digest, by their whole content; an entry holds the ends of its tokens as an Elias-Fano list, some five bits for each token. Documents, of which
-only ids and digests travel, join their entry; the two ends that the seed asks for are selected from the list and the text is cut there.
+digest, by their whole content. Documents, of which only ids and digests travel, join the entry whose content is theirs. A task meets an entry with all its
+documents in a row: the ends of its tokens become an Elias-Fano list, some five bits for each token, once, and for each document the two ends that its seed
+asks for are selected from the list and the text is cut there. Texts shuffle once, and copies within a task only as one.
 A digest of more than SPLIT documents is dealt over parts, each with an entry of its own, so that no task gets a hot text's documents.
 
 Defined results: null and empty texts have no tokens and stay plain; a null id has the seed of an empty number; repeated rows give equal rows; a text
@@ -16,7 +17,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,11 +103,6 @@ def restored(output: str, form: str) -> str:
     return prefix + middle + suffix
 
 
-@F.pandas_udf("binary")
-def _packed_ends(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: EliasFano.pack(token_ends(t)))
-
-
 def _transformed(seed: int, texts: bool):  # noqa: ANN202
     names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256", *(["output"] if texts else [])]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * (3 if texts else 2)]
@@ -116,13 +111,12 @@ def _transformed(seed: int, texts: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, text, content, ends = None, "", "", None
         for batch in batches:
-            rows = []
-            entry, lists = batch.column("text"), batch.column("ends")
+            rows, entry = [], batch.column("text")
             for k, (doc_id, wanted) in enumerate(zip(batch.column("id").to_pylist(), batch.column("content").to_pylist(), strict=True)):
-                if of is None or not entry[k].equals(of):  # documents of one text come one after another
+                if of is None or not entry[k].equals(of):  # an entry begins: its list is made once
                     of = entry[k]
-                    text, ends = of.as_py(), EliasFano(lists[k].as_py())
-                    content = sha(text)
+                    text = of.as_py()
+                    content, ends = sha(text), EliasFano(EliasFano.pack(token_ends(text)))
                 if content != wanted:  # another text of the same digest
                     continue
                 form, output, prefix, middle = cut(text, ends, doc_id, seed)
@@ -135,10 +129,10 @@ def _transformed(seed: int, texts: bool):  # noqa: ANN202
     return run
 
 
-def boundary_index(keyed: DataFrame) -> DataFrame:
-    """(digest, part, text, ends): an entry for each distinct text of keyed (digest, part, text). Texts that only share a digest have entries of their own."""
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """(digest, part, text): an entry for each distinct text of keyed (digest, part, text). Texts that only share a digest have entries of their own."""
     whole = keyed.groupBy("digest", "part").agg(F.collect_set("text").alias("texts"))  # one text, unless digests collide
-    return whole.select("digest", "part", F.explode("texts").alias("text")).withColumn("ends", _packed_ends("text"))  # a function of a column, as it leaves the rows dealt by digest and part
+    return whole.select("digest", "part", F.explode("texts").alias("text"))
 
 
 def transform(
@@ -151,9 +145,10 @@ def transform(
     hot = small_or_shuffled(materialise(counted.select("digest", F.ceil(F.col("n") / split).cast("int").alias("parts"))))
     of_hot = named.join(hot, "digest").groupBy("digest", "parts").agg(F.collect_set("text").alias("texts"))  # in part before any shuffle
     dealt = of_hot.select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "texts").select("digest", "part", F.explode("texts").alias("text"))
-    index = boundary_index(named.join(hot, "digest", "left_anti").select("digest", F.lit(0).alias("part"), "text").union(dealt))
+    index = distinct_texts(named.join(hot, "digest", "left_anti").select("digest", F.lit(0).alias("part"), "text").union(dealt))
     place = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1))).cast("int")  # every part has every text of its digest, so any will do
     asked = named.join(hot, "digest", "left").select("id", "digest", place.alias("part"), F.sha2(F.col("text").cast("binary"), 256).alias("content"))
-    joined = asked.join(index.hint("merge"), ["digest", "part"]).select("id", "content", "text", "ends")  # by what the index is dealt by; the content is compared after
+    # By what the index is dealt by already; contents are compared in the task, where an entry meets all its documents in a row.
+    joined = index.join(asked.hint("merge"), ["digest", "part"]).select("id", "content", "text")
     schema = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string" + ", output string" * texts
     return joined.mapInArrow(_transformed(seed, texts), schema).withColumnRenamed("doc_id", id_col)
