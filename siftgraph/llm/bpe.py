@@ -6,7 +6,7 @@ place of adjacent pairs, and an entry whose pair has changed since is skipped. D
 strings.
 
 Defined results: null and empty texts give no ids and an empty decoded text; repeated rows encode alike;
-an empty table gives no rows; extra columns are ignored.
+an empty table gives no rows; extra columns are ignored; ids pass through as they are, nulls too.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgraph.llm.common import held
+from siftgraph.llm.common import held, with_made
 
 #: Words in a generation of what a Python worker keeps.
 KEPT_WORDS = 200_000
@@ -167,21 +165,23 @@ def packed_ids(path: str) -> Kept:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    """One row per document: id (of any type, as it is), n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():  # noqa: ANN202
         get, words = _kept(path).__getitem__, encoder_of(path).words
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+        def of(texts: list) -> list[list]:
+            out: list[list] = [[] for _ in range(5 if with_ids else 3)]
+            for text in texts:
                 parts = list(map(get, words(text)))
-                ids = " ".join([p[0] for p in parts])
-                decoded = " ".join([p[1] for p in parts])
-                row = (doc_id, sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                out.append((*row, [int(i) for i in ids.split()], decoded) if with_ids else row)
-            frame = pd.DataFrame(out, columns=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
-            frame[id_col] = pdf["id"].to_numpy()
-            yield frame
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+                ids, decoded = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                row = (sum([p[2] for p in parts]), sha(ids), sha(decoded), *(([int(i) for i in ids.split()], decoded) if with_ids else ()))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            return out
+
+        return of
+
+    return with_made(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", schema, make, keep=False).withColumnRenamed("id", id_col)

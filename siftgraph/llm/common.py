@@ -69,11 +69,12 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_made(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[list], Iterable[list]]]) -> DataFrame:
-    """df with further columns, made batch by batch from the values of one; all others pass through as they are.
+def with_made(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[list], Iterable[list]]], keep: bool = True) -> DataFrame:
+    """df with further columns, made batch by batch from the values of one; all others pass through as they are, that one too unless keep is false.
 
     make() gives, once for each task, a function from a batch's values to the new columns' values.
     """
+    own = [f for f in df.schema.fields if keep or f.name != column]
     added = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     kinds = [to_arrow_type(f.dataType) for f in added]
 
@@ -81,9 +82,10 @@ def with_made(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
         f = make()
         for batch in batches:
             made = f(batch.column(column).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], [*batch.schema.names, *added.names])
+            kept = [batch.column(f.name) for f in own]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], [*(f.name for f in own), *added.names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+    return df.mapInArrow(run, T.StructType([*own, *added.fields]))
 
 
 _HELD: dict[tuple, object] = {}

@@ -17,6 +17,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,17 +73,18 @@ class Windows:
             yield window, self.size - gap, self.held[window]
 
 
+_KINDS = dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "filled"), pa.int64())
+
+
 def _pieces(path: str, size: int, most: int):  # noqa: ANN202
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, words = bpe.packed_ids(path).__getitem__, bpe.encoder_of(path).words
         windows, base, out = Windows(size, most), TaskContext.get().partitionId() * _STRIDE, []
         row = lambda window, offset, item, left: (*item, base + window, offset, left)
-        columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "filled"]
-        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64", "filled": "Int64"})
-        for pdf in batches:
-            for doc_id, text in zip(pdf["id"], pdf["text"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)  # noqa: PLW2901
-                data = b"".join([*map(get, words(text)), b"\1\0\0\0"])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS.values())], list(_KINDS))
+        for batch in batches:
+            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                data = b"".join([*map(get, words(text.as_py())), b"\1\0\0\0"])
                 total = len(data) // 4
                 for start in range(0, total, size):
                     length = min(size, total - start)
@@ -92,10 +94,10 @@ def _pieces(path: str, size: int, most: int):  # noqa: ANN202
                     elif done := windows.put(length, item):
                         out += [row(done[0], offset, x, None) for offset, x in done[1]]
             if len(out) >= 10_000:
-                yield frame(out)
+                yield made(out)
                 out = []
         out += [row(window, offset, x, filled) for window, filled, items in windows.rest() for offset, x in items]
-        yield frame(out)
+        yield made(out)
 
     return run
 
@@ -117,7 +119,7 @@ def _merged(size: int, most: int):  # noqa: ANN202
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, open_windows: int = OPEN_WINDOWS, group: int = GROUP) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, filled long"
-    pieces = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(_pieces(path, size, open_windows), schema))
+    pieces = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pieces(path, size, open_windows), schema))
     open_ = pieces.filter("filled is not null").groupBy("window").agg(F.max("filled").alias("filled"))
     n = -(-open_.count() // group) or 1
     moved = materialise(open_.repartition(n, "window").mapInPandas(_merged(size, open_windows), "window long, sequence_id long, shift long"))

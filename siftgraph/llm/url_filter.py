@@ -10,7 +10,7 @@ shuffled join on the digest, confirmed by the full string.
 
 Defined results: a null URL or one without "://" has empty host and path and fits nothing; the longest entry
 wins, then the longest host; of equal entries the one that blocks; an empty table gives no rows; repeated rows are judged alike;
-extra columns are ignored.
+extra columns are ignored; ids pass through as they are, nulls too.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftgraph.llm.common import materialise
 
@@ -143,13 +144,13 @@ def match(urls: DataFrame, entries: DataFrame, most: int = MOST_ENTRIES) -> Data
         return _match_by_join(urls, entries)
     name = _shipped(urls, [tuple(r) for r in entries.select("host", "path", "verdict").toLocalIterator()])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = _opened(SparkFiles.get(name))
-        for pdf in batches:
-            rule, verdict = array.judge(pdf["host_"].tolist(), pdf["path_"].tolist())
-            yield pdf.assign(rule_=pd.Series(rule, pdf.index, object), verdict_=pd.Series(verdict, pdf.index, object))
+        for batch in batches:
+            made = array.judge(batch.column("host_").to_pylist(), batch.column("path_").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.string()) for x in made)], [*batch.schema.names, "rule_", "verdict_"])
 
-    return urls.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in urls.schema)}, rule_ string, verdict_ string")
+    return urls.mapInArrow(run, T.StructType([*urls.schema.fields, T.StructField("rule_", T.StringType()), T.StructField("verdict_", T.StringType())]))
 
 
 def _match_by_join(urls: DataFrame, entries: DataFrame) -> DataFrame:

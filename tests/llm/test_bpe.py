@@ -24,6 +24,14 @@ def test_against_the_library(spark, documents):
     assert got == sorted(((r["doc_id"], *expected(r["text"])) for r in both.collect()), key=str)
 
 
+def test_ids_of_any_type_and_clashing_columns(spark):
+    rows = [(None, "a"), (2**53 + 1, "b c"), (2**60 + 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as id", "1 as n_tokens", "'y' as ids").coalesce(1)
+    assert {(r["doc_id"], r["n_tokens"]) for r in bpe.encode(df, tokenizer_path()).collect()} == {(i, expected(t)[0]) for i, t in rows}
+    named = bpe.encode(df.selectExpr("cast(doc_id as string) as key", "text"), tokenizer_path(), id_col="key")
+    assert {r["key"] for r in named.collect()} == {None, str(2**53 + 1), str(2**60 + 3)}
+
+
 def test_whole_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: tuple(r)[1:] for r in bpe.encode(docs, tokenizer_path()).collect()}

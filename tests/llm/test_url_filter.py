@@ -32,6 +32,15 @@ def test_against_brute_force(spark):
         assert got == {k: brute(x) for k, x in enumerate(URLS)}
 
 
+def test_ids_pass_unchanged_and_repeated_rows_are_kept(spark):
+    ids = [None, None, 2**53 + 1, 2**60 + 3, 2**60 + 3, 7]
+    pages = spark.createDataFrame([(k, "http://a.com/de/x", 1, "x") for k in ids], "page_id long, url string, verdict int, host_ string").coalesce(1)
+    rules, blocked = u.entries_of(pages, u.RULES), u.entries_of(pages, u.BLOCKED)
+    for most in (100, 0):
+        got = [(r["page_id"], r["rule"]) for r in u.judge(pages, rules, blocked, most=most).collect()]
+        assert sorted(got, key=str) == sorted(((k, "com/de/") for k in ids), key=str)
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert u.judge(pages, u.entries_of(pages, []), u.entries_of(pages, [])).count() == 0
