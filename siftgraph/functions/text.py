@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,6 +33,48 @@ def line_window(body: Column, line: Column, before: int = 2, after: int = 2) ->
     return F.transform(part, lambda t, k: F.struct((first + k).cast("int").alias("line"), t.alias("text"), (first + k == line).alias("highlight")))
 
 
+# What counts as a cleanup near a finding, on a line that is shown as one, and as the start of a guarded block.
+CLEANUP_NEAR, CLEANUP_LINE = r"(?i)\bfinally\b|\.recycle\s*\(|\brecycle\s*\(|\bDelete\b", r"(?i)(?:\.\s*recycle\s*\(|\brecycle\s*\(|\bDelete\s+[A-Za-z_]\w*|\bCall\s+\w+\.Recycle\s*\()"
+TRY = r"(?i)\btry\s*\{"
+
+
+def lines_of(body: Column) -> Column:
+    """array<string>: the lines of a text; an end of line at its end begins no further one, and an empty text has one line."""
+    return F.split(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])\z", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
+
+
+def grown_window(lines: Column, focus: Column, base: Column, before: int = 15, after: int = 45, most: int = 100) -> Column:
+    """struct<first,last,lines,snippet>: the lines around a line of a unit whose first line is base, grown so that they show how handles are released.
+
+    From before lines above to after below, then to every line with a cleanup within most lines, and up to the try that opens last above; no more than
+    most lines in all, with the end kept rather than the beginning. lines: array<struct<line,text,highlight,kind>>, kind problem, cleanup or null.
+    Only the lines within reach are looked at, so the work for a finding doesn't grow with its unit.
+    """
+    n = F.size(lines)
+    hit = F.greatest(F.lit(0), F.least(n - 1, focus - base))  # places count from 0
+    low, high = F.greatest(F.lit(0), hit - most), F.least(n, hit + most + 1)
+
+    def shown(near: Column) -> Column:
+        marks = F.filter(F.transform(near, lambda t, k: F.when(F.rlike(t, F.lit(CLEANUP_NEAR)), low + k)), lambda k: k.isNotNull())
+        tries = F.filter(F.transform(near, lambda t, k: F.when((low + k <= hit) & F.rlike(t, F.lit(TRY)), low + k)), lambda k: k.isNotNull())
+        start = F.least(F.greatest(F.lit(0), hit - before), F.array_min(marks), F.array_max(tries))  # nulls are passed over
+        end = F.greatest(F.least(n, hit + after + 1), F.array_max(marks) + 1)
+        first = F.when(end - start > most, F.greatest(F.lit(0), F.least(hit - before, end - most))).otherwise(start)
+        return let(F.struct(first.alias("first"), F.least(end, first + most).alias("end")), lambda w: cut(near, w["first"], w["end"]))
+
+    def cut(near: Column, first: Column, end: Column) -> Column:
+        row = lambda t, k: F.struct(
+            (base + first + k).cast("int").alias("line"), t.alias("text"), ((first + k == hit) | F.rlike(t, F.lit(CLEANUP_LINE))).alias("highlight"),
+            F.when(first + k == hit, "problem").when(F.rlike(t, F.lit(CLEANUP_LINE)), "cleanup").alias("kind"),
+        )
+        number = lambda k: F.lpad((base + first + k).cast("string"), F.greatest(F.lit(6), F.length((base + first + k).cast("string"))), F.lit(" "))
+        part = F.slice(near, first - low + 1, end - first)
+        said = F.transform(part, lambda t, k: F.concat(number(k), F.when(first + k == hit, "▶").otherwise(" "), F.lit("| "), t))
+        return F.struct((base + first).cast("int").alias("first"), (base + end - 1).cast("int").alias("last"), F.transform(part, row).alias("lines"), F.array_join(said, "\n").alias("snippet"))
+
+    return let(F.slice(lines, low + 1, high - low), shown)
+
+
 def humanise(name: Column) -> Column:
     """Camel case and underscores to words, each capitalised; a leading lower-case type prefix goes."""
     bare = F.regexp_replace(name, "^[a-z]{1,3}(?=[A-Z])", "")
@@ -115,6 +159,36 @@ def _brace_block(text: str | None) -> str | None:
     return None if end is None else text[opened + 1 : end]
 
 
+def _taken(text: str | None, patterns: list[re.Pattern]) -> list[tuple[int, int, int]]:
+    """(start, end, pattern) of matches taken in the order of the patterns, without those that overlap one taken before. What is taken is disjoint, so only two neighbours count."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kinds: list[int] = []
+    for n, pattern in enumerate(patterns):
+        found = [(m.start(), m.end()) for m in pattern.finditer(text or "") if m.end() > m.start()]
+        fresh = []
+        for start, end in found:
+            k = bisect_right(starts, start)
+            if (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end):
+                fresh.append((start, end, n))
+        merged = sorted([*zip(starts, ends, kinds, strict=True), *fresh])  # matches of one pattern don't overlap each other
+        starts, ends, kinds = ([x[i] for x in merged] for i in range(3))
+    return list(zip(starts, ends, kinds, strict=True))
+
+
+SPANS = "array<struct<start:int,end:int,pattern:int>>"
+
+
+def disjoint_spans(text: Column, patterns: list[str]) -> Column:
+    """array<struct<start,end,pattern>>: matches of the patterns, the earlier pattern first; one that overlaps what is taken is dropped. Sorted by place."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        compiled = [re.compile(p) for p in patterns]
+        return texts.map(lambda t: [{"start": a, "end": b, "pattern": k} for a, b, k in _taken(t, compiled)], na_action=None)
+
+    return F.pandas_udf(run, SPANS)(text)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def split_arguments(text: pd.Series) -> pd.Series:
     return text.map(_split_arguments, na_action=None)
@@ -189,8 +263,14 @@ LOOP_START, LOOP_END = r"(?i)\b(?:Do\s+While|Do\s+Until|Forall|(?<![\w.])While)\
 
 def loop_around(body: Column, at: Column, starts: str = LOOP_START, ends: str = LOOP_END) -> Column:
     """struct<start,end> of the loop that a 0-based place is in: from the last start at or before it to the first end at or after it, or the body's end; null outside of loops."""
-    first = F.array_max(F.filter(matches(body, starts), lambda m: m["start"] <= at)["start"])
-    last = F.coalesce(F.array_min(F.filter(matches(body, ends), lambda m: m["start"] >= at)["end"]), F.length(body))
+    place, size = at.cast("string"), F.length(body)
+    bare = lambda p: p.removeprefix("(?i)")
+    # The longest way up to the place after which a loop starts, and the shortest from the place on after which one ends: one match each.
+    before = F.concat(F.lit("(?is)^(.{0,"), place, F.lit(f"}})(?:{bare(starts)})"))
+    after = F.concat(F.lit("(?is)^(.{"), place, F.lit(f"}}.*?(?:{bare(ends)}))"))
+    inside = (at >= 0) & (at <= size)
+    first = F.when(inside & F.rlike(body, before), F.length(F.call_function("regexp_extract", body, before, F.lit(1))))
+    last = F.when(inside & F.rlike(body, after), F.length(F.call_function("regexp_extract", body, after, F.lit(1)))).otherwise(size)
     return F.when(first < last, F.struct(first.alias("start"), last.alias("end")))
 
 

@@ -132,8 +132,7 @@ PIECE = 3
 
 def _pieces(c: Column, n: int) -> Column:
     """The distinct pieces of n characters, none of a shorter text."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(c, k, F.lit(n)))
-    return F.when(F.length(c) >= n, F.array_distinct(cut)).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))  # a look ahead from each place: one walk
 
 
 def containing(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str) -> DataFrame:

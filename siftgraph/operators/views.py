@@ -237,3 +237,9 @@ def lookups(blocks: DataFrame) -> DataFrame:
     database = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("body", F.lit(r"""(?i)NotesDatabase\s*\(\s*["'][^"']*["']\s*,\s*["']([^"']+)["']"""), F.lit(1))), -1)
     scripts = blocks.filter(F.col("body").rlike(r"(?i)GetView\s*\(")).select(*keep, F.lit("GetView").alias("function"), database.alias("target_database"), F.explode(F.regexp_extract_all("body", F.lit(r"""(?i)GetView\s*\(\s*["']([^"']+)["']"""), F.lit(1))).alias("target_view"), F.lit(None).cast("string").alias("lookup_key"), F.lit(None).cast("string").alias("return_field"))
     return formulas.unionByName(scripts).distinct()
+
+
+def snippets(findings: DataFrame, units: DataFrame, keys: list[str], line: str = "line", before: int = 15, after: int = 45, most: int = 100) -> DataFrame:
+    """Findings with window: the lines of their unit around them, grown to show cleanups and the opening try. keys name a unit in both. A unit is cut into lines once, however many findings it has."""
+    cut = units.select(*keys, text.lines_of(F.col("body")).alias("lines_"), F.coalesce("start_line", F.lit(1)).alias("base_"))
+    return findings.join(cut, keys).withColumn("window", text.grown_window(F.col("lines_"), F.col(line), F.col("base_"), before, after, most)).drop("lines_", "base_")
