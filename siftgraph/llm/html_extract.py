@@ -6,7 +6,9 @@ and a mismatch of tags skips to the nearest place where both streams agree again
 host's wrapper, a union-free regular expression; a wrapper is itself such a stream, so wrappers merge by the same alignment, each task folds
 its own pages, and only wrappers travel: partial wrappers of a host meet in groups of bounded size, twice.
 
-The wrapper is labelled once for the host. A slot is the template's if at least nine of ten pages have the same texts in it, else content.
+The wrapper is labelled once for the host. A slot is the template's if at least nine of ten pages have the same texts in it, else content. A slot that
+stands for several blocks of a page counts in how many pages each text occurs, so that a template's text among an article's is told from it.
+Blocks of a page fold only if their names are equal; blocks of two pages also align if their names are near and say the same.
 The main region is the article or main element if the markup has one that holds content, else the block with most varying text outside links.
 In it, everything is main text but regions whose elements say otherwise (nav, aside, form and the like), regions that never differ while the
 rest does, and, as markup gives no other sign between two regions that both vary, those that class, id, role or heading call comments,
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from siftgraph.llm.common import materialise, with_made
 
-#: Wrappers up to which they are sent to every machine (a few KB each); beyond it pages meet theirs in a shuffled join, a host dealt over SALTS.
+#: Wrappers up to which they are sent to every machine, if their bytes allow it too; beyond it pages meet theirs in a shuffled join, a host dealt over SALTS.
 MOST_WRAPPERS, SALTS = 5_000, 16
 #: Hosts whose wrappers a task holds before it sends them on, and ways that a host's partial wrappers are first dealt.
 HELD_HOSTS, WAYS = 2_000, 64
@@ -46,7 +48,9 @@ MOST_TOKENS, LOOK = 20_000, 128
 #: Longest tandem repeat that becomes a group.
 PERIOD = 6
 #: Pages, and share of the host's pages, that a template's text needs; share of the region's text that must vary for it to count.
-LEAST_PAGES, LEAST_SHARE, LEAST_VARYING = 3, 0.25, 0.1
+LEAST_PAGES, LEAST_SHARE, LEAST_VARYING = 3, 0.25, 0.34
+#: Texts of a slot that are counted; beyond, the rarest go by the Misra-Gries rule. Bytes of wrappers up to which they are sent.
+MOST_TEXTS, MOST_BYTES = 256, 64 << 20
 
 # Kinds of elements, and words in class, id or role that tell what a region is.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,16 +63,20 @@ DROPPED_TAGS = set("head nav footer aside form button dialog menu fieldset".spli
 LEAF_TAGS = set("p li h1 h2 h3 h4 h5 h6 td th tr dt dd blockquote pre #".split())
 #: Names of regions that are never an article's, whatever they hold.
 STRONG = set(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar complementary footer masthead topbar contentinfo banner cookie cookies consent gdpr notice notices"
+    "nav navbar navigation menubar breadcrumb breadcrumbs sidebar complementary footer masthead topbar contentinfo banner cookie cookies consent gdpr notice notices"
     " ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored comment comments commentlist disqus share sharing social newsletter subscribe subscription pagination pager".split()
 )
+#: Names of regions of links that other things have too; within the main region they decide only where most of the text is links.
+LINKS = {"menu"}
 #: Names of regions that may be an article's: they decide only outside the main region, or where the region's text never differs or is links.
 WEAK = set("aside header alert alertdialog warning disclaimer promo promotion reply replies respond responses discussion related recommended signup login search popup modal overlay toolbar widget widgets copyright legal skip".split())
 #: Parts of names that say only where or how.
 FILLER = set("box block area section sections wrap wrapper container list item items bar inner outer top bottom left right buttons button links slot panel row col column unit region holder group content".split())
 MAIN_WORDS = set("article content main post entry story body text maincontent articlebody postbody".split())
-#: Headings of regions that aren't the article's.
-AWAY = re.compile(r"(\d+\s+)?(reader |user |leave a |post a |add a )?(comments?|repl(y|ies))( \(?\d+\)?)?:?|related( articles| posts| stories)|share( this)?|advertisements?|sponsored|newsletter|subscribe.{0,30}|most (read|popular)|menu|navigation", re.I)
+#: Headings of regions that aren't the article's; of those that name comments only where the region holds more than paragraphs.
+AWAY_COMMENTS = re.compile(r"(\d+\s+)?(reader |user |leave a |post a |add a )?(comments?|repl(y|ies))( \(?\d+\)?)?:?", re.I)
+PLAIN = set("p blockquote h1 h2 h3 h4 h5 h6 pre".split())
+AWAY = re.compile(r"related( articles| posts| stories)|share( this)?|advertisements?|sponsored|newsletter|subscribe.{0,30}|most (read|popular)|menu|navigation", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(?=/?[A-Za-z])[^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -81,9 +89,10 @@ class Token:
     """The start of a block ("<"), a text or slot ("#"), the start of a group ("(") or the end of either (">").
 
     value holds a slot's texts in most pages (a digest where it has several in a page) and votes how far these lead; at holds, in a page, where its texts are.
+    seen counts the pages that hold each text of a slot, turns all texts of it, and known holds those that are the template's, once it is labelled.
     """
 
-    __slots__ = ("kind", "sym", "tag", "hint", "shape", "repeated", "optional", "n", "chars", "links", "value", "votes", "label", "at")
+    __slots__ = ("kind", "sym", "tag", "hint", "shape", "repeated", "optional", "n", "chars", "links", "value", "votes", "label", "at", "seen", "turns", "known")
 
     def __init__(self, kind: str, sym: str = "", hint: str = "", shape: frozenset = frozenset(), n: int = 1, chars: int = 0, links: int = 0, value: str = "", votes: int = 1) -> None:
         self.kind, self.sym, self.hint, self.shape = kind, sym, hint, shape
@@ -91,9 +100,12 @@ class Token:
         self.repeated = self.optional = False
         self.n, self.chars, self.links, self.value, self.votes = n, chars, links, value, votes
         self.label, self.at = "", []
+        self.seen: dict[int, int] = {}
+        self.turns = 0
+        self.known: frozenset[int] = frozenset()
 
     def pack(self) -> list:
-        return [self.kind, self.sym, self.hint, sorted(self.shape), int(self.repeated), int(self.optional), self.n, self.chars, self.links, self.value, self.votes, self.label]
+        return [self.kind, self.sym, self.hint, sorted(self.shape), int(self.repeated), int(self.optional), self.n, self.chars, self.links, self.value, self.votes, self.label, [*self.seen], [*self.seen.values()], self.turns, [*self.known]]
 
     @staticmethod
     def unpack(x: list) -> Token:
@@ -101,6 +113,7 @@ class Token:
             return END
         t = Token(x[0], x[1], x[2], frozenset(x[3]), *x[6:11])
         t.repeated, t.optional, t.label = bool(x[4]), bool(x[5]), x[11]
+        t.seen, t.turns, t.known = dict(zip(x[12], x[13], strict=True)), x[14], frozenset(x[15])
         return t
 
 
@@ -148,9 +161,9 @@ def described(tag: str, attributes: str) -> tuple[str, str]:
                 heads.update(parts[-1:], (name.lower(),))  # the noun that the other parts describe
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return f"{tag}.hidden", "hidden"
-    hint = "strong" if heads & STRONG else "weak" if heads & WEAK else "main" if main else ""
+    hint = "strong" if heads & STRONG else "links" if heads & LINKS else "weak" if heads & WEAK else "main" if main else ""
     if tag in SEMANTIC:  # what it is counts, whatever names it has
-        return f"{tag}.{hint}" if hint == "strong" else tag, hint
+        return f"{tag}.{hint}" if hint in ("strong", "links") else tag, hint
     return ".".join([tag, *sorted(set(names))]), hint
 
 
@@ -252,13 +265,15 @@ def stream(source: str | None) -> tuple[list[Token], list[str]]:
             t = Token("#", "#", "", chars=len(e[1]), links=e[2], value=e[1] if len(e[1]) <= 80 else "\2" + _digest(e[1]))
             t.at.append(len(texts))
             texts.append(e[1])
-            if starts and out[starts[-1]].tag in HEADINGS and len(e[1]) < 60 and AWAY.fullmatch(e[1]):
-                out[starts[-1]].hint = "away"
+            if len(starts) > 1 and out[starts[-1]].tag in HEADINGS and len(e[1]) < 60 and starts[-1] == starts[-2] + 1 and out[starts[-2]].tag in ("section", "div") and out[starts[-2]].hint != "strong":
+                out[starts[-2]].hint = "away" if AWAY.fullmatch(e[1]) else "comments" if AWAY_COMMENTS.fullmatch(e[1]) else out[starts[-2]].hint
             levels[-1].append(len(out))
             out.append(t)
         else:
             start = starts.pop()
             out[start].shape = frozenset(out[k].sym for k in levels.pop() if out[k].kind == "<")
+            if out[start].hint == "comments":
+                out[start].hint = "" if all(x.split(".", 1)[0] in PLAIN for x in out[start].shape) else "away"
             out.append(END)
             levels[-1].append(start)
         _fold(out, levels[-1])
@@ -269,6 +284,10 @@ def _digest(text: str) -> str:
     return "\0" + xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def _number(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 # Alignment ------------------------------------------------------------------------------------
 
 
@@ -281,11 +300,27 @@ def _near_names(a: str, b: str) -> bool:
 
 def alike(a: Token, b: Token) -> bool:
     """Whether what the tokens start may be the same part of a template."""
-    if a.kind != b.kind or a.tag != b.tag or a.sym != b.sym and (a.kind == "(" or not _near_names(a.sym, b.sym)):
+    if a.kind != b.kind or a.tag != b.tag or a.hint != b.hint or a.sym != b.sym and (a.kind == "(" or not _near_names(a.sym, b.sym)):
         return False
     return a.kind != "<" or a.tag in LEAF_TAGS or not a.shape or not b.shape or 2 * len(a.shape & b.shape) >= min(len(a.shape), len(b.shape))
 
 
+def _same(a: Token, b: Token) -> bool:
+    """Whether two blocks of a page are turns of one: unlike names never are, however near."""
+    return a.sym == b.sym and alike(a, b)
+
+
+def _counted(a: dict[int, int], b: dict[int, int]) -> dict[int, int]:
+    """The counts of both; of more than MOST_TEXTS texts the most frequent stay, less what the next one has."""
+    out = dict(a)
+    for text, n in b.items():
+        out[text] = out.get(text, 0) + n
+    if len(out) > MOST_TEXTS:
+        less = sorted(out.values(), reverse=True)[MOST_TEXTS]
+        out = {text: n - less for text, n in out.items() if n > less}
+    return out
+
+
 def _again(a: Token, b: Token) -> None:
     """Slot a also stands for b, which comes after it in the same page."""
     a.value, a.votes, a.chars, a.links = _digest(a.value + "\1" + b.value), 1, a.chars + b.chars, a.links + b.links
@@ -307,6 +342,7 @@ def _blend(a: Token, b: Token, same_page: bool) -> Token:
         else:  # the leading value, by as much as it leads
             lead = max(a, b, key=lambda t: (t.votes, t.value))
             out.value, out.votes = lead.value, abs(a.votes - b.votes)
+        out.seen, out.turns = _counted(a.seen, b.seen), a.turns + b.turns
     return out
 
 
@@ -406,7 +442,7 @@ def _fold(out: list[Token], blocks: list[int]) -> None:
     if len(blocks) < 2:
         return
     last, new = blocks[-2:]
-    if alike(out[last], out[new]):
+    if _same(out[last], out[new]):
         if new - last == 3 == len(out) - new and out[last + 1].kind == out[new + 1].kind == "#" or out[new].kind == "#":  # as most are: one text each
             _again(*(out[last], out[new]) if out[new].kind == "#" else (out[last + 1], out[new + 1]))
             out[last].repeated = True
@@ -423,7 +459,7 @@ def _fold(out: list[Token], blocks: list[int]) -> None:
         to = ends(out[last:new])
         while last + to[part - last] + 2 < new:
             part = last + to[part - last] + 1
-        if alike(out[part], out[new]):
+        if _same(out[part], out[new]):
             made = aligned(out[part : new - 1], out[new:], True)
             made[0].repeated = True
             out[part:] = [*made, END]
@@ -441,7 +477,7 @@ def _fold(out: list[Token], blocks: list[int]) -> None:
             return
     for p in range(2, min(PERIOD, len(blocks) // 2) + 1):
         one, two = blocks[-2 * p], blocks[-p]
-        if all(out[x].kind != "(" and alike(out[x], out[y]) for x, y in zip(blocks[-2 * p : -p], blocks[-p:], strict=True)):
+        if all(out[x].kind != "(" and _same(out[x], out[y]) for x, y in zip(blocks[-2 * p : -p], blocks[-p:], strict=True)):
             head = Token("(", " ".join(out[k].sym for k in blocks[-2 * p : -p]))
             head.repeated = True
             out[one:] = [head, *aligned(out[one:two], out[two:], True), END]
@@ -469,9 +505,10 @@ def add(known: list[Token] | None, new: list[Token]) -> list[Token]:
 
 def wrapper(source: str | None) -> list[Token]:
     """A page's own wrapper, under one block that counts pages."""
-    own = stream(source)[0]
+    own, texts = stream(source)
     for t in own:
         if t.at:
+            t.seen, t.turns = dict.fromkeys((_number(texts[k]) for k in t.at), 1), len(t.at)
             t.at = []
     return [Token("<", "page"), *own, END]
 
@@ -507,11 +544,12 @@ def by_element(t: Token, in_main: bool) -> bool:
 
 def by_name(t: Token, in_main: bool) -> bool:
     """Whether its names say so; they break the tie between regions that vary alike."""
-    return t.tag not in ("main", "page") and (t.hint == "strong" or t.hint == "weak" and not in_main and t.tag != "article")
+    return t.tag not in ("main", "page") and (t.hint in ("strong", "away") or t.hint in ("weak", "links") and not in_main and t.tag != "article")
 
 
-def _headed_away(tokens: list[Token], k: int) -> bool:
-    return tokens[k].tag in ("section", "div") and k + 1 < len(tokens) and tokens[k + 1].hint == "away"
+def of_links(tokens: list[Token], first: int, last: int) -> bool:
+    """Whether a block is named as a menu and most of its text is links."""
+    return tokens[first].hint == "links" and 2 * sum(t.links for t in tokens[first : last + 1]) > sum(t.chars for t in tokens[first : last + 1])
 
 
 def label(tokens: list[Token]) -> list[Token]:
@@ -542,7 +580,7 @@ def label(tokens: list[Token]) -> list[Token]:
             in_article -= tokens[path.pop()].tag == "article"
             k += 1
             continue
-        if t.kind == "<" and (by_element(t, in_article > 0) or (by_name(t, in_article > 0) or _headed_away(tokens, k)) and holds[to[k]] == holds[k + 1]):
+        if t.kind == "<" and (by_element(t, in_article > 0) or by_name(t, in_article > 0) and holds[to[k]] == holds[k + 1]):
             k = to[k] + 1
             continue
         holder = next((p for p in reversed(path) if tokens[p].kind == "<"), 0)
@@ -566,8 +604,10 @@ def label(tokens: list[Token]) -> list[Token]:
         close = [k for k, v in own.items() if v >= 0.8 * best]
         chosen = [next((k for k in close if k in named), next(k for k in close if own[k] == best))]
         chosen = [max((k for k in named if k < chosen[0] <= to[k]), default=chosen[0])]  # the innermost block around it whose name says content and the like
+    titled = bool(chosen) and (chosen[0] in named or chosen[0] in mains)
     for first in chosen:
         varies = varying(first) >= LEAST_VARYING * max(1, chars(first))
+        _know(tokens[first : to[first] + 1], least)
         k = first
         while k <= to[first]:
             t = tokens[k]
@@ -582,7 +622,7 @@ def label(tokens: list[Token]) -> list[Token]:
                 continue
             if k != first and t.kind == "<":
                 linked = t.tag not in ("p", *HEADINGS) and links(k) > 0.6 * chars(k)
-                if never or by_element(t, True) or by_name(t, True) or _headed_away(tokens, k) or linked and (t.hint == "weak" or not marked_up):
+                if never or by_element(t, True) or by_name(t, True) or of_links(tokens, k, to[k]) or linked and (t.hint == "weak" or not marked_up and not titled):
                     k = to[k] + 1
                     continue
             t.label = "" if never else "m"
@@ -590,6 +630,21 @@ def label(tokens: list[Token]) -> list[Token]:
     return tokens
 
 
+def _know(region: list[Token], least: float) -> None:
+    """Sets known on the region's slots: texts that four of five pages have beside others, as an advert among paragraphs has. Not where most texts are such: then pages are copies."""
+    found, path = [], []
+    for t in region:
+        if t.kind == ">":
+            path.pop()
+        elif t.kind != "#":
+            path.append(t.tag)
+        elif t.n >= least and not (path and path[-1] in (*HEADINGS, "th", "dt")):
+            found.append((t, {text: n for text, n in t.seen.items() if n >= 0.8 * t.n}))
+    if 2 * sum(sum(x.values()) for _, x in found) <= sum(t.turns for t in region if t.kind == "#"):
+        for t, x in found:
+            t.known = frozenset(x)
+
+
 def main_text(page: list[Token], texts: list[str], known: list[Token]) -> str:
     """The page's texts that meet main slots of a labelled wrapper, in page order."""
     to, places = ends(page), {id(t): k for k, t in enumerate(page)}
@@ -598,13 +653,13 @@ def main_text(page: list[Token], texts: list[str], known: list[Token]) -> str:
     def met(like: Token | None, own: Token, around: Token | None) -> None:
         if like is not None:
             if own.kind == "#" and like.label:
-                kept.extend(own.at)
+                kept.extend(k for k in own.at if _number(texts[k]) not in like.known) if like.known else kept.extend(own.at)
         elif around is not None and around.label:
             k = places[id(own)]
             end = to[k]
             while k <= end:
                 t = page[k]
-                if t.kind == "<" and (by_element(t, True) or by_name(t, True) or _headed_away(page, k)):
+                if t.kind == "<" and (by_element(t, True) or by_name(t, True) or of_links(page, k, to[k])):
                     k = to[k] + 1
                     continue
                 if t.kind == "#":
@@ -656,7 +711,11 @@ def _joined(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
         known = None
         for x in sorted(pdf["wrapper"]):  # in an order of its own, so that a second run gives the same wrapper
             known = add(known, unpack(x))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [pack(label(known) if last else known)]})
+        if last:
+            for t in label(known):  # pages need no counts
+                if t.kind == "#":
+                    t.seen = {}
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [pack(known)]})
 
     return run
 
@@ -672,7 +731,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per page: id, url, text, n_chars."""
     rows = pages.select(F.col(id_col).alias("id_"), F.col(url_col).alias("url_"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     known = materialise(wrappers(rows.select("host", "html")))
-    if known.limit(most + 1).count() <= most:
+    size = known.limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= most and size["bytes"] <= MOST_BYTES:
         sent = {r["host"]: r["wrapper"] for r in known.toLocalIterator()}
         shared = pages.sparkSession.sparkContext.broadcast(sent)
         wrapper_of = lambda v: shared.value.get(v["host"])

@@ -171,3 +171,59 @@ def test_odd_rows(spark):
     got = {(r["page_id"], r["url"]): (r["text"], r["n_chars"]) for r in h.main_texts(pages).collect()}
     assert got[1, None] == got[2, "http://a.b/"] == ("", 0) and got[None, "no scheme"][0] == " ".join([ALL] * 500) and got[3, "http://a.b/"][0] == "\x00 1 < 2".replace("\x00 ", "\x00 ")
     assert h.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# Blocks whose names are near, and blocks of one name of which one is the template's.
+
+REAL = ["<p class='para'>" + " ".join(f"w{n}x{k}" for k in range(30)) + "</p>" for n in range(40)]
+
+
+def texts_of(pages):
+    """Texts by the wrapper that all pages make."""
+    known = None
+    for p in pages:
+        known = h.add(known, h.wrapper(p))
+    known = h.unpack(h.pack(h.label(known)))
+    return [h.extract(p, known) for p in pages]
+
+
+@pytest.mark.parametrize("n", [1, 10])
+@pytest.mark.parametrize("advert_at", [0, 1, 2])
+def test_adverts_named_like_their_neighbours(n, advert_at):
+    blocks = [["<div class='para ad'>Buy now</div>", f"<div class='para'>Real text one {k}</div>", f"<div class='para'>Real text two {k}</div>"] for k in range(n)]
+    for b in blocks:
+        b.insert(advert_at, b.pop(0))
+    pages = [f"<article><h1>T{k}</h1>{''.join(b)}</article>" for k, b in enumerate(blocks)]
+    want = [f"T{k} Real text one {k} Real text two {k}" for k in range(n)]
+    assert [one(p) for p in pages] == want and texts_of(pages) == want
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='content'>{}</div>", "<body><div>{}</div></body>"])
+def test_a_template_paragraph_among_paragraphs_of_its_name(around):
+    rate = "<p class='para'>Rate us with five stars if you liked this page and come again</p>"
+    pages = [around.format(REAL[k] + (rate if k % 2 else "") + "".join(REAL[10 + 3 * k : 10 + 3 * k + k % 3 + 1]) + ("" if k % 2 else rate)) for k in range(10)]
+    want = [" ".join(x.split(">", 1)[1][:-4] for x in [REAL[k], *REAL[10 + 3 * k : 10 + 3 * k + k % 3 + 1]]) for k in range(10)]
+    assert texts_of(pages) == want
+
+
+def test_copies_on_a_host_keep_their_text():
+    shared = "".join(REAL[:8])
+    pages = [f"<article>{shared}{REAL[10 + k]}</article>" for k in range(6)]
+    assert texts_of(pages) == [" ".join(x.split(">", 1)[1][:-4] for x in [*REAL[:8], REAL[10 + k]]) for k in range(6)]
+
+
+def test_article_parts_that_look_like_others():
+    links = "<ul>" + "".join(f"<li><a href='{k}'>Reference number {k} in full</a></li>" for k in range(5)) + "</ul>"
+    said = " ".join(f"Reference number {k} in full" for k in range(5))
+    assert one(f"<div class='content'>{PARAGRAPHS}{links}</div>") == f"{ALL} {said}"
+    court = "<section><h2>Comments</h2><p>The court found that the first claim was well made.</p></section>"
+    assert one(f"<article>{PARAGRAPHS}{court}</article>") == f"{ALL} Comments The court found that the first claim was well made."
+    assert one(f"<article>{PARAGRAPHS}<ul class='menu-list'><li>Soup of the day</li><li>Fish with rice</li></ul></article>") == f"{ALL} Soup of the day Fish with rice"
+    assert one(f"<article>{PARAGRAPHS}<ul class='menu-list'><li><a href='a'>Home</a></li><li><a href='b'>News</a></li></ul></article>") == ALL
+
+
+def test_counts_of_texts_are_bounded_and_keep_the_frequent():
+    counts = {}
+    for k in range(5000):
+        counts = h._counted(counts, {k: 1, -1: 1, -2 - k % 3: 1})
+    assert len(counts) <= h.MOST_TEXTS and counts[-1] > 4900 and all(counts[-2 - j] > 1500 for j in range(3))
