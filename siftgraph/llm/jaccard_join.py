@@ -6,10 +6,10 @@ choose alike, so a path of two chosen shingles is a bucket. A bucket of more tha
 next sampled shingle, twice at most; a small one is brute-forced. What is still large
 (mostly near copies of one text) is dealt into chunks that are compared whole; sets that stay outside the largest class of their bucket are
 then compared with the whole bucket, in blocks. Of such a bucket only links that join something are kept: a spanning forest, not its pairs.
-Links are verified on the whole sets, so each is exact; RUNS is what the target recall asks for.
+Links are verified on the whole sets of 64-bit shingle hashes; RUNS is what the target recall asks for.
 
-Links make classes (connected components). A document's n_links counts documents with the same set, and those of sets linked to its own.
-A link never leaves its class, so a class with a large bucket is counted by comparing all of its sets, in pairs of chunks that give sums instead of pairs.
+Links make classes (connected components). A document's n_links counts documents with the same set, and those of sets linked to its own: all of its class, whatever its size,
+for a link never leaves its class and each class is compared whole, in pairs of chunks that give sums instead of pairs.
 
 Defined results: null, empty and wordless texts have the empty set, and are linked with nothing (each its own class, named by its own id, n_links 0);
 a text of fewer words than a shingle is one shingle; repeated rows are copies of each other; null ids are kept and never name a
@@ -98,7 +98,7 @@ def _wanted_tokens(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataF
     """(set, tokens) of the sets in wanted; sets (set, row) names a row of each, docs (text_key, key, text) has the texts: copies of a row's text don't come along."""
     named = materialise(wanted.distinct().join(sets.select("set", "row.text_key", "row.key"), "set"))
     texts = docs.join(small_or_shuffled(named), ["text_key", "key"]).select("set", "text")
-    return materialise(with_made(texts, "text", "tokens binary", lambda: lambda values: [[shingles(t).astype(np.uint32).tobytes() for t in values]]).select("set", "tokens").dropDuplicates(["set"]))
+    return materialise(with_made(texts, "text", "tokens binary", lambda: lambda values: [[shingles(t).tobytes() for t in values]]).select("set", "tokens").dropDuplicates(["set"]))
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for left, right in zip(batch["left"], batch["right"], strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint32), np.frombuffer(right.as_buffer(), np.uint32)
-                shared = len(np.intersect1d(np.unique(x), np.unique(y), assume_unique=True))
+                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(shared >= THRESHOLD * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -119,7 +119,7 @@ def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def _linked(tokens: pd.Series) -> np.ndarray:
     """Which sets are linked, as a matrix."""
-    tokens = [np.unique(np.frombuffer(t, np.uint32)) for t in tokens]
+    tokens = [np.frombuffer(t, np.uint64) for t in tokens]
     n, sizes = len(tokens), np.array([len(t) for t in tokens])
     flat, owner = np.concatenate(tokens), np.repeat(np.arange(n), sizes)
     known, place, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -137,11 +137,14 @@ def _linked(tokens: pd.Series) -> np.ndarray:
 
 
 def _degrees(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(set, n_near): documents of the sets linked to each, between the two chunks of a task or within its only one; pdf: set, n_copies, tokens, own, x, y."""
-    linked, own = _linked(pdf["tokens"]), pdf["own"].to_numpy()
-    linked &= (own[:, None] != own[None, :]) | (pdf["x"].iloc[0] == pdf["y"].iloc[0])
-    np.fill_diagonal(linked, False)
-    return pd.DataFrame({"set": pdf["set"], "n_near": linked @ pdf["n_copies"].to_numpy(np.int64)})
+    """(set, n_near): documents of the sets linked to each; pdf: root, set, n_copies, tokens, own, x, y of whole classes, or of two chunks of one, between which links count."""
+    parts = []
+    for _, part in pdf.groupby("root"):
+        linked, own = _linked(part["tokens"]), part["own"].to_numpy()
+        linked &= (own[:, None] != own[None, :]) | (part["x"].iloc[0] == part["y"].iloc[0])
+        np.fill_diagonal(linked, False)
+        parts.append(pd.DataFrame({"set": part["set"], "n_near": linked @ part["n_copies"].to_numpy(np.int64)}))
+    return pd.concat(parts)
 
 
 def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -187,25 +190,21 @@ def _links_of_large(large: DataFrame, tokens: DataFrame, good: DataFrame) -> Dat
     return first.union(materialise(second.distinct()))
 
 
-def _near(good: DataFrame, roots: DataFrame, copies: DataFrame, tokens: DataFrame, large: DataFrame) -> DataFrame:
-    """(set, n_near): documents of the sets linked to each set that has any."""
-    ends = good.union(good.select("b", "a"))
-    near = ends.join(copies.select(F.col("set").alias("b"), "n_copies"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("n_copies").alias("n_near"))
-    if large.isEmpty():
-        return near
-    rooted = roots.withColumnRenamed("node", "set")
-    hot = materialise(rooted.join(large.select("set").distinct(), "set").select("root").distinct())
-    members = materialise(rooted.join(small_or_shuffled(hot), "root"))
+def _near(roots: DataFrame, copies: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(set, n_near): documents of the sets linked to each set of a class. Every class is compared whole: one of WHOLE sets or fewer in a task with others, a larger one in pairs of chunks."""
+    members = materialise(roots.withColumnRenamed("node", "set"))
     chunks = materialise(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("chunks")))
+    tasks = max(1, -(-members.count() // WHOLE))
     own = members.join(small_or_shuffled(chunks), "root").withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks")))
+    own = own.withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root")))
     dealt = own.join(copies.select("set", "n_copies"), "set").join(tokens, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set", "n_copies", "tokens")
-    counted = dealt.groupBy("root", "x", "y").applyInPandas(_degrees, "set binary, n_near long").groupBy("set").agg(F.sum("n_near").alias("n_near"))
-    return materialise(near.join(members.select("set"), "set", "left_anti").union(counted))
+    dealt = dealt.select("task", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set", "n_copies", "tokens")
+    counted = dealt.groupBy("task", "x", "y").applyInPandas(_degrees, "set binary, n_near long")
+    return materialise(counted.groupBy("set").agg(F.sum("n_near").alias("n_near")))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(documents with id_, set and text_key; links (a, b) between different sets, of large buckets a forest; (set, tokens) of the sets compared; the large buckets)."""
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with id_, set and text_key; links (a, b) between different sets, of large buckets a forest; (set, tokens) of the sets compared)."""
     runs = runs_for()
     texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text", F.length("text"))).withColumn("key", F.coalesce("id_", F.lit(-1)))
     made = with_made(texts, "text", "set binary, size long, p1 array<long>, p2 array<long>, p3 array<long>", _sketch(runs)).drop("text")
@@ -227,15 +226,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     good = _verify(pairs, tokens)
     if not large.isEmpty():
         good = materialise(good.union(_links_of_large(large, tokens, good)).distinct())
-    return rows.select("id_", "set"), good, tokens, large
+    return rows.select("id_", "set"), good, tokens
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
     """One row per document: id, class_id (the least id of its class), n_links, n_copies. Where links needn't be counted, n_links has only copies."""
-    members, good, tokens, large = links(docs, id_col, text_col)
+    members, good, tokens = links(docs, id_col, text_col)
     roots = components(good)
     copies = members.groupBy("set").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id_").alias("least_id"))
-    degree = _near(good, roots, copies, tokens, large) if counted else members.select("set", F.lit(None).cast("long").alias("n_near")).limit(0)
+    degree = _near(roots, copies, tokens) if counted else members.select("set", F.lit(None).cast("long").alias("n_near")).limit(0)
     known = materialise(copies.filter("set is not null").join(roots.withColumnRenamed("node", "set"), "set", "left").join(degree, "set", "left").withColumn("root", F.coalesce("root", "set")))
     classes = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
     per_set = materialise(known.join(classes, "root").select("set", "class_id", (F.col("n_copies") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_links"), "n_copies"))

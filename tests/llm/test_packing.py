@@ -2,6 +2,7 @@ import collections
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftgraph.llm.common import tokenizer_path
@@ -35,8 +36,10 @@ def check_packed(rows, texts, size):
 
 
 def test_small(spark, documents):
-    rows = pack(documents, tokenizer_path(), size=64, open_windows=2, group=3).collect()
-    check_packed(rows, [(r["doc_id"], r["text"]) for r in documents.collect()], 64)
+    beside_nulls = spark.createDataFrame([(2**53 + 1, "an id beyond doubles"), (None, "x"), (2**60 + 3, "another")], "doc_id long, text string").coalesce(1)
+    docs = documents.select("doc_id", "text").union(beside_nulls).withColumn("window", F.lit("x"))
+    rows = pack(docs, tokenizer_path(), size=64, open_windows=2, group=3).collect()
+    check_packed(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 64)
 
 
 def test_documents(spark):
