@@ -9,7 +9,7 @@ then compared with the whole bucket, in blocks. Of such a bucket only links that
 Links are verified on the whole sets of 64-bit shingle hashes; RUNS is what the target recall asks for.
 
 Links make classes (connected components). A document's n_links counts documents with the same set, and those of sets linked to its own: all of its class, whatever its size,
-for a link never leaves its class and each class is compared whole, in pairs of chunks that give sums instead of pairs.
+for a link never leaves its class, and each class that isn't known to link all pairs is compared whole, in pairs of chunks that give sums instead of pairs.
 
 Defined results: null, empty and wordless texts have the empty set, and are linked with nothing (each its own class, named by its own id, n_links 0);
 a text of fewer words than a shingle is one shingle; repeated rows are copies of each other; null ids are kept and never name a
@@ -190,17 +190,28 @@ def _links_of_large(large: DataFrame, tokens: DataFrame, good: DataFrame) -> Dat
     return first.union(materialise(second.distinct()))
 
 
-def _near(roots: DataFrame, copies: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(set, n_near): documents of the sets linked to each set of a class. Every class is compared whole: one of WHOLE sets or fewer in a task with others, a larger one in pairs of chunks."""
+def _near(good: DataFrame, roots: DataFrame, copies: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(set, n_near): documents of the sets linked to each set of a class.
+
+    A class whose links are all pairs of its sets has no more. Any other is compared whole: one of WHOLE sets or fewer in a task with others, a larger one in pairs of chunks.
+    """
     members = materialise(roots.withColumnRenamed("node", "set"))
-    chunks = materialise(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / WHOLE).alias("chunks")))
-    tasks = max(1, -(-members.count() // WHOLE))
-    own = members.join(small_or_shuffled(chunks), "root").withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks")))
-    own = own.withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root")))
+    held = good.join(members.select(F.col("set").alias("a"), "root"), "a").groupBy("root").agg(F.count(F.lit(1)).alias("n_pairs"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n_sets")).join(held, "root")
+    open_ = materialise(sizes.filter(2 * F.col("n_pairs") < F.col("n_sets") * (F.col("n_sets") - 1)).select("root", F.ceil(F.col("n_sets") / WHOLE).alias("chunks")))
+    found = materialise(members.join(small_or_shuffled(open_), "root", "left"))
+
+    ends = good.union(good.select("b", "a"))
+    closed = ends.join(found.filter("chunks is null").select(F.col("set").alias("a")), "a").join(copies.select(F.col("set").alias("b"), "n_copies"), "b")
+    near = closed.groupBy(F.col("a").alias("set")).agg(F.sum("n_copies").alias("n_near"))
+
+    some = found.filter("chunks is not null")
+    tasks = max(1, -(-some.count() // WHOLE))
+    own = some.withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks"))).withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root")))
     dealt = own.join(copies.select("set", "n_copies"), "set").join(tokens, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.select("task", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set", "n_copies", "tokens")
-    counted = dealt.groupBy("task", "x", "y").applyInPandas(_degrees, "set binary, n_near long")
-    return materialise(counted.groupBy("set").agg(F.sum("n_near").alias("n_near")))
+    counted = dealt.groupBy("task", "x", "y").applyInPandas(_degrees, "set binary, n_near long").groupBy("set").agg(F.sum("n_near").alias("n_near"))
+    return materialise(near.union(counted))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -234,7 +245,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counte
     members, good, tokens = links(docs, id_col, text_col)
     roots = components(good)
     copies = members.groupBy("set").agg(F.count(F.lit(1)).alias("n_copies"), F.min("id_").alias("least_id"))
-    degree = _near(roots, copies, tokens) if counted else members.select("set", F.lit(None).cast("long").alias("n_near")).limit(0)
+    degree = _near(good, roots, copies, tokens) if counted else members.select("set", F.lit(None).cast("long").alias("n_near")).limit(0)
     known = materialise(copies.filter("set is not null").join(roots.withColumnRenamed("node", "set"), "set", "left").join(degree, "set", "left").withColumn("root", F.coalesce("root", "set")))
     classes = known.groupBy("root").agg(F.min("least_id").alias("class_id"))
     per_set = materialise(known.join(classes, "root").select("set", "class_id", (F.col("n_copies") - 1 + F.coalesce("n_near", F.lit(0))).alias("n_links"), "n_copies"))
