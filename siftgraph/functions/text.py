@@ -258,7 +258,7 @@ def returns_handle(signature: Column, language: Column) -> Column:
 
 
 # What begins and ends a loop of the script language.
-LOOP_START, LOOP_END = r"(?i)\b(?:Do\s+While|Do\s+Until|Forall|(?<![\w.])While)\b", r"(?i)\b(?:Loop|End\s+Forall|Wend)\b"
+LOOP_START, LOOP_END = r"(?i)\b(?:Do\s+While|Do\s+Until|Forall|(?<!\bDo\s{1,16})(?<![\w.])While)\b", r"(?i)\b(?:Loop|End\s+Forall|Wend)\b"
 
 
 def loop_around(body: Column, at: Column, starts: str = LOOP_START, ends: str = LOOP_END) -> Column:
