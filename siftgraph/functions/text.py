@@ -25,6 +25,12 @@ def evidence(body: Column, offset: Column, radius: int = 120, most: int = 400) -
     return F.when(F.length(cut) > most, F.concat(F.substring(cut, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(cut)
 
 
+def within_range(body: Column, start: Column, end: Column) -> Column:
+    """The text between two 0-based places, cut to the text's own bounds."""
+    low = F.greatest(F.lit(0), start)
+    return F.substring(body, low + 1, F.greatest(F.lit(0), end - low))
+
+
 def line_window(body: Column, line: Column, before: int = 2, after: int = 2) -> Column:
     """array<struct<line,text,highlight>> of the lines around a 1-based line."""
     lines = F.split(body, "\n", -1)

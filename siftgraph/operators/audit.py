@@ -75,6 +75,27 @@ def inventory_summary(records: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def inventory_report(records: DataFrame, *by: str) -> DataFrame:
+    """The summary over the functions whose language holds handles (language, element_name beside what the summary reads), with all_functions and lotus_functions of every language, protected
+    (with all of its handles released, or judged harmless), any_cleanup and safe. Rates are rounded to one decimal; a group without such functions has zeros and rates of 100."""
+    from siftgraph.operators.views import is_client
+
+    low = F.lower(F.coalesce("language", F.lit("")))
+    lotus = low.contains("lotus") | low.isin("ls", "lss", "notes")
+    client = is_client(low, F.lit(""), F.lower(F.coalesce("element_name", F.lit("")))) | (low == "client")
+    scoped = ~lotus & ~client & (low.rlike("java|ssjs|jscript|xpage|xsp") | low.isin("js", "source", "script"))
+    fp, alloc, status = F.coalesce("is_false_positive", F.lit(False)), F.coalesce("allocates", F.lit(False)), F.col("status")
+    every = records.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("all_functions"), F.count_if(lotus).alias("lotus_functions"), F.count_if(scoped & ~alloc).alias("safe"),
+        F.count_if(scoped & alloc & ((status == "PROTECTED") | fp)).alias("protected"), F.count_if(scoped & alloc & ((status != "UNPROTECTED") | fp)).alias("any_cleanup"),
+    )
+    summary = inventory_summary(records.filter(scoped), *by)
+    rates = ("safety_rate", "coverage_rate")
+    counts = [c for c in summary.columns if c not in (*by, *rates)]
+    met = every.join(summary, list(by), "left") if by else every.crossJoin(summary)
+    return met.select(*by, "all_functions", "lotus_functions", "safe", "protected", "any_cleanup", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), *(F.round(F.coalesce(c, F.lit(100.0)), 1).alias(c) for c in rates))
+
+
 def inventory_order(false_positives_first: bool = True) -> list[Column]:
     """False positives first, as the service has it, or last, as its client has it."""
     fp = F.col("is_false_positive")

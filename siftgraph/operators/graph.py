@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftgraph.operators.windows import top_n
+from siftgraph.operators.windows import first_distinct, top_n
 from siftgraph.schemas import clamped, ratio
 
 # Weights of the complexity score and its bands.
@@ -22,6 +22,10 @@ HARDCODED = {
     "nsf": r"(?i)[A-Za-z]:\\[^\s\"']+\.nsf|\\\\[^\s\"']+\.nsf|[A-Za-z0-9_.\\/-]+\.nsf",
 }
 MOST_NSF = 15
+# Kinds that share a list of samples, samples in a list, and the parts of an application that a capability lists by name.
+SAMPLES = {"drive": "file_paths", "unc": "file_paths", "ip": "ip_addresses", "name": "domino_names", "nsf": "nsf_references"}
+MOST_SAMPLES = 20
+LISTED = {"form": "forms", "view": "views", "agent": "agents"}
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -127,6 +131,14 @@ def hardcoded_counts(texts: DataFrame, group: str, text: str = "text") -> DataFr
     return kinds.groupBy(group).agg(n.alias("n_hardcoded")).withColumn("ratio", F.col("n_hardcoded") / (F.col("n_hardcoded") + 12))
 
 
+def hardcoded_samples(texts: DataFrame, group: str, text: str = "text", most: int = MOST_SAMPLES) -> DataFrame:
+    """(group, sample, values): the first values of each list of samples in their order, drive paths before network paths; no list is longer than most."""
+    rank, names = F.create_map(*(F.lit(x) for k, kind in enumerate(HARDCODED) for x in (kind, k))), F.create_map(*(F.lit(x) for pair in SAMPLES.items() for x in pair))
+    found = hardcoded(texts, group, text).select(group, F.element_at(names, F.col("kind")).alias("sample"), F.element_at(rank, F.col("kind")).alias("rank"), "value")
+    few = first_distinct(found, [group, "sample"], ["rank", "value"], most, "rank", "value")
+    return few.groupBy(group, "sample").agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("x")).select(group, "sample", F.col("x.value").alias("values"))
+
+
 def cross_ratio(edges: DataFrame, src_db: str = "src_db", dst_db: str = "dst_db", always: tuple[str, ...] = ("REFERENCES_DATABASE", "CROSS_DATABASE_LOOKUP"), lookup: str = "LOOKUP_VIA_VIEW") -> DataFrame:
     """One row: n_edges, n_cross, cross. Two types always cross; lookups do if their ends' databases differ."""
     crosses = F.col("type").isin(*always) | (F.col("type") == lookup) & (F.col(src_db) != F.col(dst_db))
@@ -173,6 +185,24 @@ def capability_map(elements: DataFrame, blocks: DataFrame) -> DataFrame:
     return counted.join(rules, "domain", "left").select("domain", "n_elements", "n_names", F.coalesce("n_rules", F.lit(0)).alias("n_rules")).orderBy(F.desc("n_elements"), "domain")
 
 
+def capability_names(elements: DataFrame) -> DataFrame:
+    """(domain, part, name, n): the forms, views and agents of each domain by name, one row for a name, however many a domain has; order by name for a list."""
+    from siftgraph.functions.classify import domain
+
+    part = F.element_at(F.create_map(*(F.lit(x) for pair in LISTED.items() for x in pair)), F.lower("element_type"))
+    placed = elements.select(domain(F.col("name")).alias("domain"), part.alias("part"), "name")
+    return placed.filter("part is not null").groupBy("domain", "part", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lifecycle_summaries(blocks: DataFrame, forms: DataFrame) -> DataFrame:
+    """(form, stage, pos, summary): what each block (owner_name, event, category, pos, summary) of a form's stages does; by pos they are in order. A block without an event goes by its category."""
+    from siftgraph.functions.classify import STAGES
+
+    stage = F.coalesce(F.nullif(F.lower("event"), F.lit("")), F.col("category"))
+    own = blocks.withColumn("stage", stage).filter(F.col("stage").isin(*STAGES)).join(forms.select(F.col("name").alias("owner_name")).distinct(), "owner_name", "left_semi")
+    return own.select(F.col("owner_name").alias("form"), "stage", "pos", "summary")
+
+
 def lifecycles(blocks: DataFrame, forms: DataFrame) -> DataFrame:
     """(form, stages, n_stages): the stages that a form's blocks serve, in fixed order; forms without a qualifying event are left out."""
     from siftgraph.functions.classify import STAGES

@@ -16,6 +16,16 @@ def top_n(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> DataF
     return df.withColumn("nth_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth_") <= n).drop("nth_")
 
 
+def first_distinct(df: DataFrame, keys: list[str], values: list[str], n: int, *order: str) -> DataFrame:
+    """The first n distinct values of each key with their number nth from 1, each value at its first place in the given order of columns.
+
+    Values meet as one row each before they are ranked, and a task hands on no more than n of a key, so a hot key costs no task more than that.
+    """
+    first = df.groupBy(*keys, *values).agg(F.min(F.struct(*order)).alias("first_"))
+    ranked = F.row_number().over(Window.partitionBy(*keys).orderBy("first_", *values))
+    return first.withColumn("nth", ranked).filter(F.col("nth") <= n).drop("first_")
+
+
 def last_n(df: DataFrame, keys: list[str], n: int, at: str, *ties: str) -> DataFrame:
     """The newest n rows of each key; ties go to the greater tie column."""
     return top_n(df, keys, n, F.desc(at), *(F.desc(t) for t in ties))

@@ -1,16 +1,23 @@
-"""Graphs as Parquet tables partitioned by graph_id. The manifest row goes last: a graph without it doesn't exist."""
+"""Graphs as Parquet tables partitioned by graph and run.
+
+A graph's manifest is a partition of its own that goes last and names the run whose rows count. A try that fails leaves rows that no reader sees, and one that
+is made again writes the same run and the same manifest anew, so that at any point of failure a retry leaves each row once.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgraph.operators.windows import first_per_key, last_n
 
-MANIFEST = "graph_id string, nsf_path string, database_title string, parsed_at string, n_edges long, n_elements long, n_blocks long"
+MANIFEST = "graph_id string, nsf_path string, database_title string, parsed_at string, n_edges long, n_elements long, n_blocks long, run string"
 # Kept points of history and signals, and limits of the queries.
 HISTORY, SIGNALS, EDGE_LIMIT, MOST_EDGES, LIST_LIMIT, MOST_LISTED = 24, 500, 500, 5000, 50, 200
 
@@ -59,9 +66,9 @@ def create_tables(spark: SparkSession, path: str, database: str = "default") ->
 
     declared = {"graphs": MANIFEST, "edges": EDGES, "elements": ELEMENTS, "blocks": BLOCKS}
     for name, columns in declared.items():
-        by_graph = "" if name == "graphs" else " PARTITIONED BY (graph_id)"
-        columns = columns if name == "graphs" else f"{columns}, graph_id string"
-        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet{by_graph} LOCATION '{path}/{name}'")
+        keys = "graph_id" if name == "graphs" else "graph_id, run"
+        columns = columns if name == "graphs" else f"{columns}, graph_id string, run string"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet PARTITIONED BY ({keys}) LOCATION '{path}/{name}'")
     return [f"{database}.{name}" for name in declared]
 
 
@@ -88,14 +95,60 @@ def utc_now() -> Column:
     return F.concat(F.date_format(F.convert_timezone(None, F.lit("UTC"), F.localtimestamp()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
 
 
+def _put(df: DataFrame, path: str, *keys: str) -> None:
+    """Writes df's partitions of a table; those that were there are replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def _found(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def run_of(nsf_path: str, parsed_at: str) -> str:
+    """What a parse is called by; a retry of it has the same name."""
+    return hashlib.sha256(f"{nsf_path}\n{parsed_at}".encode()).hexdigest()[:16]
+
+
 def store_graph(path: str, graph_id: str, nsf_path: str, title: str, parsed_at: str, tables: dict[str, DataFrame]) -> None:
-    """Writes edges, elements and blocks, then the manifest. A second try after a failure writes the graph's partitions anew."""
-    spark = next(iter(tables.values())).sparkSession
+    """Writes edges, elements and blocks as a run, then the manifest that names it. Readers see the run before until then."""
+    spark, run = next(iter(tables.values())).sparkSession, run_of(nsf_path, parsed_at)
     counts = {}
     for name, df in tables.items():
-        df.withColumn("graph_id", F.lit(graph_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(f"{path}/{name}")
-        counts[name] = spark.read.parquet(f"{path}/{name}").filter(F.col("graph_id") == graph_id).count()
-    spark.createDataFrame([(graph_id, nsf_path, title, parsed_at, counts.get("edges", 0), counts.get("elements", 0), counts.get("blocks", 0))], MANIFEST).write.mode("append").parquet(f"{path}/graphs")
+        _put(df.withColumns({"graph_id": F.lit(graph_id), "run": F.lit(run)}), f"{path}/{name}", "graph_id", "run")
+        counts[name] = spark.read.schema(f"graph_id string, run string, {_columns(df)}").parquet(f"{path}/{name}").filter((F.col("graph_id") == graph_id) & (F.col("run") == run)).count()
+    row = graph_id, nsf_path, title, parsed_at, counts.get("edges", 0), counts.get("elements", 0), counts.get("blocks", 0), run
+    _put(spark.createDataFrame([row], MANIFEST), f"{path}/graphs", "graph_id")
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def ensured(spark: SparkSession, path: str, name: str, graph_id: str, version: int, at: str, compute: Callable[[], DataFrame], force: bool = False) -> tuple[DataFrame, bool]:
+    """(a graph's stored result, whether it was there): rows of another version are computed anew, and all are if forced.
+
+    What is computed goes to the history under its time first and then becomes the graph's result, both by partition: a retry of the same time leaves one of each.
+    """
+    if not force and (kept := _found(spark, f"{path}/{name}")) is not None:
+        rows = kept.filter(F.col("graph_id").eqNullSafe(graph_id) & (F.col("schema_version") == version))
+        if not rows.isEmpty():
+            return rows, True
+    made = written(compute().withColumns({"schema_version": F.lit(version), "made_at": F.lit(at), "graph_id": F.lit(graph_id)}))
+    _put(made.withColumn("at_key", F.lit(hashlib.sha256(at.encode()).hexdigest()[:16])), f"{path}/{name}_history", "graph_id", "at_key")
+    _put(made, f"{path}/{name}", "graph_id")
+    return made, False
+
+
+def history_of(spark: SparkSession, path: str, name: str, graph_id: str, most: int = HISTORY) -> DataFrame:
+    """The newest results of a graph, one row each, where a result is one row."""
+    kept = spark.read.parquet(f"{path}/{name}_history").filter(F.col("graph_id") == graph_id).drop("at_key")
+    return last_n(kept, ["graph_id"], most, "made_at")
 
 
 def listed(graphs: DataFrame, snapshots: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -106,7 +159,8 @@ def listed(graphs: DataFrame, snapshots: DataFrame, limit: int = LIST_LIMIT) ->
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(f"{path}/graphs")
+    names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
+    return spark.read.schema(MANIFEST).parquet(f"{path}/graphs").select(*names)
 
 
 def list_graphs(spark: SparkSession, path: str, limit: int = LIST_LIMIT) -> DataFrame:
@@ -120,8 +174,9 @@ def latest_graph(spark: SparkSession, path: str, like: str | None = None) -> Dat
 
 
 def table_of(spark: SparkSession, path: str, name: str, graph_id: str) -> DataFrame:
-    """One graph's rows of a table; only its partition is read."""
-    return spark.read.parquet(f"{path}/{name}").filter(F.col("graph_id") == graph_id).drop("graph_id")
+    """One graph's rows of a table, of the run that its manifest names; only that partition is read. A graph without a manifest has none."""
+    found = manifests(spark, path).filter(F.col("graph_id") == graph_id).select("run").first()
+    return spark.read.parquet(f"{path}/{name}").filter((F.col("graph_id") == graph_id) & (F.col("run") == (found["run"] if found else None))).drop("graph_id", "run")
 
 
 def query_edges(edges: DataFrame, edge_type: str | None = None, source: str | None = None, limit: int = EDGE_LIMIT) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from siftgraph.plans import answer_queries, catalog, exports_queries, queries, unit_queries  # noqa: F401  all but the catalog register theirs
+from siftgraph.plans import answer_queries, catalog, exports_queries, queries, unit_queries, upkeep_queries  # noqa: F401  all but the catalog register theirs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
