@@ -6,7 +6,8 @@ choose alike, so a path of two chosen shingles is a bucket. A bucket of more tha
 next sampled shingle, twice at most; a small one is brute-forced. What is still large
 (mostly near copies of one text) is dealt into chunks that are compared whole; sets that stay outside the largest class of their bucket are
 then compared with the whole bucket, in blocks. Of such a bucket only links that join something are kept: a spanning forest, not its pairs.
-Links are verified on the whole sets of 64-bit shingle hashes; RUNS is what the target recall asks for.
+A pair is first screened by parities: each set has a bit array in which every shingle flips one bit, and the bits that differ are no more than the shingles that do,
+so that no link is lost by it. What is left is verified on the whole sets of 64-bit shingle hashes; RUNS is what the target recall asks for.
 
 Links make classes (connected components). A document's n_links counts documents with the same set, and those of sets linked to its own: all of its class, whatever its size,
 for a link never leaves its class, and each class that isn't known to link all pairs is compared whole, in pairs of chunks that give sums instead of pairs.
@@ -95,15 +96,55 @@ def _pairs_of_small(rows: DataFrame) -> DataFrame:
 
 
 def _wanted_tokens(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(set, tokens) of the sets in wanted; sets (set, row) names a row of each, docs (text_key, key, text) has the texts: copies of a row's text don't come along."""
+    """(set, tokens, bits) of the sets in wanted; sets (set, row) names a row of each, docs (text_key, key, text) has the texts: copies of a row's text don't come along."""
     named = materialise(wanted.distinct().join(sets.select("set", "row.text_key", "row.key"), "set"))
     texts = docs.join(small_or_shuffled(named), ["text_key", "key"]).select("set", "text")
-    return materialise(with_made(texts, "text", "tokens binary", lambda: lambda values: [[shingles(t).tobytes() for t in values]]).select("set", "tokens").dropDuplicates(["set"]))
+    return materialise(with_made(texts, "text", "tokens binary, bits binary", _tokens_and_bits).drop("text").dropDuplicates(["set"]))
+
+
+def _tokens_and_bits():  # noqa: ANN202
+    def of(texts: list[str | None]) -> tuple[list, list]:
+        sets = [shingles(t) for t in texts]
+        return [s.tobytes() for s in sets], [parities(s).tobytes() for s in sets]
+
+    return of
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bytes of two to four bits for each shingle of a set: which places an odd number of shingles has."""
+    m = max(64, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((mix(s) % np.uint64(m)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def may_link(x: np.ndarray, n_x: int, y: np.ndarray, n_y: int, threshold: float = THRESHOLD) -> bool:
+    """Whether sets of n_x and n_y shingles with these parities may have the threshold. A longer array folds onto a shorter one, as its length is a power of two."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (n_x + n_y) * (1 - threshold) / (1 + threshold) + 1e-6
+
+
+def _screen(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pairs whose parities allow the threshold: what false candidates ship is a small part of their sets."""
+    held = tokens.select("set", "bits", (F.length("tokens") / 8).cast("long").alias("n"))
+    sides = [held.select(*(F.col(c).alias(c + end) for c in held.columns)).withColumnRenamed("set" + end, end) for end in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("bitsa", "na", "bitsb", "nb")), strict=True)
+            good = [may_link(np.frombuffer(x, np.uint8), n_x, np.frombuffer(y, np.uint8), n_y) for x, n_x, y, n_y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return materialise(both.select("a", "b", "bitsa", "na", "bitsb", "nb").mapInArrow(run, "a binary, b binary"))
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """The pairs whose whole sets have at least the threshold."""
-    both = pairs.join(tokens.select(F.col("set").alias("a"), F.col("tokens").alias("left")), "a").join(tokens.select(F.col("set").alias("b"), F.col("tokens").alias("right")), "b")
+    left, right = (tokens.select(F.col("set").alias(c), F.col("tokens").alias(name)).join(small_or_shuffled(materialise(pairs.select(c).distinct())), c, "left_semi") for c, name in (("a", "left"), ("b", "right")))
+    both = small_or_shuffled(pairs).join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +247,7 @@ def _near(good: DataFrame, roots: DataFrame, copies: DataFrame, tokens: DataFram
     near = closed.groupBy(F.col("a").alias("set")).agg(F.sum("n_copies").alias("n_near"))
 
     some = found.filter("chunks is not null")
+    tokens = tokens.join(small_or_shuffled(some.select("set")), "set", "left_semi")
     tasks = max(1, -(-some.count() // WHOLE))
     own = some.withColumn("own", F.pmod(F.xxhash64("set"), F.col("chunks"))).withColumn("task", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root")))
     dealt = own.join(copies.select("set", "n_copies"), "set").join(tokens, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
@@ -234,7 +276,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         large = sized.filter(F.col("n") > SMALL).drop("n", "path") if p != names[-1] else sized.filter(F.col("n") > SMALL).select("path", "set", "n")
     pairs = materialise(found[0].union(found[1]).union(found[2]).distinct())
     tokens = _wanted_tokens(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(large.select("set")), sets, texts.select("text_key", "key", "text"))
-    good = _verify(pairs, tokens)
+    good = _verify(_screen(pairs, tokens), tokens)
     if not large.isEmpty():
         good = materialise(good.union(_links_of_large(large, tokens, good)).distinct())
     return rows.select("id_", "set"), good, tokens

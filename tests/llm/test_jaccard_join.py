@@ -2,6 +2,7 @@ import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from siftgraph.llm import jaccard_join as j
@@ -73,6 +74,20 @@ def test_links_of_a_large_group_are_all_counted(spark, monkeypatch, whole):
     assert got == dict(enumerate(degree))
 
 
+def test_parities_screen_loses_no_link():
+    rng = np.random.default_rng(5)
+    stopped = 0
+    for n in (1, 2, 5, 31, 400, 5000):
+        for _ in range(60):
+            shared = rng.integers(0, 2**63, int(n * rng.uniform(0, 1))).astype(np.uint64)
+            x, y = (np.unique(np.concatenate([shared, rng.integers(0, 2**63, int(rng.integers(0, n + 1))).astype(np.uint64)])) for _ in range(2))
+            both = len(np.intersect1d(x, y))
+            may = j.may_link(j.parities(x), len(x), j.parities(y), len(y))
+            assert may or both < 0.8 * (len(x) + len(y) - both)
+            stopped += not may
+    assert stopped > 200
+
+
 def test_odd_rows(spark, documents):
     rows = [(r["doc_id"], r["class_id"], r["n_links"]) for r in j.join(documents).collect()]
     assert len(rows) == documents.count()
