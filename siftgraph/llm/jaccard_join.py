@@ -99,7 +99,8 @@ def _wanted_tokens(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataF
     """(set, tokens, bits) of the sets in wanted; sets (set, row) names a row of each, docs (text_key, key, text) has the texts: copies of a row's text don't come along."""
     named = materialise(wanted.distinct().join(sets.select("set", "row.text_key", "row.key"), "set"))
     texts = docs.join(small_or_shuffled(named), ["text_key", "key"]).select("set", "text")
-    return materialise(with_made(texts, "text", "tokens binary, bits binary", _tokens_and_bits).drop("text").dropDuplicates(["set"]))
+    made = materialise(with_made(texts, "text", "tokens binary, bits binary", _tokens_and_bits).drop("text"))
+    return made if made.count() == named.count() else materialise(made.dropDuplicates(["set"]))  # only repeated rows make a set twice
 
 
 def _tokens_and_bits():  # noqa: ANN202
@@ -218,7 +219,7 @@ def _links_of_large(large: DataFrame, tokens: DataFrame, good: DataFrame) -> Dat
     Each bucket is dealt into chunks by hash, and each chunk compared whole; as a set is in several buckets, chunks overlap. What is then
     not in the largest class of its bucket is compared with the whole bucket, in blocks.
     """
-    dealt = large.withColumn("chunk", F.pmod(F.xxhash64("path", "set"), F.ceil(F.col("n") / CHUNK))).join(tokens, "set").select("path", "chunk", "set", "tokens")
+    dealt = small_or_shuffled(large).withColumn("chunk", F.pmod(F.xxhash64("path", "set"), F.ceil(F.col("n") / CHUNK))).join(tokens, "set").select("path", "chunk", "set", "tokens")
     first = materialise(dealt.groupBy("path", "chunk").applyInPandas(_tree, "a binary, b binary").distinct())
     roots = components(good.union(first))
     rooted = materialise(large.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
@@ -227,7 +228,7 @@ def _links_of_large(large: DataFrame, tokens: DataFrame, good: DataFrame) -> Dat
     deal = lambda n: F.pmod(F.xxhash64("set", "path"), F.col(n))
     asking = open_.filter("root != main").select("path", "set", F.lit(True).alias("asks"), deal("n_asking").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("y"))
     asked = open_.select("path", "set", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asking") - 1)).alias("x"), deal("n_all").alias("y"))
-    second = asking.union(asked).join(tokens, "set").groupBy("path", "x", "y").applyInPandas(_tree, "a binary, b binary").filter("a != b")
+    second = small_or_shuffled(materialise(asking.union(asked))).join(tokens, "set").groupBy("path", "x", "y").applyInPandas(_tree, "a binary, b binary").filter("a != b")
     return first.union(materialise(second.distinct()))
 
 
@@ -270,7 +271,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         counts = large.groupBy(p).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         counts = materialise(counts)
         hot = small_or_shuffled(counts.filter(F.col("n") > HOT))  # a share of 1 / HOT of the rows at most
-        cool = large.join(hot, p, "left_anti").join(counts.filter(F.col("n") <= HOT), p)
+        cool = large.join(hot, p, "left_anti").join(small_or_shuffled(counts.filter(F.col("n") <= HOT)), p)
         sized = materialise(cool.union(large.join(hot, p).select(cool.columns)).withColumnRenamed(p, "path"))
         found.append(_pairs_of_small(sized.filter(F.col("n") <= SMALL)))
         large = sized.filter(F.col("n") > SMALL).drop("n", "path") if p != names[-1] else sized.filter(F.col("n") > SMALL).select("path", "set", "n")
