@@ -6,8 +6,8 @@ may stand for, or nothing), with channel costs; Viterbi decoding under a charact
 restored text. Plain and restored words are then scored by features of the word: itself and its prefixes.
 A feature's weight is its precision among labelled documents; a document's score is the noisy-or of its words.
 
-The classifier and the character model are fitted on at most MOST_SAMPLES labelled rows of each class, taken by hash of the
-id; near copies count once there. Every document is scored, over its whole text.
+The classifier and the character model are fitted on every labelled row that isn't held out; near copies share one vote
+there. Every document is scored, over its whole text.
 
 Defined results: null and empty texts get the score of a document without toxic words; repeated rows score
 alike; a null id is never held out; without usable labels every score is 0; an empty table gives no rows; extra columns are ignored.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftgraph.llm.bpe import Kept
-from siftgraph.llm.common import fresh, held, materialise, mix, shuffle_partitions, with_made, word_hashes
+from siftgraph.llm.common import fresh, held, materialise, mix, small_or_shuffled, with_made, word_hashes
 
-#: Labelled rows of each class on which the model is fitted, at most.
-MOST_SAMPLES = 6_000
 THRESHOLD = 0.3
-#: Pieces without white space whose score a worker keeps, in each of two generations.
-KEPT_PIECES = 200_000
+#: Noisy pieces whose score a worker keeps, in each of two generations, and costs of characters.
+KEPT_PIECES, KEPT_COSTS = 50_000, 200_000
+#: The vote of a row in whole numbers, whose sums don't depend on their order; near copies share it.
+VOTE = 1 << 20
+#: Features that a task counts before it hands them on.
+MOST_COUNTED = 500_000
 #: Least precision of a feature that counts, and documents' worth of the prior on it, which is the share of toxic rows.
 LEAST_PRECISION, PRIOR = 0.85, 1.5
 #: Characters of the model's n-grams.
@@ -43,12 +45,14 @@ PREFIXES = range(4, 8)
 # What a symbol may stand for in leetspeak, and separators inside a word.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = ".-_*~'`^/\\,:;=#%&·•"
+ENDS = SEPARATORS + "\"()[]{}<>?«»“”"
 #: Nats: a symbol for a letter, a separator dropped, a repeated letter folded, and a symbol dropped.
 COST_LEET, COST_SEPARATOR, COST_FOLD, COST_DROP = 0.7, 0.3, 0.4, 8.0
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\S{1,2}\s{1,3}){2,}\S{1,2}(?!\S)")
 _SYMBOLS = "0123456789@$!|+(€£¡"
+_REPEATED = re.compile(r"(.)\1", re.S)
 _STRETCHED, _PARTED = re.compile(r"([^\W\d_])\1\1"), re.compile(r"[^\W_][^\w\s]+[^\W_]")
 _FIRM, _LETTER, _SYMBOL = re.compile(r"[^\W_]"), re.compile(r"[^\W\d_]"), re.compile("[" + re.escape(_SYMBOLS) + "]")
 
@@ -56,9 +60,9 @@ _FIRM, _LETTER, _SYMBOL = re.compile(r"[^\W_]"), re.compile(r"[^\W\d_]"), re.com
 class CharacterModel:
     """A character model of order ORDER with interpolated backoff; \\x02 begins a word, \\x03 ends it."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, float]) -> None:
         self.counts = counts
-        contexts: Counter[str] = Counter()
+        contexts: defaultdict[str, float] = defaultdict(float)
         for gram, n in counts.items():
             contexts[gram[:-1]] += n
         self.contexts, self.letters = contexts, 1 + sum(len(g) == 1 for g in counts)
@@ -69,7 +73,7 @@ class CharacterModel:
         gram = before + c
         found = self.known.get(gram)
         if found is None:
-            if len(self.known) > KEPT_PIECES:
+            if len(self.known) > KEPT_COSTS:
                 self.known.clear()
             p = 1 / self.letters
             for n in range(len(gram)):
@@ -140,17 +144,21 @@ def noisy(form: str) -> bool:
     return bool(_SYMBOL.search(inside)) or form[0] in _SYMBOLS and bool(_LETTER.search(form)) or form[-1] in "0123456789@$!|" and bool(_LETTER.search(form.rstrip("0123456789@$!|")[-1:]))
 
 
-def readings(chunk: str, model: CharacterModel | None) -> list[str]:
-    """The plain words of a piece without white space, and the restored ones where it is noisy; pieces of any length."""
-    low = chunk.lower()
-    found = _WORDS.findall(low)
-    if model is not None and (not (low.isalpha() or low.isdigit()) or _STRETCHED.search(low)):
-        core, known = low.strip(SEPARATORS + "\"()[]{}<>?«»“”"), set(found)
-        for form in {core, core.rstrip("!$@+|(")}:
-            if form and noisy(form):
-                new = [w for w in decode(form, model).split() if w not in known]
-                known.update(new)
-                found += new
+def forms(piece: str) -> set[str]:
+    """What of a piece in lower case is to be restored: nothing unless it is noisy; pieces of any length."""
+    if (piece.isalpha() or piece.isdigit()) and not _STRETCHED.search(piece):
+        return set()
+    core = piece.strip(ENDS)
+    return {form for form in {core, core.rstrip("!$@+|(")} if form and not (form.isalpha() and not _STRETCHED.search(form)) and noisy(form)}
+
+
+def restored(piece: str, model: CharacterModel) -> list[str]:
+    """The words of a piece in lower case that are only seen once it is restored."""
+    known, found = set(_WORDS.findall(piece)), []
+    for form in sorted(forms(piece)):
+        new = [w for w in decode(form, model).split() if w not in known]
+        known.update(new)
+        found += new
     return found
 
 
@@ -163,26 +171,35 @@ def features(word: str) -> Iterable[str]:
 
 
 class Scorer:
-    def __init__(self, weights: dict[str, float], grams: dict[str, int], none: float) -> None:
-        self.weights, self.none = weights, none
+    def __init__(self, weights: dict[str, float], grams: dict[str, float], none: float) -> None:
+        self.none = none
+        self.heads = {f[:4].rstrip("$") for f in weights}  # a word has a feature only if it begins like one
         self.model = CharacterModel(grams) if grams else None
-        self.kept = Kept(self.chunk, KEPT_PIECES)
-        self.runs = Kept(lambda run: self.words(decode(run.lower(), self.model).split()), KEPT_PIECES // 10)
+        self.told = Kept(lambda w: min([weights.get(f, 0.0) for f in features(w)], default=0.0), KEPT_PIECES)
+        self.kept = Kept(lambda piece: self.words(restored(piece, self.model)), KEPT_PIECES)
+        self.runs = Kept(self.run, KEPT_PIECES)
 
     def words(self, words: Iterable[str]) -> float:
         """log of the chance that none of the words makes the text toxic."""
-        get = self.weights.get
-        return sum(min((get(f, 0.0) for f in features(w)), default=0.0) for w in words)
+        told, heads = self.told, self.heads
+        return sum([told[w] for w in words if w[:4] in heads])
 
-    def chunk(self, chunk: str) -> float:
-        return self.words(readings(chunk, self.model))
+    def run(self, run: str) -> float:
+        """The same for a run of spaced letters in lower case. One of single letters is read as a cut of them all, which has no feature if nothing in them begins like one."""
+        letters = "".join(run.split())
+        if letters.isalpha() and not _REPEATED.search(letters) and not any(letters[i : i + n] in self.heads for i in range(len(letters) - 2) for n in (3, 4)):
+            return 0.0
+        return self.words(decode(run, self.model).split())
 
     def score(self, text: str | None) -> float:
         total = self.none
         if text:
-            total += sum(map(self.kept.__getitem__, text.split()))
+            low = text.lower()
+            total += self.words(_WORDS.findall(low))
             if self.model is not None:
-                total += sum(map(self.runs.__getitem__, _SPACED.findall(text)))
+                kept, stretched = self.kept, _STRETCHED.search if _STRETCHED.search(low) else None
+                total += sum([kept[p] for p in low.split() if not p.isalpha() and not p.strip(ENDS).isalpha() or stretched and stretched(p)])
+                total += sum([self.runs[r] for r in map(str.lower, _SPACED.findall(text))])
         return 1 - math.exp(total)
 
 
@@ -190,72 +207,112 @@ def remainder(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(text, y) of the labelled rows to learn from: the first `most` of each class by hash of the id."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(text, y, vote) of every labelled row to learn from; rows of a class whose smallest hash of five words is the same share one vote."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(remainder(F.col("id")) != 2).groupBy("id").agg(F.max("y").alias("y"))
-    parts = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
-    taken = materialise(parts[0].union(parts[1]))
-    return materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken), "id").select("text", "y"))
-
-
-def _one_of_near_copies(sample: DataFrame) -> DataFrame:
-    """Of rows whose smallest hash of five words is the same, one for each label."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(remainder(F.col("id")) != 2).join(small_or_shuffled(materialise(usable)), "id").select("text", "y")
 
     def signature(text: str | None) -> int:
         h = word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
         if not len(h):
             return 0
-        rows = np.lib.stride_tricks.sliding_window_view(h, min(5, len(h)))
+        n = min(5, len(h))
         with np.errstate(over="ignore"):
-            return int(mix(rows @ np.arange(3, 3 + 2 * rows.shape[1], 2, dtype=np.uint64)).min().view(np.int64))
+            made = sum(h[k : len(h) - n + 1 + k] * np.uint64(3 + 2 * k) for k in range(n))
+            return int(mix(made).min().view(np.int64))
 
-    return with_made(sample, "text", "sig long", lambda: lambda texts: [[signature(t) for t in texts]]).dropDuplicates(["sig", "y"])
+    rows = materialise(with_made(own, "text", "sig long", lambda: lambda texts: [[signature(t) for t in texts]]))
+    alike = materialise(rows.groupBy("sig", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    vote = F.greatest(F.lit(1), F.round(F.lit(VOTE) / F.coalesce("n", F.lit(1)))).cast("long")
+    return rows.join(small_or_shuffled(alike), ["sig", "y"], "left").select("text", "y", vote.alias("vote"))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(feature, n0, n1): documents of each class with the feature; features after \\x00 are the character model's."""
+    """(feature, n0, n1): votes of each class with the feature. The empty feature is every row's; short words, which are none, stand after \\x00."""
+    kinds = pa.string(), pa.int64(), pa.int64()
+
+    def table(n: dict[tuple[int, int], Counter[str]]) -> Iterator[pa.RecordBatch]:
+        for (y, vote), seen in n.items():
+            votes, none = np.fromiter(seen.values(), np.int64, len(seen)) * vote, np.zeros(len(seen), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), kinds[0]), *(pa.array(votes if k == y else none, kinds[1]) for k in (0, 1))], ["feature", "n0", "n1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = Counter(), Counter()
-        grams: Counter[str] = Counter()
+        n: defaultdict[tuple[int, int], Counter[str]] = defaultdict(Counter)
+        known: dict[str, tuple[str, ...]] = {}
+        held_ = 0
         for batch in batches:
-            for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                words = _WORDS.findall((text or "").lower())
-                n[y].update({f for w in set(words) for f in features(w)})
-                n[y][""] += 1
-                for w, k in Counter(words).items():
-                    s = "\2" + w + "\3"
-                    for i in range(1, len(s)):
-                        for size in range(1, ORDER + 1):
-                            if i + 1 >= size:
-                                grams["\0" + s[i + 1 - size : i + 1]] += k
-        keys = [*n[0].keys() | n[1].keys()]
-        rows = [(k, n[0][k], n[1][k]) for k in keys] + [(k, v, 0) for k, v in grams.items()]
-        kinds = pa.string(), pa.int64(), pa.int64()
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["feature", "n0", "n1"])
+            for text, y, vote in zip(batch["text"], batch["y"].to_pylist(), batch["vote"].to_pylist(), strict=True):
+                own = {""}
+                for w in set(_WORDS.findall((text.as_py() or "").lower())):
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = tuple(features(w)) or ("\0" + w,)
+                    own.update(found)
+                seen = n[y, vote]
+                held_ -= len(seen)
+                seen.update(own)
+                held_ += len(seen)
+                if held_ > MOST_COUNTED:
+                    yield from table(n)
+                    n.clear()
+                    known.clear()
+                    held_ = 0
+        yield from table(n)
 
     return rows.mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_SAMPLES) -> tuple[dict[str, float], dict[str, int], float]:
-    """(log(1 - precision) by feature, character n-gram counts, log(1 - the score of a text without features))."""
-    rows = _one_of_near_copies(_sampled(docs, labels, id_col, text_col, label_col, most)).repartition(shuffle_partitions(docs.sparkSession))
-    counts = materialise(_counts(materialise(rows)))
+def _grams_of(words: list[str], votes: np.ndarray) -> dict[str, int]:
+    """Votes of the character model's n-grams in words. A gram's number is made from that of the gram without its last character, so that alphabets of any size are told apart."""
+    text = "".join(["\2" + w + "\3" for w in words])
+    lengths = np.array([len(w) + 2 for w in words])
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    place, vote = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(votes, lengths)
+    alphabet, letter = np.unique(code, return_inverse=True)
+    found: dict[str, int] = {}
+    before, at = np.zeros(len(code), np.int64), np.arange(len(code))  # the number of the gram that ends before each place
+    for size in range(1, ORDER + 1):
+        at = at[place[at] >= size - 1]
+        _, first, number = np.unique(before[at - 1] * len(alphabet) + letter[at] if size > 1 else letter[at], return_index=True, return_inverse=True)
+        ends = place[at[first]] > 0  # the mark alone is no gram
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, number, vote[at])
+        found.update((text[e - size + 1 : e + 1], n) for e, n in zip(at[first][ends].tolist(), total[ends].tolist(), strict=True))
+        before = np.zeros(len(code), np.int64)
+        before[at] = number
+    return found
+
+
+def _grams(counts: DataFrame) -> DataFrame:
+    """(gram, n): votes of the n-grams of all words in counts; a word has as many as there are rows that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = _grams_of(batch["word"].to_pylist(), batch["n"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+
+    short = F.col("feature").startswith("\0")
+    words = counts.filter(short | F.col("feature").endswith("$")).select(F.when(short, F.expr("substring(feature, 2)")).otherwise(F.expr("left(feature, length(feature) - 1)")).alias("word"), (F.col("n0") + F.col("n1")).alias("n"))
+    return words.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], dict[str, float], float]:
+    """(log(1 - precision) by feature, votes by character n-gram, log(1 - the score of a text without features))."""
+    counts = materialise(_counts(_labelled(docs, labels, id_col, text_col, label_col)))
     whole = counts.filter("feature = ''").first()
     if not whole or not whole["n0"] or not whole["n1"]:
         return {}, {}, 0.0
-    n0, n1 = whole["n0"], whole["n1"]
-    of = {r["y"]: r["n"] for r in labels.filter(remainder(F.col(id_col)) != 2).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = max(1.0, (of.get(0, 0) / n0) / (of.get(1, 1) / n1))  # a clean row of the sample stands for so many
+    n0, n1 = whole["n0"] / VOTE, whole["n1"] / VOTE
     share = n1 / (n0 + n1)
-    used = counts.filter("feature != '' and feature not like '\\0%'").withColumn("n", F.col("n0") + F.col("n1"))
+    used = counts.filter("feature != '' and feature not like '\0%'").select("feature", (F.col("n0") / VOTE).alias("n0"), (F.col("n1") / VOTE).alias("n1")).withColumn("n", F.col("n0") + F.col("n1"))
     tested = used.filter("n >= 3").count()
     part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / F.col("n") / q)).otherwise(0.0)
-    precision = (F.col("n1") + PRIOR * n1 / (n1 + weight * n0)) / (F.col("n1") + weight * F.col("n0") + PRIOR)
+    precision = (F.col("n1") + PRIOR * share) / (F.col("n") + PRIOR)
     chosen = used.filter((part("n1", share) + part("n0", 1 - share) > math.log(max(tested, 2)) + 2) & (precision >= LEAST_PRECISION)).select("feature", precision.alias("p")).collect()
     weights = {r["feature"]: math.log1p(-min(r["p"], 0.9999)) for r in chosen}
-    grams = {r["feature"][1:]: r["n0"] for r in counts.filter("feature like '\\0%' and n0 > 1").collect()}  # as many as the sample has
-    return weights, grams, math.log1p(-0.5 * n1 / (n1 + weight * n0) * 0.5)
+    grams = {r["gram"]: r["n"] / VOTE for r in _grams(counts).filter(F.col("n") > VOTE).collect()}  # as many as the languages of the labelled rows have
+    return weights, grams, math.log1p(-0.25 * share)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -270,9 +327,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return with_scores(docs, text_col, name, fit(docs, labels, id_col, text_col, label_col)).filter(F.col(name) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def with_scores(rows: DataFrame, text_col: str, score_col: str, fitted: tuple[dict[str, float], dict[str, int], float]) -> DataFrame:
+def with_scores(rows: DataFrame, text_col: str, score_col: str, fitted: tuple[dict[str, float], dict[str, float], float]) -> DataFrame:
     """rows with a column of scores by a fitted model."""
-    model = rows.sparkSession.sparkContext.broadcast(fitted)  # as large as the sample allows
+    model = rows.sparkSession.sparkContext.broadcast(fitted)  # the words that tell, and the n-grams of the languages
     name = uuid.uuid4().hex
 
     def make():  # noqa: ANN202

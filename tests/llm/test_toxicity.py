@@ -109,3 +109,29 @@ def test_clashing_columns(spark, documents):
     kept = t.keep_clean(docs, labels)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert t.score(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_every_labelled_row_counts(spark):
+    """More rows of a class than any sample of old took, and copies, which share one vote."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghilmnoprstu", k=7)) for _ in range(600)]
+    rows = [(k, " ".join(rng.choices(words, k=8)) + (" badword" if k % 30 == 0 else " rude" if k % 11 == 0 else " fine"), int(k % 30 == 0)) for k in range(9_000)]
+    learn = [(text, y) for k, text, y in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert sum(y == 0 for _, y in learn) > 6_000
+    copied = rows + [(k, rows[1][1], 0) for k in range(9_000, 9_100)]
+    assert zlib.crc32(b"1") % 4 != 2
+    weights, none = plain_fit(learn)
+    got, grams, base = t.fit(spark.createDataFrame([r[:2] for r in copied], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in copied], "doc_id long, toxic int"))
+    assert "badword$" in got and got.keys() == weights.keys() and math.isclose(base, none, rel_tol=1e-6)
+    assert all(math.isclose(got[f], w, rel_tol=1e-5) for f, w in weights.items())
+    often = collections.Counter("\2" + w + "\3" for text, _ in learn for w in set(text.split()))
+    assert all(math.isclose(grams[g], sum(n * w.count(g) for w, n in often.items()), rel_tol=1e-5) for g in ("fine\3", "\2rude", "o", "bad"))
+
+
+def test_grams_in_any_alphabet():
+    words = ["the", "a", "日本", "ééé", "𝔘𝔫", "thethe"]
+    expected = collections.Counter()
+    for w, n in zip(words, range(1, 7), strict=True):
+        s = "\2" + w + "\3"
+        expected.update({g: n * k for g, k in collections.Counter(s[i : i + m] for m in range(1, t.ORDER + 1) for i in range(len(s) - m + 1)).items() if g != "\2"})
+    assert {g: n for g, n in t._grams_of(words, t.np.arange(1, 7)).items()} == expected
