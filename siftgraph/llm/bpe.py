@@ -2,7 +2,7 @@
 
 A text is cut at special tokens, normalised (NFC, lower case) and split into words. A word always gives the
 same ids, so its result is kept in a bounded table and only unseen words are merged: the queue holds rank and
-place of adjacent pairs, and an entry whose pair has changed since is skipped. Decoding joins the vocabulary's
+place of adjacent pairs, and an entry whose pair has changed since is skipped; short words need no queue. Decoding joins the vocabulary's
 strings.
 
 Defined results: null and empty texts give no ids and an empty decoded text; repeated rows encode alike;
@@ -15,10 +15,11 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
+from itertools import pairwise
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from siftgraph.llm.common import held, with_made
 
 #: Words in a generation of what a Python worker keeps.
 KEPT_WORDS = 200_000
+#: Symbols up to which a word is merged without a queue.
+SHORT = 40
 #: Characters of the longest word whose result is kept.
 LONGEST = 64
 
@@ -86,12 +89,33 @@ class Encoder:
         return self.find_latin(text.lower())
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word. The queue holds rank and place of mergeable neighbours in one number; the least rank, then the leftmost, is merged first."""
+        """Ids of one word. The least rank, then the leftmost, is merged first; the queue of a long word holds rank and place of mergeable neighbours in one number."""
         if word in self.special:
             return [self.special[word]]
+        ids = self._symbols(word)
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_queued(ids)
+
+    def _symbols(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
+        return ids
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same merges for few symbols, whose ranks are looked over each time: the queue's upkeep costs more than that."""
+        rank_of, joined, none = self.ranks.get, self.joined, len(self.joined)
+        ranks = [rank_of(pair, none) for pair in pairwise(ids)]
+        while ranks and (rank := min(ranks)) < none:
+            k = ranks.index(rank)
+            ids[k] = new = joined[rank]
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank_of((new, ids[k + 1]), none)
+            if k:
+                ranks[k - 1] = rank_of((ids[k - 1], new), none)
+        return ids
+
+    def _merge_queued(self, ids: list[int]) -> list[int]:
         n, rank_of = len(ids), self.ranks.get
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         queue = [rank * n + k for k in range(n - 1) if (rank := rank_of((ids[k], ids[k + 1]))) is not None]
@@ -158,10 +182,14 @@ def _kept(path: str) -> Kept:
     return held(("ids", path), lambda: Kept(make))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def packed_ids(path: str) -> Kept:
     """word -> its ids as little-endian unsigned 32-bit numbers."""
     encoder = encoder_of(path)
-    return held(("packed ids", path), lambda: Kept(lambda word: np.array(encoder.merge(word), "<u4").tobytes()))
+    return held(("packed ids", path), lambda: Kept(lambda word: _packed(encoder.merge(word))))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -48,3 +48,12 @@ def test_kept_outlives_a_full_table():
     made = []
     kept = bpe.Kept(lambda k: made.append(k) or k.upper(), 2)
     assert [kept[k] for k in "abacada"] == list("ABACADA") and made == list("abcd")
+
+
+def test_short_words_need_no_queue(spark, monkeypatch):
+    encoder = bpe.Encoder(tokenizer_path())
+    words = {w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for w in encoder.words(r["text"])} | {w for x in ODD for w in encoder.words(x)} | {"aaaa", "ababab" * 6}
+    queued = {w: encoder._merge_queued(encoder._symbols(w)) for w in words if w not in encoder.special}
+    monkeypatch.setattr(bpe.heapq, "heapify", None)
+    assert {w: encoder.merge(w) for w in queued if len(w.encode()) <= bpe.SHORT} == {w: ids for w, ids in queued.items() if len(w.encode()) <= bpe.SHORT}
+    assert bpe._packed([1, 70_000]) == b"\1\0\0\0\x70\x11\1\0"
