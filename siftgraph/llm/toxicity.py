@@ -35,7 +35,7 @@ KEPT_PIECES, KEPT_COSTS = 50_000, 200_000
 #: The vote of a row in whole numbers, whose sums don't depend on their order; near copies share it.
 VOTE = 1 << 20
 #: Features that a task counts before it hands them on.
-MOST_COUNTED = 500_000
+MOST_COUNTED = 300_000
 #: Least precision of a feature that counts, and documents' worth of the prior on it, which is the share of toxic rows.
 LEAST_PRECISION, PRIOR = 0.85, 1.5
 #: Characters of the model's n-grams.

@@ -4,6 +4,10 @@ import math
 import random
 import zlib
 
+import pyarrow as pa
+from pyspark.sql import types as T
+
+from siftgraph.llm import common
 from siftgraph.llm import toxicity as t
 
 SF = "/root/testdata/sf0.1"
@@ -135,3 +139,21 @@ def test_grams_in_any_alphabet():
         s = "\2" + w + "\3"
         expected.update({g: n * k for g, k in collections.Counter(s[i : i + m] for m in range(1, t.ORDER + 1) for i in range(len(s) - m + 1)).items() if g != "\2"})
     assert {g: n for g, n in t._grams_of(words, t.np.arange(1, 7)).items()} == expected
+
+
+def test_tables_of_other_operators_are_let_go():
+    """A task that asks for no kept table frees the one of the operator before, and values become Python objects some rows at a time."""
+    kept = common.held(("test", "table"), lambda: [1])
+    assert common.held(("test", "table"), list) is kept
+    sizes = []
+
+    class Rows:
+        schema = T.StructType([T.StructField("x", T.LongType())])
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            batch = pa.RecordBatch.from_arrays([pa.array(range(2_500), pa.int64())], ["x"])
+            return pa.Table.from_batches(run(iter([batch])))["y"].to_pylist()
+
+    made = common.with_made(Rows(), "x", "y long", lambda: lambda values: sizes.append(len(values)) or [values])
+    assert made == list(range(2_500)) and max(sizes) <= common.AT_ONCE
+    assert not common._HELD
