@@ -147,29 +147,26 @@ def related(items: DataFrame, others: DataFrame, tokens: Column, key: str, n: in
     return top_n(met, [key], n, *order)
 
 
-#: Characters of the pieces by which names meet the texts that hold them.
-PIECE = 3
-
-
-def _pieces(c: Column, n: int) -> Column:
-    """The distinct pieces of n characters, none of a shorter text."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))  # a look ahead from each place: one walk
+#: First characters of a name, by which it is found where it may stand in a text.
+HEAD = 3
 
 
 def containing(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str) -> DataFrame:
     """(keys, name) for every text and distinct name that it holds, both in lower case. The keys name a row of texts and aren't null.
 
-    A name meets only the texts that hold its rarest piece of PIECE characters (a shorter name is a piece itself), and each such pair is then
-    tested whole, so that no pair is missed and all pairs are never made. Null and empty names and texts hold nothing.
+    At each place of a text where first characters of names stand (a shorter name whole), what stands there in the lengths of such names meets the
+    names by equality. So no pair is missed, and what is made grows with the texts and the pairs that hold, not with names times texts. Texts are
+    never broadcast, however small their file is. Null and empty names and texts hold nothing.
     """
     low = texts.select(*keys, F.lower(text).alias("text_")).filter("text_ <> ''")
     wanted = names.select(F.lower(name).alias("name_")).filter("name_ <> ''").distinct()
-    parts = wanted.select("name_", F.explode(F.when(F.length("name_") < PIECE, F.array("name_")).otherwise(_pieces(F.col("name_"), PIECE))).alias("piece_"))
-    held = low.select(*keys, F.explode(F.concat(*(_pieces(F.col("text_"), n) for n in range(1, PIECE + 1)))).alias("piece_"))
-    often = held.join(parts.select("piece_").distinct(), "piece_", "left_semi").groupBy("piece_").agg(F.count(F.lit(1)).alias("n_"))
-    rarest = parts.join(often, "piece_").groupBy("name_").agg(F.min_by("piece_", F.struct("n_", "piece_")).alias("piece_"))
-    met = held.join(rarest, "piece_").drop("piece_").join(low, keys)
-    return met.filter(F.contains(F.col("text_"), F.col("name_"))).select(*keys, F.col("name_").alias(name))
+    heads = wanted.groupBy(F.substring("name_", 1, HEAD).alias("head_")).agg(F.collect_set(F.length("name_")).alias("lengths_"))
+    ahead = F.regexp_extract_all("text_", F.lit(f"(?s)(?=(.{{1,{HEAD}}}))."), F.lit(1))  # a look ahead from each character: one walk
+    starts = low.select(*keys, F.posexplode(ahead).alias("at_", "ahead_")).select(*keys, "at_", F.explode(F.array(*(F.substring("ahead_", 1, n) for n in range(1, HEAD)), "ahead_")).alias("head_"))
+    spots = starts.join(heads, "head_").groupBy(*keys).agg(F.collect_list(F.struct("at_", "lengths_")).alias("spots_"))
+    parts = F.flatten(F.transform("spots_", lambda x: F.transform(x["lengths_"], lambda n: F.substring("text_", x["at_"] + 1, n))))
+    held = spots.join(low.hint("merge"), keys).select(*keys, F.explode(F.array_distinct(parts)).alias("name_"))
+    return held.join(wanted, "name_").select(*keys, F.col("name_").alias(name))
 
 
 def ci_gate(summary: DataFrame, critical: int = 0, high: int = 50, unprotected: int = 0, incomplete: int = 25) -> DataFrame:

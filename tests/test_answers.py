@@ -95,3 +95,15 @@ def test_every_rule_has_one_remedy(spark):
     got = remedies.with_remedies(spark.createDataFrame(rows, "rule_id string, language string, in_loop boolean, variable string, evidence string")).collect()
     by = {r["rule_id"]: r for r in got}
     assert len(got) == 3 and "handle.recycle()" in by["DOM-003"]["sketch"] and by["DOM-004"]["sketch"] is None and by["DOM-004"]["advice"] and by[None]["topic"] is None
+
+
+def test_containing_makes_no_pairs_that_do_not_hold(spark):
+    texts = spark.range(6_000).select("id", F.concat(F.lit("calls fn"), F.col("id") + 100_000, F.lit("()")).alias("t"))
+    names = spark.range(3_000).select(F.concat(F.lit("Fn"), F.col("id") + 200_000).alias("n")).union(spark.createDataFrame([("fn10",), ("Fn100007",), ("()",), ("s f",)], "n string"))
+    found = audit.containing(texts, ["id"], "t", names, "n")
+    assert {r["n"]: r["count"] for r in found.groupBy("n").count().collect()} == {"fn10": 6_000, "fn100007": 1, "()": 6_000, "s f": 6_000}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" not in plan.lower()  # pairs meet by equality: none is made to be tested
+    odd = spark.createDataFrame([(1, "x\U0001f600y\U0001f600zz"), (2, "\U0001f600"), (3, "a\nb" * 3)], "k int, t string")
+    got = audit.containing(odd, ["k"], "t", spark.createDataFrame([(n,) for n in ("y\U0001f600z", "\U0001f600", "zz", "z\U0001f600", "\nBa\nB", "ba\nba\n")], "n string"), "n").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, "y\U0001f600z"), (1, "\U0001f600"), (1, "zz"), (2, "\U0001f600"), (3, "\nba\nb"), (3, "ba\nba\n")])
