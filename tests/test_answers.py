@@ -1,5 +1,7 @@
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.functions import text
@@ -107,3 +109,25 @@ def test_containing_makes_no_pairs_that_do_not_hold(spark):
     odd = spark.createDataFrame([(1, "x\U0001f600y\U0001f600zz"), (2, "\U0001f600"), (3, "a\nb" * 3)], "k int, t string")
     got = audit.containing(odd, ["k"], "t", spark.createDataFrame([(n,) for n in ("y\U0001f600z", "\U0001f600", "zz", "z\U0001f600", "\nBa\nB", "ba\nba\n")], "n string"), "n").collect()
     assert sorted(map(tuple, got)) == sorted([(1, "y\U0001f600z"), (1, "\U0001f600"), (1, "zz"), (2, "\U0001f600"), (3, "\nba\nb"), (3, "ba\nba\n")])
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_functions_and_findings_of_one_name_are_not_paired(spark, wide):
+    functions = spark.range(10_000).select(F.col("id").alias("function_id"), F.lit("open").alias("name"), F.when(F.col("id") % 2 == 0, "lib").otherwise("Web").alias("element"), F.lit("java").alias("language"))
+    k = F.col("id")
+    severity = F.element_at(F.array(F.lit("LOW"), F.lit("HIGH")), (k % 2 + 1).cast("int"))
+    owner = F.when(k % 3 == 0, "my LIB").when(k % 3 == 1, "pe").otherwise("x")
+    findings = spark.range(30_000).select(
+        k.alias("finding_id"), F.lit("DOM-1").alias("rule_id"), severity.alias("severity"), owner.alias("element_name"), F.when(k >= 29_990, "Opens").otherwise("t").alias("title"), F.lit("calls open()").alias("evidence"),
+        F.lit("at open").alias("location"), F.lit("f").alias("source_file"), k.alias("line"), (k == 3).alias("is_false_positive"),
+    )
+    began = time.time()
+    rows = views.related_findings(functions, findings, wide=wide).collect()
+    assert time.time() - began < 40
+    got = {}
+    for r in sorted(rows, key=lambda r: r["nth"]):
+        got.setdefault(r["function_id"], []).append(r["finding_id"])
+    odd = [i for i in range(1, 30_000, 2) if i != 3]
+    shown = lambda i: (["my LIB", "pe", "x"][i % 3], i)
+    lib, web = (odd[:8],) * 2 if wide else (sorted((i for i in odd if good(i)), key=shown)[:3] for good in (lambda i: i % 3 == 0 or i >= 29_990, lambda i: i >= 29_990))
+    assert len(got) == 10_000 and all(v == (web if i % 2 else lib) for i, v in got.items())
