@@ -87,6 +87,16 @@ def test_grown_windows_against_a_walk(spark):
     assert rows[0]["snippet"] == "999999▶| a\n1000000 | d.recycle();" and [x["kind"] for x in rows[0]["lines"]] == ["problem", "cleanup"] and rows[1]["snippet"] == "     1▶| "
 
 
+def test_windows_are_made_by_many_tasks(spark):
+    from siftgraph.plans import unit_queries
+
+    found = unit_queries.grown_windows(spark, "/root/testdata/sf0.001")
+    sizes = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 1_500 and max(sizes) < 500  # not one task for one small file of keys
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_spans_that_dont_overlap(spark):
     r = random.Random(2)
     patterns = [r"Call \w+\.r\(\)", r"\.\s*r\([^)]*\)", r"Del \w+", r"\w+\("]
